@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, packing, simhash
-from lodestone.llm.common import table
+from lodestone.llm import bpe, exact_dedup, packing, quality, simhash
+from lodestone.llm.common import crc_fold, table
 
 
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_neardup, op4_packing, op5_bpe, op6_exact_dedup)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text"), crc_fold("doc_id", 5) == 0
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").filter(~held_out)
+    out = quality.scores(docs, quality.train(docs, labels))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_neardup, op4_packing, op5_bpe, op6_exact_dedup, op9_quality)}
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": r"""
