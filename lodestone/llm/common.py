@@ -33,18 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write df as Parquet under the shared folder; the DataFrame read back, and its path."""
-    path = f"{shared_dir(df.sparkSession)}/lodestone-{uuid.uuid4().hex}"
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet under the shared folder and read back: a compressed cut() for wide rows. The files go when the application ends."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a folder that stored() wrote."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def per_batch(df: DataFrame, schema: str, f: Callable[[dict[str, list]], dict[str, object]]) -> DataFrame:
