@@ -8,7 +8,7 @@ comes next continues one of the last ``lookahead`` boundaries: the tokens on whi
 emitted. Memory is the window of boundaries that are still open.
 
 Texts are normalised and split as the vocabulary file says. No piece crosses white space, so what a worker caches is
-whole stretches between white space; the caches are emptied at a fixed size. Null text counts as empty and has no ids;
+whole stretches between white space, in a cache of fixed size. Null text counts as empty and has no ids;
 text that spells a special token becomes that token, as in the tokenizers library. Repeated rows give repeated rows.
 """
 
@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import per_batch
 
-#: Entries of each of an encoder's caches, which are emptied when full.
-CACHED = 400_000
+#: Entries of each of the two generations of an encoder's cache: when the young one is full, it becomes the old one.
+CACHED = 350_000
 #: Ids that are decoded at once.
 STEP = 1 << 16
 #: Ids have so many bits; NONE is above every rank.
 BITS, MASK, NONE = 20, (1 << 20) - 1, 1 << 60
+#: White space of the tokenizers library's patterns.
+WHITE = regex.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def byte_symbols() -> list[str]:
@@ -99,11 +101,15 @@ class Transducer:
             self.follows[key] = found
         return found
 
+    def whole(self, word: str) -> list[int]:
+        """The tokens of a word that is no longer than the lookahead."""
+        return self.merged([*map(self.first.__getitem__, word[:-1]), self.last[word[-1]]])
+
     def stream(self, word: str) -> Iterator[int]:
         """The tokens of a word, each as soon as it is stable. Within the lookahead none can be, so a word no longer than that is merged at once."""
         look, n = self.lookahead, len(word)
         if n <= look:
-            yield from self.merged([*map(self.first.__getitem__, word[:-1]), self.last[word[-1]]])
+            yield from self.whole(word)
             return
         vocab, fits, suffix = self.vocab, self.fits, self.suffix
         base, last, size = 0, [-1], [0]  # last[i - base] is the last token of the first i symbols, of size[i - base] symbols
@@ -159,7 +165,7 @@ class Encoder:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.transducer = Transducer(model["vocab"], merges, model["end_of_word_suffix"] or "")
-        self.byte = {i: s for i, s in enumerate(byte_symbols())}
+        self.byte = dict(enumerate(byte_symbols()))
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.marks = {s[:2] for s in self.special}
@@ -167,44 +173,53 @@ class Encoder:
         self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
         #: Ids of pieces, and of stretches between white space; a piece is a stretch with that piece alone.
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _keep(self, s: str, ids: bytes) -> bytes:
         if len(s) <= 64:
             if len(self.known) >= CACHED:
-                self.known.clear()
+                self.old, self.known = self.known, {}
             self.known[s] = ids
         return ids
 
     def _piece(self, piece: str) -> bytes:
-        if (found := self.known.get(piece)) is None:
-            symbols = "".join(map(self.byte.__getitem__, piece.encode("utf-8", "replace")))
-            found = self._keep(piece, little(self.transducer.stream(symbols)))
+        if (found := self.known.get(piece)) is None and (found := self.old.get(piece)) is None:
+            symbols = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8", "replace").decode("latin-1").translate(self.byte)
+            t = self.transducer
+            found = self._keep(piece, little(t.whole(symbols) if len(symbols) <= t.lookahead else t.stream(symbols)))
         return found
 
     def _stretch(self, s: str) -> bytes:
-        pieces = self.pattern.findall(s.replace("Σ", "σ").lower())
-        if pieces == [s]:
-            return self._piece(s)
-        return self._keep(s, b"".join(map(self._piece, pieces)))
-
-    def _plain(self, text: str) -> Iterator[bytes]:
+        if (found := self.old.get(s)) is not None:
+            return self._keep(s, found)
+        low = s.replace("Σ", "σ").lower()
+        if low.isalpha():  # a run of letters is one piece
+            found = self._piece(low)
+            return found if low == s else self._keep(s, found)
+        head, last = low[:-1], low[-1]
+        if last in ",.;:!?" and head.isalpha():
+            return self._keep(s, self._piece(head) + self._piece(last))
+        pieces = self.pattern.findall(low)
+        return self._piece(s) if pieces == [s] else self._keep(s, b"".join(map(self._piece, pieces)))
+
+    def _plain(self, text: str) -> bytes:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        get = self.known.get
         # str.split() also parts at the four ASCII separators, which are not white space here
-        parts = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else regex.split(r"[\t-\r \x85\xa0  -     　]+", text)
-        for s in parts:
-            found = get(s)
-            yield found if found is not None else self._stretch(s)
+        parts = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else [x for x in WHITE.split(text) if x]
+        found = [*map(self.known.get, parts)]
+        if None in found:
+            found = [self._stretch(s) if x is None else x for s, x in zip(parts, found, strict=True)]
+        return b"".join(found)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if not any(m in text for m in self.marks) or not self.specials.search(text):
-            return b"".join(self._plain(text))
+            return self._plain(text)
         parts = self.specials.split(text)
-        return b"".join(little([self.special[p]]) if k % 2 else b"".join(self._plain(p)) for k, p in enumerate(parts))
+        return b"".join(little([self.special[p]]) if k % 2 else self._plain(p) for k, p in enumerate(parts))
 
 
 class Decoder:
