@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, packing, ppm, quality, simhash
+from lodestone.llm import bpe, exact_dedup, html_extract, packing, ppm, quality, simhash
 from lodestone.llm.common import crc_fold, table
 
 
@@ -28,6 +28,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text"), crc_fold("doc_id", 7) == 2
     out = ppm.lm_scores(docs, docs.filter(~held_out))
@@ -41,7 +46,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_neardup, op4_packing, op5_bpe, op6_exact_dedup, op8_lm_score, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_neardup, op4_packing, op5_bpe, op6_exact_dedup, op7_html_extract, op8_lm_score, op9_quality)}
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": r"""
