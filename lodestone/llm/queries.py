@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, html_extract, packing, pii, ppm, quality, simhash
+from lodestone.llm import bpe, exact_dedup, html_extract, packing, pii, ppm, quality, simhash, topk
 from lodestone.llm.common import crc_fold, table
 
 
@@ -20,6 +20,11 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=3, distance=2)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20, scale=64)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end=1, window=2048)
 
@@ -50,7 +55,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_simhash_neardup, op4_packing, op5_bpe, op6_exact_dedup, op7_html_extract, op8_lm_score, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_simhash_neardup, op3_topk, op4_packing, op5_bpe, op6_exact_dedup, op7_html_extract, op8_lm_score, op9_quality)}
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": r"""
