@@ -193,12 +193,11 @@ def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     over = stored(over)
 
     def replaced(m: Column) -> Column:
-        def by_kind(k: Column) -> Column:
-            canon = canonical(k, m)
+        def by_canon(k: Column, canon: Column) -> Column:
             attempt = F.coalesce(F.col("_attempts")[F.concat_ws(" ", k, canon)], F.lit(0))
-            return render(k, m, core(key, k, canon, attempt))
+            return let(core(key, k, canon, attempt), lambda new: render(k, m, new))
 
-        return let(kind_of(m), by_kind)
+        return let(kind_of(m), lambda k: let(canonical(k, m), lambda canon: by_canon(k, canon)))
 
     text = F.col(text_col)
     pieces = F.split(text, ENTITY, -1)

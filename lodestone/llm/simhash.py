@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, per_batch
+from lodestone.llm.common import cut, per_batch, stored
 from lodestone.llm.components import components
 
 SEED = 42
@@ -141,9 +141,8 @@ def block_masks(distance: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def links(prints: DataFrame, distance: int) -> DataFrame:
-    """Edges (u, v) of distinct fingerprints fp (signed long) that join what lies within ``distance``; stars, not all pairs."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(distance)]
+def dealt_buckets(prints: DataFrame, masks: list[int], f) -> DataFrame:
+    """(u, v) that f gives for the fingerprints fp (signed long) that agree under a mask; large buckets go as pairs of blocks."""
     keyed = cut(prints.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("block", "key")))
     sizes = keyed.groupBy("block", "key").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -160,13 +159,19 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
         fp, mine, i, j = (_as_unsigned(t["fp"]) if n == "fp" else np.asarray(t[n]) for n in ("fp", "mine", "i", "j"))
-        a, b = local_stars(fp[mine == i], fp[mine == j], distance)
+        a, b = f(fp[mine == i], fp[mine == j])
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
 
     return dealt.groupBy("block", "large", "group", "i", "j").applyInArrow(run, "u long, v long")
 
 
+def links(prints: DataFrame, distance: int) -> DataFrame:
+    """Edges (u, v) of distinct fingerprints fp (signed long) that join what lies within ``distance``; stars, not all pairs."""
+    masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(distance)]
+    return dealt_buckets(prints, masks, lambda left, right: local_stars(left, right, distance))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
     """One line per row: id, fingerprint (16 hex digits), component_id, the least id reachable."""
 
@@ -186,7 +191,85 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2) -> DataFrame:
+def sampled_masks(tables: int, bits: int) -> list[int]:
+    """tables masks of so many of the 64 bits each, always the same."""
+    rng = np.random.default_rng(SEED)
+    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
+
+
+def least_neighbours(values: np.ndarray, others: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of both sides' values the least value of the other side within distance, where that is less."""
+    least: dict[str, np.ndarray] = {"l": values.copy(), "r": others.copy()}
+    index = GrayIndex(others)
+    for at in range(0, len(values), BLOCK):
+        for q, r in index.near(values[at : at + BLOCK], distance):
+            np.minimum.at(least["l"], at + q, others[r])
+            np.minimum.at(least["r"], r, values[at + q])
+    u, v = np.concatenate([values, others]), np.concatenate([least["l"], least["r"]])
+    return u[v < u], v[v < u]
+
+
+def _shingles(text: str | None, n: int) -> np.ndarray:
+    w = words(text)
+    grams = map(b" ".join, zip(*(w[i:] for i in range(n)), strict=False)) if len(w) >= n else [b" ".join(w)]
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype=np.uint64))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 10, tables: int = 32, bits: int = 16) -> DataFrame:
+    """(id, component_id) of the rows that are not alone: groups linked by a Jaccard similarity of word shingles.
+
+    Texts of that similarity differ in too many bits for blocks alone. Candidates come from fingerprints over the
+    distinct pairs of neighbouring words: two meet in a table if they agree in its sampled bits. In each bucket the
+    index gives every fingerprint its least neighbour within ``distance``, so a bucket of n emits n pairs, not all; over
+    the tables a fingerprint has many such neighbours. A pair counts only if its texts' shingles, all of them, have the
+    similarity asked for. Texts without a word are alike. Equal fingerprints are compared with their first row.
+    """
+
+    def f(rows: dict) -> dict:
+        values = np.array([_distinct_print(t) for t in rows["text"]], dtype=np.uint64)
+        return {"id": rows["id"], "fp": values.view(np.int64)}
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = cut(per_batch(rows, "id long, fp long", f))
+    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    masks = [m - (1 << 64) if m >> 63 else m for m in sampled_masks(tables, bits)]
+    pairs = dealt_buckets(classes.select("fp"), masks, lambda left, right: least_neighbours(left, right, distance))
+    first = classes.select("fp", "least")
+    pairs = pairs.distinct().join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select("a", "b")
+    twins = prints.join(classes.filter("n > 1").hint("merge"), "fp").filter("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    pairs = cut(pairs.unionByName(twins))
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+    def sets(r: dict) -> dict:
+        return {"id": r["id"], "set": [_shingles(t, shingle).tobytes() for t in r["text"]]}
+
+    of = stored(per_batch(rows.join(asked, "id").select("id", "text"), "id long, set binary", sets).dropDuplicates(["id"]))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            on = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                on.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select([0, 1]).filter(pa.array(on, pa.bool_()))
+
+    joined = pairs.join(of.toDF("a", "x").hint("merge"), "a").join(of.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
+    edges = joined.mapInArrow(verify, "u long, v long")
+    return components(edges).select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+
+
+def _distinct_print(text: str | None) -> int:
+    w = words(text)
+    if not w:
+        return 0
+    grams = {*map(b" ".join, zip(w, w[1:], strict=False))} or {w[0]}
+    values = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype="<u8")
+    total = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(values), bitorder="little").view("<u8")[0])
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row, the least id, of each group of near duplicates; all columns stay."""
-    away = near_groups(docs, id_col, text_col, shingle, distance).filter(F.col(id_col) != F.col("component_id")).select(id_col)
+    away = similar_groups(docs, id_col, text_col, shingle, similarity).filter(F.col(id_col) != F.col("component_id")).select(id_col)
     return docs.join(away, id_col, "left_anti")
