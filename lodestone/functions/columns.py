@@ -151,8 +151,8 @@ def content_hash(content: Column) -> Column:
 
 def decoded(content: Column) -> tuple[Column, Column]:
     """(text, encoding): UTF-8 where the bytes are, else Latin-1, which any bytes are."""
-    utf8 = F.is_valid_utf8(F.decode(content, "ISO-8859-1")) & (F.hex(F.encode(F.decode(content, "UTF-8"), "UTF-8")) == F.hex(content))
-    return F.when(utf8, F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1")), F.when(utf8, "utf-8").otherwise("latin-1")
+    utf8 = F.is_valid_utf8(content.cast("string"))
+    return F.when(utf8, content.cast("string")).otherwise(F.decode(content, "ISO-8859-1")), F.when(utf8, "utf-8").otherwise("latin-1")
 
 
 def reason_has(reason: Column, *names: str) -> Column:

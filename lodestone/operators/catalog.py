@@ -82,7 +82,7 @@ class Table:
         self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _pointer(self) -> dict:
-        at = self._Path(f"{self.path}/_current")
+        at = self._Path(f"{self.path}/CURRENT")
         if not self._fs.exists(at):
             return {}
         rows = self.spark.read.text(str(at.toString())).collect()  # one line
@@ -106,7 +106,7 @@ class Table:
         version, folder = p.get("version", 0) + 1, f"v{p.get('version', 0) + 1:08d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.path}/{folder}")
         line = json.dumps({"version": version, "folder": folder, "properties": p.get("properties", {}) | properties})
-        new, current = self._Path(f"{self.path}/_next-{uuid.uuid4().hex}"), self._Path(f"{self.path}/_current")
+        new, current = self._Path(f"{self.path}/NEXT-{uuid.uuid4().hex}"), self._Path(f"{self.path}/CURRENT")
         out = self._fs.create(new)
         out.write(bytearray(line.encode()))
         out.close()

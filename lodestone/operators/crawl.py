@@ -48,13 +48,13 @@ def split_by_cost(files: DataFrame, limits: dict[str, int] | None = None) -> Dat
 def change_log(lines: DataFrame) -> DataFrame:
     """ts, action, path of the lines (value) that have the three parts; a path may hold the separator."""
     parts = F.split("value", r"\|", 3)
-    return lines.select(parts.alias("p")).filter(F.size("p") == 3).select(F.col("p")[0].alias("ts"), F.col("p")[1].alias("action"), F.col("p")[2].alias("path"))
+    return lines.select(parts.alias("p")).filter(F.size("p") == 3).select(F.get("p", F.lit(0)).alias("ts"), F.get("p", F.lit(1)).alias("action"), F.get("p", F.lit(2)).alias("path"))
 
 
 def trim_log(lines: DataFrame, done: DataFrame) -> DataFrame:
     """Lines whose path isn't done; malformed lines go."""
     parts = F.split("value", r"\|", 3)
-    with_path = lines.filter(F.size(parts) == 3).select("value", parts[2].alias("path"))
+    with_path = lines.filter(F.size(parts) == 3).select("value", F.get(parts, F.lit(2)).alias("path"))
     return with_path.join(done.select("path").distinct(), "path", "left_anti").select("value")
 
 

@@ -18,7 +18,7 @@ def walk(spark: SparkSession, paths: list[str], excluded: list[str] | None = Non
 
 
 def file_list(spark: SparkSession, list_path: str, disk: DataFrame) -> DataFrame:
-    """The files that a list names, one a line, blanks and missing ones aside; neither size nor change is checked."""
+    """The files that a list names, one a line, blanks and missing ones aside; change is not checked. Spark lists no empty files, which would have no chunks."""
     lines = spark.read.text(list_path).select(F.trim("value").alias("path")).filter("path != ''").distinct()
     return disk.join(lines, "path", "left_semi").withColumn("extension", c.extension(F.col("path"))).withColumn("file_type", c.file_type(F.col("extension"))).filter("file_type IS NOT NULL")
 
