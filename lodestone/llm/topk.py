@@ -133,6 +133,9 @@ def kept_best(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) ->
     q, ids, score = (np.concatenate(x) for x in zip(*held, strict=True))
     by = np.lexsort((ids, -score, q))
     q, ids, score = q[by], ids[by], score[by]
+    new = np.ones(len(q), dtype=bool)  # a row that is given twice is one entry
+    new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])
+    q, ids, score = q[new], ids[new], score[new]
     place = np.arange(len(q)) - np.searchsorted(q, q)
     on = place < k
     return q[on], ids[on], score[on]
