@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import per_batch, stored
 
 #: Bytes of an anchor; different windows of an anchor in one task; windows of a task, on average; starts worked on at once.
-ANCHOR, GROUP, TASK, AT_ONCE = 64, 256, 2048, 1 << 19
+ANCHOR, GROUP, TASK, AT_ONCE = 64, 8192, 2048, 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -94,7 +94,7 @@ def repeated(group: np.ndarray, texts: list[bytes], left: np.ndarray, length: in
     n = len(texts)
     sizes = np.array([len(t) for t in texts])
     reach, width = int(left.max(initial=0)), int(left.max(initial=0) + (sizes - left).max(initial=0))
-    column = np.full((width, n), 256, dtype=np.int64)
+    column = np.full((width, n), 256, dtype=np.int16)
     for i, t in enumerate(texts):
         column[reach - left[i] : reach - left[i] + sizes[i], i] = np.frombuffer(t, dtype=np.uint8)
     order = np.argsort(group, kind="stable")
