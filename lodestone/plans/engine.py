@@ -14,6 +14,7 @@ from lodestone.sources import config as configuration
 from lodestone.sources import extract, files
 
 CHUNKS = "file_path string, chunk_index int, text string, file_type string"
+SPARSE = "file_path string, chunk_index int, bucket long, w double"
 HIT = ["query_id", "source_rank", "rank", "file_path", "chunk_index", "text", "score", "file_type"]
 
 
@@ -24,6 +25,7 @@ class Engine:
         self.spark, self.config = spark, config or configuration.Config()
         self.files = catalog.Table(spark, f"{self.config.store}/files", schemas.FILES)
         self.chunks = catalog.Table(spark, f"{self.config.store}/chunks", CHUNKS)
+        self.sparse = catalog.Table(spark, f"{self.config.store}/vectors", SPARSE)
         self.registry = registry
         self.expander, self.answerer = expander or answer.PlainExpander(), answerer or answer.ExtractiveAnswerer()
 
@@ -44,10 +46,8 @@ class Engine:
         rows = todo.select(F.col("path").alias("file_path"), F.col("size").alias("file_size"), "mtime")
         self.files.commit(catalog.upsert(known, rows))
         got = extract.extract(extract.contents(self.spark, paths, todo), self.registry).persist()
-        pieces = chunk.chunk(got.filter("error IS NULL"), size=cfg.chunking.chunk_size, overlap=cfg.chunking.chunk_overlap)
-        pieces = pieces.select(F.col("source_file").alias("file_path"), "chunk_index", F.substring("text", 1, 500).alias("text"), c.file_type(c.extension(F.col("source_file"))).alias("file_type")).persist()
-        old = vectors.delete_files(self.chunks.read(), got.select("file_path"))
-        self.chunks.commit(old.unionByName(pieces))
+        pieces = self.pieces(got.filter("error IS NULL")).persist()
+        self._replace(got.select("file_path"), pieces)
         # the catalog follows the store, so a file is indexed only once its chunks are there
         n = got.filter("error IS NULL").join(pieces.groupBy("file_path").agg(F.count("*").alias("n")), "file_path", "left").select("file_path", F.coalesce("n", F.lit(0)).alias("n"))
         now = catalog.mark_error(catalog.mark_indexed(self.files.read(), n, time.time()), got.filter("error IS NOT NULL").select("file_path", F.col("error").alias("message")))
@@ -56,7 +56,7 @@ class Engine:
             lost = crawl.deleted(now, files.walk(self.spark, paths), paths).persist()
             gone = lost.count()
             if gone:
-                self.chunks.commit(vectors.delete_files(self.chunks.read(), lost))
+                self._replace(lost, None)
                 now = catalog.remove(now, lost)
         self.files.commit(now)
         counts = {r["lane"]: r["count"] for r in laned.groupBy("lane").count().collect()}
@@ -66,10 +66,29 @@ class Engine:
             df.unpersist()
         return out
 
+    def pieces(self, texts: DataFrame) -> DataFrame:
+        """The store's rows of (file_path, text): chunks, of whose text 500 characters are kept."""
+        out = chunk.chunk(texts, size=self.config.chunking.chunk_size, overlap=self.config.chunking.chunk_overlap)
+        return out.select(F.col("source_file").alias("file_path"), "chunk_index", F.substring("text", 1, 500).alias("text"), c.file_type(c.extension(F.col("source_file"))).alias("file_type"))
+
+    def put(self, texts: DataFrame) -> int:
+        """Texts that are at hand in place of their files' chunks; the store's new version."""
+        return self._replace(texts.select("file_path"), self.pieces(texts))
+
+    def _replace(self, paths: DataFrame, pieces: DataFrame | None) -> int:
+        """New chunks and their vectors in place of those of the paths; only the new ones are embedded."""
+        chunks, sparse = (vectors.delete_files(t.read(), paths) for t in (self.chunks, self.sparse))
+        if pieces is not None:
+            chunks, sparse = chunks.unionByName(pieces), sparse.unionByName(embed.hashed(pieces, retrieval.KEY))
+        self.sparse.commit(sparse)
+        return self.chunks.commit(chunks)
+
     def hits(self, queries: DataFrame, depth: int, file_type: str | None = None, without: list[str] | None = None) -> DataFrame:
         """Hits of (query_id, source_rank, text): all searches of a stage are one job."""
         store = vectors.matching(self.chunks.read(), {"file_type": file_type} if file_type else None, {"file_type": without} if without else None)
-        sparse = embed.hashed(store, retrieval.KEY)
+        sparse = self.sparse.read()
+        if file_type or without:
+            sparse = sparse.join(store.select(retrieval.KEY), retrieval.KEY, "left_semi")
         asked = queries.select(F.struct("query_id", "source_rank").alias("query_id"), "text")
         scores = vectors.sparse_scores(sparse, embed.hashed(asked, ["query_id"]), retrieval.KEY)
         best = vectors.best_of_each(scores, depth, retrieval.KEY, self.config.query.score_threshold)
@@ -86,12 +105,17 @@ class Engine:
     def _queries(self, texts: list[str], first: int = 0) -> DataFrame:
         return self.spark.createDataFrame([(0, first + i, t) for i, t in enumerate(texts)], "query_id long, source_rank int, text string")
 
+    def _small(self, df: DataFrame) -> DataFrame:
+        """df worked out once. Only for hits of one question, whose number the depths of its searches bound."""
+        return self.spark.createDataFrame(df.collect(), df.schema).coalesce(1)
+
     def ask(self, question: str, top_k: int | None = None, file_type: str | None = None) -> dict:
         """Answer, sources and the rows that the answer rests on."""
         if not question.strip():
             raise ValueError("the question is blank")
         asked = self.spark.createDataFrame([(0, question)], "query_id long, question string")
-        broad, words = asked.select(c.is_broad(F.col("question")), c.all_keywords(F.col("question")), c.entities(F.col("question"))).first()[0], asked.select("query_id", c.all_keywords(F.col("question")).alias("keywords"), c.entities(F.col("question")).alias("entities"))
+        broad = asked.select(c.is_broad(F.col("question"))).first()[0]
+        words = self._small(asked.select("query_id", c.all_keywords(F.col("question")).alias("keywords"), c.entities(F.col("question")).alias("entities")))
         if broad:
             texts = [*self.expander.expand_broad(question), question]
             d = retrieval.depths(top_k, self.config.query.top_k, len(texts))
@@ -105,35 +129,36 @@ class Engine:
             found = self.hits(self._queries([expanded]), d["k"], file_type)
             if expanded != question:
                 found = found.unionByName(self.hits(self._queries([question], 1), d["original"], file_type))
+            found = self._small(found)
             if not file_type and found.head(1):
                 found = found.unionByName(self.hits(self._queries([expanded, question][: 1 + (expanded != question)], 2), d["diverse"], None, ["msg"]))
             found = retrieval.first_seen(found)
         found = context.without_system_files(retrieval.ranked(found).select(HIT))
-        found = found.persist()
+        found = self._small(found)
         if not broad and found.head(1):
-            missing = retrieval.supplement_queries(retrieval.missing_keywords(found, words), words).persist()
+            missing = self._small(retrieval.supplement_queries(retrieval.missing_keywords(found, words), words))
             if missing.head(1):
                 numbered = missing.select("query_id", (F.xxhash64("keyword", "n") % (1 << 30)).cast("int").alias("source_rank"), "keyword", F.col("query").alias("text"))
                 extra = self.hits(numbered, d["supplement"], file_type).join(numbered.select("source_rank", "keyword"), "source_rank")
                 found = retrieval.supplemented(found, extra.select(*HIT, "keyword"))
-            found = retrieval.ranked(retrieval.rerank(found, words)).select(HIT).persist()
+            found = self._small(retrieval.ranked(retrieval.rerank(found, words)).select(HIT))
         if not found.head(1):
             return {"answer": answer.NOTHING_FOUND, "sources": [], "search_results": []}
         if broad:
             rows = context.broad_context(found)
         else:
             entities = words.first()["entities"]
-            preferred = context.keyword_files(found, words)
+            preferred = self._small(context.keyword_files(found, words))
             if preferred.head(1):
                 most = min(preferred.count(), 10) if entities else 5
-                chosen = context.files_by_keyword(found, preferred, most)
+                chosen = self._small(context.files_by_keyword(found, preferred, most))
             else:
-                chosen = context.files_by_diversity(found)
+                chosen = self._small(context.files_by_diversity(found))
             rows = context.expand(found, chosen, self.chunks.read())
             rows = context.without_system_files(rows)
             if entities:
                 rows = context.about_entities(rows, words)
-        rows = rows.persist()
+        rows = self._small(rows)
         said = self.answerer.answer(question, context.formatted(rows).first()["context"], 32768 if broad else 16384)
         said = self.spark.createDataFrame([(said,)], "a string").select(c.clean_answer(F.col("a"))).first()[0]
         return {
@@ -146,5 +171,5 @@ class Engine:
         return catalog.stats(self.files.read()).first().asDict() | {"vectors": self.chunks.read().count()}
 
     def reset(self) -> None:
-        self.chunks.clear()
-        self.files.clear()
+        for t in (self.chunks, self.sparse, self.files):
+            t.clear()

@@ -485,6 +485,51 @@ def html_raw_read(spark, d):
     return fx.table(spark, d, "pages", "page_id", text.alias("text"), encoding.alias("encoding"))
 
 
+def _engine(spark, d):
+    import uuid
+
+    from lodestone.plans.engine import Engine
+    from lodestone.sources.config import Config
+    from lodestone.sources.config import Query as QueryConfig
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    e = Engine(spark, Config(store=f"{shared}/store-{uuid.uuid4().hex}", query=QueryConfig(score_threshold=0.05)))
+    e.put(fx.corpus(spark, d, "text").select("file_path", "text"))
+    return e
+
+
+def _answered(spark, d, question):
+    got = _engine(spark, d).ask(question)
+    return spark.createDataFrame([(got["answer"], i, s) for i, s in enumerate(got["sources"])], "answer string, n int, source string")
+
+
+@query()
+def ask_focused(spark, d):
+    return _answered(spark, d, "What is the order of the ring for the thing")
+
+
+@query()
+def ask_broad(spark, d):
+    return _answered(spark, d, "find all and the entire ring")
+
+
+@query()
+def stream_ingest(spark, d):
+    """The change log of events as a stream, into a store, and what the store then has."""
+    import uuid
+
+    from lodestone.plans.engine import CHUNKS
+    from lodestone.streaming import ingest
+
+    at = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
+    _log(spark, d).write.text(f"{at}/log")
+    known = fx.table(spark, d, "documents", F.format_string("/u/%d", "doc_id").alias("file_path"), F.lit("text").alias("file_type"), "text")
+    store = catalog.Table(spark, f"{at}/store", CHUNKS)
+    read = lambda paths: known.join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    ingest.follow(ingest.changes(spark, f"{at}/log"), read, store, f"{at}/offsets").awaitTermination()
+    return store.read().groupBy("file_path").agg(F.count("*").alias("chunks"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Chunk the documents, embed the chunks, and search them for one benchmark text."""
     pieces = _chunks(spark, d).select(F.struct("source_file", "chunk_index").alias("chunk"), "text")
