@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import schemas
 from lodestone.functions import columns as c
-from lodestone.operators import answer, catalog, chunk, context, crawl, embed, retrieval, vectors
+from lodestone.operators import answer, catalog, chunk, context, crawl, diagnostics, embed, retrieval, vectors
 from lodestone.sources import config as configuration
 from lodestone.sources import extract, files
 
@@ -170,6 +170,14 @@ class Engine:
     def status(self) -> dict:
         return catalog.stats(self.files.read()).first().asDict() | {"vectors": self.chunks.read().count()}
 
+    def report(self) -> dict:
+        """What a dashboard shows: counts and shares, the last file, the last errors."""
+        files = self.files.read()
+        out = diagnostics.shares(catalog.stats(files, stuck_is_pending=True)).first().asDict() | {"vectors": self.chunks.read().count()}
+        last = diagnostics.latest(files, 1, "indexed").first()
+        errors = diagnostics.latest(files, 10, "error").select(c.basename(F.col("file_path")).alias("file"), F.substring("error", 1, 120).alias("error"))
+        return out | {"last_file": last and last["file_path"], "errors_latest": [r.asDict() for r in errors.collect()]}
+
     def reset(self) -> None:
         for t in (self.chunks, self.sparse, self.files):
             t.clear()

@@ -24,6 +24,8 @@ def test_ingest_search_ask(engine):
     run = e.ingest()
     assert (run["scanned"], run["processed"], run["errors"]) == (3, 2, 1)
     assert e.status()["indexed"] == 2 and e.status()["errors"] == 1 and e.status()["vectors"] == run["chunks_created"] > 2
+    r = e.report()
+    assert r["success_pct"] == 66.7 and r["last_file"].endswith(".txt") and r["errors_latest"][0]["file"] == "scan.pdf"
     assert e.search("email address of jill").first()["file_name"] == "jill.txt"
     got = e.ask("What email address have I used for jill")
     assert got["sources"][0].endswith("jill.txt") and "email" in got["answer"]
@@ -56,3 +58,21 @@ def test_stream(spark, tmp_path):
     assert {r["file_path"] for r in store.read().collect()} == {"/a.txt", "/c.txt"}
     run()
     assert store.read().count() == 2
+
+
+def test_progress(tmp_path):
+    from lodestone.sources import progress
+
+    at = str(tmp_path / "p.json")
+    assert progress.read(at) == progress.DEFAULTS and progress.write(at, nonsense=1) == progress.DEFAULTS
+    progress.write(at, phase="scanning", scanned=3)
+    progress.write_stats(at, {"total": 9, "total_chunks": 4})
+    got = progress.read(at)
+    assert (got["phase"], got["scanned"], got["db_total"], got["db_chunks"]) == ("scanning", 3, 9, 4) and got["updated_at"]
+    (tmp_path / "p.json").write_text("{broken")
+    assert progress.read(at) == progress.DEFAULTS
+    progress.clear(at)
+    offsets = str(tmp_path / "o.json")
+    progress.save_offsets(offsets, "C", {"next_usn": 5})
+    progress.save_offsets(offsets, "D", {"next_usn": 7})
+    assert progress.load_offsets(offsets) == {"C": {"next_usn": 5}, "D": {"next_usn": 7}}
