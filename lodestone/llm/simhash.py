@@ -28,6 +28,9 @@ from lodestone.llm.components import components
 SEED = 42
 #: Rows of a block of a large bucket, and queries that walk a bucket's index at once.
 BLOCK = 1024
+#: Rows, about, whose shingles are counted to order them; rows of shared shingles that a task holds, one shingle's at least.
+SAMPLE, HELD = 4096, 1 << 18
+NAMES = ["token", "id", "root", "size", "place"]
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
@@ -215,14 +218,99 @@ def _shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype=np.uint64))
 
 
+def _common(rows: DataFrame, shingle: int, most: int = 1 << 17) -> np.ndarray:
+    """Shingles that several of a sample of rows have, the rarest first. It only orders what least_shingles() looks at."""
+    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
+
+    def f(r: dict) -> dict:
+        return {"token": np.concatenate([np.zeros(0, np.uint64), *(_shingles(t, shingle) for t in r["text"])]).view(np.int64)}
+
+    n = per_batch(sample.select("text"), "token long", f).groupBy("token").agg(F.count("*").alias("n")).filter("n > 2")
+    return _as_unsigned([r["token"] for r in n.orderBy(F.desc("n"), "token").limit(most).collect()][::-1])
+
+
+def least_shingles(values: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """So many first shingles of a set, the rare before the common, that two sets of the similarity share one of them.
+
+    Of a set of n, a set that is similar has at least ``similarity * n``; the first of the shared ones, in any order
+    that is the same for all sets, is among the first ``n - similarity * n + 1``. common is sorted, with its ranks.
+    """
+    at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
+    rank = np.where(common[at] == values, ranks[at], -1) if len(common) else np.full(len(values), -1)
+    n = len(values) - int(np.ceil(similarity * len(values) - 1e-9)) + 1
+    return values[np.lexsort((values, rank))[:n]]
+
+
+def sharing(token: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (sorted by token, size) of one token and unlike groups, whose sets can have the similarity.
+
+    What two sets share from their first shared shingle on is at most what the shorter rest holds.
+    """
+    on, d = np.arange(len(token)), 0
+    while len(on):
+        d += 1
+        on = on[on + d < len(token)]
+        to = on + d
+        keep = (token[on] == token[to]) & (size[on] >= similarity * size[to] - 1e-6)
+        on = on[keep]  # rows further on are larger still
+        to = on + d
+        least = similarity / (1 + similarity) * (size[on] + size[to]) - 1e-6
+        hit = (group[on] != group[to]) & (np.minimum(size[on] - place[on], size[to] - place[to]) >= least)
+        if hit.any():
+            yield on[hit], to[hit]
+
+
+def sharing_pairs(rows: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of ids, not yet in one of the groups (id, root), that can have the similarity; none is left out.
+
+    Rows meet in every shingle of least_shingles(). They are sorted and read as a stream, so a task holds one shingle's
+    rows at a time, and only pairs that pass the bounds on size and place are emitted.
+    """
+    common = _common(rows, shingle)
+    ranks = np.argsort(common)
+    common = common[ranks]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = _shingles(text, shingle)
+                token = least_shingles(values, similarity, common, ranks)
+                n = len(token)
+                cols = token.view(np.int64), np.full(n, i), np.full(n, root), np.full(n, len(values)), np.arange(n)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=NAMES)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def emit(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for on, to in sharing(x[0], x[2], x[3], x[4], similarity):
+                a, b = np.maximum(x[1][on], x[1][to]), np.minimum(x[1][on], x[1][to])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(np.stack([np.asarray(c) for c in batch.columns]))
+                if held[0][0][0] != held[-1][0][-1] and sum(x.shape[1] for x in held) >= HELD:
+                    x = np.concatenate(held, axis=1)
+                    end = int(np.flatnonzero(x[0] != x[0][-1])[-1]) + 1  # the last token may go on in the next batch
+                    yield from emit(x[:, :end])
+                    held = [x[:, end:]]
+        if held:
+            yield from emit(np.concatenate(held, axis=1))
+
+    of = rows.filter("id IS NOT NULL").join(groups, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text")
+    dealt = of.mapInArrow(first, ", ".join(f"{n} long" for n in NAMES)).repartition("token").sortWithinPartitions("token", "size")
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 10, tables: int = 32, bits: int = 16) -> DataFrame:
     """(id, component_id) of the rows that are not alone: groups linked by a Jaccard similarity of word shingles.
 
-    Texts of that similarity differ in too many bits for blocks alone. Candidates come from fingerprints over the
-    distinct pairs of neighbouring words: two meet in a table if they agree in its sampled bits. In each bucket the
-    index gives every fingerprint its least neighbour within ``distance``, so a bucket of n emits n pairs, not all; over
-    the tables a fingerprint has many such neighbours. A pair counts only if its texts' shingles, all of them, have the
-    similarity asked for. Texts without a word are alike. Equal fingerprints are compared with their first row.
+    First, large groups are found cheaply: fingerprints over the distinct pairs of neighbouring words meet in a table if
+    they agree in its sampled bits, and in each bucket a fingerprint has its least neighbour within ``distance``. Then
+    sharing_pairs() gives every other pair of rows in unlike groups that can have the similarity, so nothing is missed.
+    A pair counts only if its texts' shingles, all of them, have the similarity asked for. Texts without a word are
+    alike. Equal fingerprints are compared with their first row.
     """
 
     def f(rows: dict) -> dict:
@@ -237,7 +325,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = classes.select("fp", "least")
     pairs = pairs.distinct().join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select("a", "b")
     twins = prints.join(classes.filter("n > 1").hint("merge"), "fp").filter("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    pairs = cut(pairs.unionByName(twins))
+    groups = components(similar_pairs(rows, cut(pairs.unionByName(twins)), shingle, similarity))
+    groups = cut(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()))
+    more = cut(sharing_pairs(rows, groups.withColumnRenamed("node", "id"), shingle, similarity))
+    edges = similar_pairs(rows, more, shingle, similarity).unionByName(groups.toDF("u", "v"))
+    return components(edges).select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+
+
+def similar_pairs(rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v) of the pairs (a, b) of ids whose texts have the similarity."""
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
     def sets(r: dict) -> dict:
@@ -255,8 +351,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield b.select([0, 1]).filter(pa.array(on, pa.bool_()))
 
     joined = pairs.join(of.toDF("a", "x").hint("merge"), "a").join(of.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
-    edges = joined.mapInArrow(verify, "u long, v long")
-    return components(edges).select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+    return joined.mapInArrow(verify, "u long, v long")
 
 
 def _distinct_print(text: str | None) -> int:

@@ -133,6 +133,38 @@ def test_similar_groups(spark, odd):
     assert simhash.near_dedup(odd).columns == odd.columns
 
 
+def jaccard_groups(texts):
+    """The least row reachable by links of Jaccard 0.8 over word shingles of five."""
+    sets = [{*zip(*(slow_words(t)[k:] for k in range(5)), strict=False)} or {tuple(slow_words(t))} for t in texts]
+    label = [*range(len(texts))]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in texts:
+        was = label[:]
+        for i, j in linked:
+            label[i] = label[j] = min(label[i], label[j])
+        if was == label:
+            break
+    return label
+
+
+def test_similar_in_families(spark):
+    """Unlike copies of one text, each with a near copy of its own: none is hidden by the others."""
+    rng, texts = random.Random(5), []
+    word = lambda: f"word{rng.randrange(3000)}"
+    for _ in range(3):
+        base = [word() for _ in range(250)]
+        for _ in range(40):
+            copy = [w if rng.random() > rng.uniform(0.02, 0.1) else word() for w in base]
+            other = copy[:]
+            for at in rng.sample(range(250), 4):
+                other[at] = word()
+            texts += [" ".join(copy), " ".join(other)]
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame([*enumerate(texts)], DOCS)).collect()}
+    label = jaccard_groups(texts)
+    assert len(set(label)) > 30 and [got.get(i, i) for i in range(len(texts))] == label
+
+
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROWS", 7)
     monkeypatch.setattr(topk, "QUERIES", 3)
