@@ -36,8 +36,8 @@ def anonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces and their places in sequences of 2048 tokens."""
-    return packing.pack_digests(docs, public_tokenizers.path("word_bpe_49k.json"), end=1, window=2048)
+    """Pieces with their ids and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=1, window=2048)
 
 
 STAGES = [("quality", good), ("exact_dedup", unique), ("near_dedup", distinct), ("private_data", anonymous), ("packing", packed)]

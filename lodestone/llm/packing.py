@@ -13,7 +13,6 @@ then start. An empty table packs into nothing. Other columns aren't read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import encoder, little
-from lodestone.llm.common import cut, per_batch
+from lodestone.llm.common import per_batch, stored
 
 #: Pieces of a shard, on average.
 SHARD = 8192
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
-DIGESTS = PIECES.replace("ids binary", "ids_crc32 long")
 
 
 class Rooms:
@@ -78,11 +76,9 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return out, left
 
 
-def pack_shard(lengths: list[int], capacity: int, cuts: bool = True) -> list[tuple[int, int, int, int]]:
+def pack_shard(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int]]:
     """(piece, from, to, sequence) for lengths in decreasing order, in the order in which they stand in their sequences."""
     where, left = best_fit(lengths, capacity)
-    if not cuts:
-        return [(i, 0, n, s) for i, (n, s) in enumerate(zip(lengths, where, strict=True))]
     total, last = sum(left), len(left)
     # as many of the emptiest sequences as the others' room can hold are dissolved
     emptiest, dissolved = sorted((s for s in range(last) if left[s]), key=lambda s: (-left[s], s)), set()
@@ -106,9 +102,9 @@ def pack_shard(lengths: list[int], capacity: int, cuts: bool = True) -> list[tup
     return out
 
 
-def windows(docs: DataFrame, path: str, end: int, window: int, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """The pieces of every document: full windows, then the rest. With digest, of the ids only their CRC-32 goes on."""
-    names = ("doc_id", "start", "length", "ids_crc32" if digest else "ids", "doc_tokens")
+def windows(docs: DataFrame, path: str, end: int, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pieces of every document: full windows, then the rest."""
+    names = ("doc_id", "start", "length", "ids", "doc_tokens")
 
     def f(rows: dict) -> dict:
         out: dict[str, list] = {k: [] for k in names}
@@ -116,12 +112,11 @@ def windows(docs: DataFrame, path: str, end: int, window: int, id_col: str = "do
             ids = encoder(path).encode(text) + little([end])
             n = len(ids) // 4
             for at in range(0, n, window):
-                own = ids[4 * at : 4 * (at + window)]
-                for k, v in zip(out, (i, at, min(window, n - at), zlib.crc32(own) if digest else own, n), strict=True):
+                for k, v in zip(out, (i, at, min(window, n - at), ids[4 * at : 4 * (at + window)], n), strict=True):
                     out[k].append(v)
         return out
 
-    return per_batch(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), DIGESTS if digest else PIECES, f)
+    return per_batch(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), PIECES, f)
 
 
 def pack(docs: DataFrame, path: str, end: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,24 +125,21 @@ def pack(docs: DataFrame, path: str, end: int = 1, window: int = 2048, id_col: s
 
 
 def place(pieces: DataFrame, window: int) -> DataFrame:
-    """pieces with sequence_id and offset. A piece that is cut here must bring its ids; where pieces bring a digest, they go on whole."""
-    pieces = cut(pieces)
+    """pieces with sequence_id and offset; a piece that is cut here is cut with its ids."""
+    pieces = stored(pieces)
     shards = max(1, -(-pieces.count() // SHARD))
     fields = pieces.columns
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches).select(fields).sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
-        lengths = t["length"].to_pylist()
-        placed, used, offsets = pack_shard(lengths, window, "ids" in fields), {}, []
+        placed, used, offsets = pack_shard(t["length"].to_pylist(), window), {}, []
         for _, a, b, s in placed:
             offsets.append(used.get(s, 0))
             used[s] = offsets[-1] + b - a
         i, a, b, s = (np.array([x[k] for x in placed], dtype=np.int64) for k in range(4))
-        out = t.take(i)
-        if "ids" in fields:
-            own = t["ids"].to_pylist()
-            for name, values in (("start", np.asarray(out["start"]) + a), ("length", b - a), ("ids", pa.array([own[p][4 * x : 4 * y] for p, x, y, _ in placed], pa.binary()))):
-                out = out.set_column(fields.index(name), name, pa.chunked_array([values]))
+        out, own = t.take(i), t["ids"].to_pylist()
+        for name, values in (("start", np.asarray(out["start"]) + a), ("length", b - a), ("ids", pa.array([own[p][4 * x : 4 * y] for p, x, y, _ in placed], pa.binary()))):
+            out = out.set_column(fields.index(name), name, pa.chunked_array([values]))
         out = out.append_column("sequence_id", pa.chunked_array([(key[0].as_py() << 32) + s])).append_column("offset", pa.chunked_array([np.array(offsets, dtype=np.int64)]))
         yield from out.combine_chunks().to_batches(max_chunksize=4096)
 
@@ -157,8 +149,9 @@ def place(pieces: DataFrame, window: int) -> DataFrame:
 
 
 def pack_digests(docs: DataFrame, path: str, end: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As pack(), with the CRC-32 of each piece's ids in their stead, so that ids aren't shuffled."""
-    return place(windows(docs, path, end, window, id_col, text_col, digest=True), window)
+    """The pieces of pack(), with the CRC-32 of each piece's ids in their stead."""
+    packed = pack(docs, path, end, window, id_col, text_col)
+    return packed.select(*(F.crc32("ids").alias("ids_crc32") if n == "ids" else n for n in packed.columns))
 
 
 def sequences(packed: DataFrame, window: int = 2048, pad: int = 0) -> DataFrame:

@@ -227,6 +227,15 @@ def test_pack(spark, odd, monkeypatch):
     assert packing.pack_digests(docs.limit(0), PATH).count() == 0
 
 
+def test_packed_digests(spark):
+    """Digests are those of pack()'s pieces, so rests of just over half a window fill their sequences as well."""
+    docs = spark.createDataFrame([(i, "the " * 1100) for i in range(40)], DOCS)
+    full, short = packing.pack(docs, PATH).collect(), packing.pack_digests(docs, PATH).collect()
+    key = lambda r: (r["doc_id"], r["start"], r["length"], r["doc_tokens"], r["sequence_id"], r["offset"])
+    assert sorted((*key(r), zlib.crc32(r["ids"])) for r in full) == sorted((*key(r), r["ids_crc32"]) for r in short)
+    assert sum(r["length"] for r in short) > 0.9 * 2048 * len({r["sequence_id"] for r in short})
+
+
 def test_bpe(spark, odd):
     tok, e, rng = Tokenizer.from_file(PATH), bpe.encoder(PATH), random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyzäéßçñ Σςİ'’.,!?-_0123½²中文дя́​\x1c\x85 \t\n😀ABC"
