@@ -67,19 +67,19 @@ class Engine:
         return out
 
     def pieces(self, texts: DataFrame) -> DataFrame:
-        """The store's rows of (file_path, text): chunks, of whose text 500 characters are kept."""
+        """The chunks of (file_path, text), whole."""
         out = chunk.chunk(texts, size=self.config.chunking.chunk_size, overlap=self.config.chunking.chunk_overlap)
-        return out.select(F.col("source_file").alias("file_path"), "chunk_index", F.substring("text", 1, 500).alias("text"), c.file_type(c.extension(F.col("source_file"))).alias("file_type"))
+        return out.select(F.col("source_file").alias("file_path"), "chunk_index", "text", c.file_type(c.extension(F.col("source_file"))).alias("file_type"))
 
     def put(self, texts: DataFrame) -> int:
         """Texts that are at hand in place of their files' chunks; the store's new version."""
         return self._replace(texts.select("file_path"), self.pieces(texts))
 
     def _replace(self, paths: DataFrame, pieces: DataFrame | None) -> int:
-        """New chunks and their vectors in place of those of the paths; only the new ones are embedded."""
+        """New chunks and their vectors in place of those of the paths; only the new ones are embedded, each whole. Of their text 500 characters are kept."""
         chunks, sparse = (vectors.delete_files(t.read(), paths) for t in (self.chunks, self.sparse))
         if pieces is not None:
-            chunks, sparse = chunks.unionByName(pieces), sparse.unionByName(embed.hashed(pieces, retrieval.KEY))
+            chunks, sparse = chunks.unionByName(pieces.withColumn("text", F.substring("text", 1, 500))), sparse.unionByName(embed.hashed(pieces, retrieval.KEY))
         self.sparse.commit(sparse)
         return self.chunks.commit(chunks)
 

@@ -45,6 +45,16 @@ def test_ingest_search_ask(engine):
     assert e.status()["total"] == 0
 
 
+def test_whole_chunk_is_embedded(engine):
+    """A word after character 500 of a chunk, outside any overlap, finds it; the store keeps 500 characters."""
+    e, docs = engine
+    text = " ".join(f"filler{i:03d}" for i in range(70)) + " xylophone"
+    assert text.index("xylophone") > 650 and len(text) < 1000
+    assert e.put(e.spark.createDataFrame([("/late.txt", text), ("/other.txt", "filler words here")], "file_path string, text string"))
+    best = e.search("xylophone").collect()
+    assert [r["file_path"] for r in best] == ["/late.txt"] and len(best[0]["text"]) == 500
+
+
 def test_stream(spark, tmp_path):
     log, store = tmp_path / "log", catalog.Table(spark, str(tmp_path / "store"), CHUNKS)
     log.mkdir()
