@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,6 +43,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstored(df: DataFrame) -> None:
+    """Deletes the files of a table from stored() that nothing reads any more; Spark drops the shuffles that led there with the plans that are collected."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    gc.collect()
+    jvm.System.gc()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def per_batch(df: DataFrame, schema: str, f: Callable[[dict[str, list]], dict[str, object]]) -> DataFrame:
     """mapInArrow with f from a batch's columns, as lists, to the output's columns, in the order of schema."""
     from pyspark.sql.types import _parse_datatype_string

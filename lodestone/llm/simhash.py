@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, per_batch, stored
+from lodestone.llm.common import cut, per_batch, stored, unstored
 from lodestone.llm.components import components
 
 SEED = 42
@@ -270,14 +270,9 @@ def sharing_pairs(rows: DataFrame, groups: DataFrame, shingle: int, similarity:
     ranks = np.argsort(common)
     common = common[ranks]
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                values = _shingles(text, shingle)
-                token = least_shingles(values, similarity, common, ranks)
-                n = len(token)
-                cols = token.view(np.int64), np.full(n, i), np.full(n, root), np.full(n, len(values)), np.arange(n)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=NAMES)
+    def first(r: dict) -> dict:
+        sets = [_shingles(t, shingle) for t in r["text"]]
+        return {"id": r["id"], "size": [len(x) for x in sets], "tokens": [least_shingles(x, similarity, common, ranks).view(np.int64) for x in sets]}
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -298,8 +293,10 @@ def sharing_pairs(rows: DataFrame, groups: DataFrame, shingle: int, similarity:
         if held:
             yield from emit(np.concatenate(held, axis=1))
 
-    of = rows.filter("id IS NOT NULL").join(groups, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text")
-    dealt = of.mapInArrow(first, ", ".join(f"{n} long" for n in NAMES)).repartition("token").sortWithinPartitions("token", "size")
+    # texts stay where they are; what is joined with the groups are the first shingles
+    of = per_batch(rows.filter("id IS NOT NULL"), "id long, size long, tokens array<long>", first)
+    of = of.join(groups, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "size", F.posexplode("tokens").alias("place", "token"))
+    dealt = of.select(*(F.col(n).cast("long") for n in NAMES)).repartition("token").sortWithinPartitions("token", "size")
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -325,9 +322,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = classes.select("fp", "least")
     pairs = pairs.distinct().join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select("a", "b")
     twins = prints.join(classes.filter("n > 1").hint("merge"), "fp").filter("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    groups = components(similar_pairs(rows, cut(pairs.unionByName(twins)), shingle, similarity))
+    tried = cut(pairs.unionByName(twins).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    del pairs, twins
+    groups = components(similar_pairs(rows, tried, shingle, similarity))
     groups = cut(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()))
-    more = cut(sharing_pairs(rows, groups.withColumnRenamed("node", "id"), shingle, similarity))
+    more = cut(sharing_pairs(rows, groups.withColumnRenamed("node", "id"), shingle, similarity).join(tried, ["a", "b"], "left_anti"))
     edges = similar_pairs(rows, more, shingle, similarity).unionByName(groups.toDF("u", "v"))
     return components(edges).select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
 
@@ -351,7 +350,10 @@ def similar_pairs(rows: DataFrame, pairs: DataFrame, shingle: int, similarity: f
             yield b.select([0, 1]).filter(pa.array(on, pa.bool_()))
 
     joined = pairs.join(of.toDF("a", "x").hint("merge"), "a").join(of.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(verify, "u long, v long")
+    edges = cut(joined.mapInArrow(verify, "u long, v long"))
+    del joined
+    unstored(of)
+    return edges
 
 
 def _distinct_print(text: str | None) -> int:
