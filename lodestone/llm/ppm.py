@@ -1,316 +1,446 @@
 """Language-model scores by prediction by partial matching over a byte-context trie.
 
-Text is its words ([^\\x20\\x09-\\x0D]+, A-Z in lower case) joined by one space, then one end symbol. The trie of contexts
-of up to ``order`` bytes is gathered from all training texts: each task counts its (order+1)-grams, a shuffle adds them
-up, and the counts of shorter contexts are sums of these. A symbol is coded in the longest context seen; unseen there,
-an escape is coded with the share U/2T (U distinct symbols, T occurrences; a symbol seen n times has (2n-1)/2T) and the
-next shorter context tries, without the symbols that the longer one has excluded. As a longer context's symbols are a subset of the shorter's, what remains
-after exclusion is two numbers for each context, so scoring is table look-ups, vectorised over a batch of texts.
+Text is its words ([^\\x20\\x09-\\x0D]+, A-Z in lower case) joined by one space, then one end symbol. The trie has every
+context of up to ``order`` bytes of all training texts, with no bound on their number. A symbol is coded in the longest
+context seen; unseen there, an escape is coded with the share U/2T (U distinct symbols, T occurrences; a symbol seen n
+times has (2n-1)/2T) and the next shorter context tries, without the symbols that the longer one has excluded. As a
+longer context's symbols are a subset of the shorter's, what remains after exclusion is two numbers for each context.
 After the empty context, all byte values not yet seen are equally likely.
 
-The trie that tasks are sent has at most ``nodes`` leaves: beyond that, the rarest leaves (below one count for all, found
-from the histogram of counts) are merged into their shorter contexts. The counts themselves always cover the whole corpus.
+The trie is never in one place. A text's score is the sum of the log-probabilities of its (order+1)-grams, so:
+
+1. Texts are taken in blocks of about BLOCK bytes, in the order in which their partitions are read. A block sends each
+   part (a hash of the gram) its distinct grams, with their numbers in training texts, and its distinct words likewise.
+2. A part sums them up: an index of grams and words with the blocks that ask for them.
+3. Grams are dealt by the last CONTEXT bytes of their contexts. Such a share has whole subtrees of the trie, and finds the
+   log-probabilities of all its grams at once; the levels above, of which there are at most 256^CONTEXT grams whatever
+   the input, are broadcast.
+4. Parts send each block its grams' log-probabilities and its words' counts, and the block's texts are scored by them.
 
 Null text counts as empty: it has the end symbol alone. Repeated rows score alike. With no training text, the model is
-uniform over bytes. Other columns aren't read.
+uniform over bytes and base scores are zero. An empty table gives an empty result. Other columns aren't read. The table
+is read twice and must come in the same partitions both times, as files do; rows that don't raise an error.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored
 from lodestone.llm.simhash import words
 
-END = 10  # a line feed, which no word has
-#: Bytes that are scored or counted at once.
-BLOCK = 1 << 20
-#: Distinct grams, or words, of a task between two emissions.
-HELD = 1 << 20
+#: Bytes of the texts that share a table of grams, and of the texts that are taken apart at once.
+BLOCK, STEP = 1 << 24, 1 << 20
+#: Bytes of text for each part of the index; grams that are sorted at once.
+PART, SORTED = 1 << 24, 1 << 22
+#: Context bytes that share a subtree.
+CONTEXT = 3
+
+
+def mask(n: int) -> np.uint64:
+    """The low n bytes."""
+    return np.uint64((1 << 8 * n) - 1)
 
 
-def stream(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of all texts, each after ``order`` end symbols as context, and where each text's symbols begin."""
+def grams(texts: list[list[bytes]], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The (order+1)-grams that end at the symbols of texts, given as words, and the text of each; a bounded number at once."""
     pad = b"\n" * order
     parts = [pad + b" ".join(t) + b"\n" for t in texts]
-    ends = np.cumsum([len(p) for p in parts])
-    return np.frombuffer(b"".join(parts), dtype=np.uint8), ends
+    lengths = np.array([len(p) for p in parts], dtype=np.int64)
+    symbols, starts = np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum(lengths) - lengths
+    on, text = np.ones(len(symbols), dtype=bool), np.repeat(np.arange(len(parts), dtype=np.uint64), lengths)
+    on[(starts[:, None] + np.arange(order)).ravel()] = False  # the padding is context alone
+    for at in range(0, len(symbols) - order, STEP):
+        piece = symbols[at : at + STEP + order]
+        key = np.zeros(len(piece) - order, dtype=np.uint64)
+        for i in range(order + 1):
+            key <<= np.uint64(8)
+            key |= piece[i : i + len(key)]
+        now = slice(at + order, at + order + len(key))
+        yield key[on[now]], text[now][on[now]]
 
 
-def grams(symbols: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The (order+1)-gram that ends at each symbol of the texts, as a number, and how many each text has."""
-    key = np.zeros(len(symbols) - order, dtype=np.uint64)
-    for i in range(order + 1):
-        key = key << np.uint64(8) | symbols[i : i + len(key)]
-    lengths = np.diff(ends, prepend=0) - order
-    # grams that end in a text's own padding fall out; the first text's are not there to begin with
-    on = np.ones(len(symbols), dtype=bool)
-    starts = ends - lengths - order
-    on[(starts[:, None] + np.arange(order)).ravel()] = False
-    return key[on[order:]], lengths
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
 
 
 def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and their summed counts."""
-    if not len(keys):
-        return keys, counts
-    by = np.argsort(keys, kind="stable")
-    keys, counts = keys[by], counts[by]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
-
-
-class Table:
-    """Open addressing over unsigned keys, looked up many at a time."""
-
-    FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-    def __init__(self, keys: np.ndarray):
-        bits = max(4, int(2 * len(keys)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.key, self.at = np.full(1 << bits, self.FREE), np.zeros(1 << bits, dtype=np.int32)
-        todo, slot = np.arange(len(keys)), self._slot(keys)
-        while len(todo):
-            free = self.key[slot] == self.FREE
-            self.at[slot[free]] = todo[free]  # of those that meet at a slot, the last one stays
-            won = free & (self.at[slot] == todo)
-            self.key[slot[won]] = keys[todo[won]]
-            todo, slot = todo[~won], (slot[~won] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, or -1."""
-        slot = self._slot(keys)
-        there = self.key[slot]
-        out = np.where(there == keys, self.at[slot], np.int32(-1))
-        todo = np.flatnonzero((there != keys) & (there != self.FREE))
-        slot = slot[todo]
-        while len(todo):
-            slot = (slot + 1) & self.mask
-            there = self.key[slot]
-            hit = there == keys[todo]
-            out[todo[hit]] = self.at[slot[hit]]
-            on = ~hit & (there != self.FREE)
-            todo, slot = todo[on], slot[on]
-        return out
+    if len(keys) and not (keys[1:] >= keys[:-1]).all():
+        by = np.argsort(keys, kind="stable")
+        keys, counts = keys[by], counts[by]
+    at = firsts(keys)
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key in a sorted table, or -1."""
+    if not len(table):
+        return np.full(len(keys), -1, dtype=np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
+def levels(keys: np.ndarray, n: np.ndarray, orders: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct grams of each order in orders, and their counts, from those of a longer order or of the longest one asked for."""
+    out = []
+    for k in reversed(orders):
+        keys, n = add_up(keys & mask(k + 1), n)
+        out.append((keys, n))
+    return out[::-1]
 
 
 class Trie:
     """Log10 probabilities from the counts of grams of each order."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels[k]: sorted grams of k+1 bytes and their counts."""
-        self.order = len(levels) - 1
-        totals, kinds, contexts = [], [], []
+        """levels[k]: sorted grams of k+1 bytes and their counts. Shorter grams of each gram are there, and all symbols of their contexts."""
+        self.order, self.levels = len(levels) - 1, levels
+        totals, kinds, self.contexts = [], [], []
         for keys, n in levels:
             c, total = add_up(keys >> np.uint64(8), n)
-            contexts.append(c)
+            self.contexts.append(c)
             totals.append(total.astype(np.float64))
             kinds.append(add_up(keys >> np.uint64(8), np.ones(len(keys), dtype=np.int64))[1].astype(np.float64))
-        self.grams = [Table(keys) for keys, _ in levels]
-        self.log_n = [np.log10(2 * n.astype(np.float64) - 1).astype(np.float32) for _, n in levels]
-        self.contexts = [Table(c) for c in contexts]
         with np.errstate(divide="ignore", invalid="ignore"):
             self.log_all = [np.log10(2 * t) for t in totals]
             self.escape = [np.log10(u / (2 * t)) for t, u in zip(totals, kinds, strict=True)]
             self.log_rest, self.escape_rest = [None], [None]  # of a context of order k, for the step at order k-1 after its escape
             for k in range(1, self.order + 1):
-                keys, n = levels[k]
-                low = np.uint64((1 << 8 * k) - 1)
-                below = levels[k - 1][1][np.searchsorted(levels[k - 1][0], keys & low)]
-                owner = np.searchsorted(contexts[k], keys >> np.uint64(8))
-                gone = np.bincount(owner, weights=below, minlength=len(contexts[k]))
-                shorter = np.searchsorted(contexts[k - 1], contexts[k] & np.uint64((1 << 8 * (k - 1)) - 1))
+                keys, contexts = levels[k][0], self.contexts[k]
+                below = levels[k - 1][1][np.searchsorted(levels[k - 1][0], keys & mask(k))]
+                gone = np.bincount(np.searchsorted(contexts, keys >> np.uint64(8)), weights=below, minlength=len(contexts))
+                shorter = np.searchsorted(self.contexts[k - 1], contexts & mask(k - 1))
                 t, u = totals[k - 1][shorter] - gone, kinds[k - 1][shorter] - kinds[k]
                 self.log_rest.append(np.log10(2 * t))
                 self.escape_rest.append(np.where(u > 0, np.log10(u / (2 * t)), 0.0))  # nothing left: the escape is certain
-        seen = kinds[0][0] if len(kinds[0]) else 0
-        self.unseen = float(-np.log10(max(1, 256 - seen)))
+        self.unseen = float(-np.log10(max(1, 256 - len(levels[0][0]))))
 
     def log10(self, key: np.ndarray) -> np.ndarray:
         """Of the last byte of each (order+1)-gram after the others."""
         out = np.zeros(len(key))
-        todo, came = np.arange(len(key)), np.full(len(key), -1, dtype=np.int32)  # came: the longer context that was escaped, or -1
+        todo, came = np.arange(len(key)), np.full(len(key), -1, dtype=np.int64)  # came: the longer context that was escaped, or -1
         for k in range(self.order, -1, -1):
-            g = key[todo] & np.uint64((1 << 8 * (k + 1)) - 1)
-            at = self.grams[k].find(g)
+            g = key[todo] & mask(k + 1)
+            at, ctx = find(self.levels[k][0], g), find(self.contexts[k], g >> np.uint64(8))
             hit, fresh = at >= 0, came < 0
-            ctx = np.full(len(g), -1, dtype=np.int32)
-            need = fresh | ~hit
-            ctx[need] = self.contexts[k].find(g[need] >> np.uint64(8))
-            a = hit & fresh
-            out[todo[a]] += self.log_n[k][at[a]] - self.log_all[k][ctx[a]]
-            b = hit & ~fresh
-            if b.any():
-                out[todo[b]] += self.log_n[k][at[b]] - self.log_rest[k + 1][came[b]]
+            own = np.log10(2 * self.levels[k][1][at[hit]].astype(np.float64) - 1)
+            rest = np.where(fresh[hit], self.log_all[k][ctx[hit]], self.log_rest[k + 1][came[hit]] if k < self.order and len(self.log_rest[k + 1]) else 0.0)
+            out[todo[hit]] += own - rest
             c = ~hit & fresh & (ctx >= 0)
             out[todo[c]] += self.escape[k][ctx[c]]
             d = ~hit & ~fresh
             if d.any():
                 out[todo[d]] += self.escape_rest[k + 1][came[d]]
             todo, came = todo[~hit], ctx[~hit]
-            if not len(todo):
-                return out
         out[todo] += self.unseen
         return out
 
-    def score(self, texts: list[list[bytes]]) -> np.ndarray:
-        """The sum over each text's symbols."""
-        symbols, ends = stream(texts, self.order)
-        key, lengths = grams(symbols, ends, self.order)
-        at = np.cumsum(lengths) - lengths
-        return np.add.reduceat(np.concatenate([self.log10(key[i : i + BLOCK]) for i in range(0, len(key), BLOCK)]), at)
-
 
-def blocks(texts: list[str | None]) -> Iterator[list[list[bytes]]]:
-    """The words of texts, a bounded number of bytes at a time; a single text is never parted."""
-    out, n = [], 0
-    for t in texts:
+def in_blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a partition with the number of their block, which follows from the bytes of the texts before them."""
+    part, done = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64) + 16
+        before = done + np.cumsum(size) - size
+        done += int(size.sum())
+        at = [*firsts(before // BLOCK), batch.num_rows]
+        for a, b in zip(at, at[1:], strict=False):
+            yield part << 32 | int(before[a] // BLOCK), batch.slice(a, b - a)
+
+
+def steps(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(the first's place, the words of each) of some texts at a time."""
+    out, n, first = [], 0, 0
+    for i, t in enumerate(texts):
         out.append(words(t))
         n += len(t or "") + 16
-        if n >= BLOCK:
-            yield out
-            out, n = [], 0
+        if n >= STEP:
+            yield first, out
+            out, n, first = [], 0, i + 1
     if out:
-        yield out
+        yield first, out
+
+
+class Asked:
+    """The distinct grams and words of a block, with their numbers in training texts."""
+
+    def __init__(self, order: int):
+        self.order, self.held, self.buffer, self.n = order, [], np.empty(max(SORTED, STEP), dtype=np.uint64), 0
+        self.words: Counter = Counter()
+        self.texts = 0
+
+    def add(self, texts: list[list[bytes]], learn: np.ndarray) -> None:
+        for key, text in grams(texts, self.order):
+            if self.n + len(key) > len(self.buffer):
+                self.flush()
+            self.buffer[self.n : self.n + len(key)] = key << np.uint64(1) | learn[text.astype(np.int64)]
+            self.n += len(key)
+        for t, on in zip(texts, learn.tolist(), strict=True):
+            if on:
+                self.words.update(t)
+                self.texts += 1
+            else:
+                self.words.update(dict.fromkeys(t, 0))
+
+    def flush(self) -> None:
+        now = self.buffer[: self.n]
+        now.sort()
+        at = firsts(now)
+        self.held.append((now[at], np.diff(np.append(at, self.n))))
+        self.n = 0
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        self.flush()
+        key, n = add_up(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
+        return add_up(key >> np.uint64(1), np.where(key & np.uint64(1), n, 0))
+
+
+def by_part(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in order of their part, where each part begins and ends)."""
+    by = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+    return by, np.searchsorted(part[by], np.arange(parts + 1))
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def _table(columns: dict, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if columns[schema.names[0]]:
+        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
 
+def _schema(text: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
-def gather(docs: DataFrame, order: int, text_col: str) -> DataFrame:
-    """kind 0: n of each gram; kind 1: n of each word; kind 2: the number of texts. Summed in each task, then over all."""
+    return to_arrow_schema(_parse_datatype_string(text))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first: in order or small, they then compress well where they are shuffled."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _unpacked(raw: bytes, kind: str) -> np.ndarray:
+    x = np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(x.T).view(kind).ravel()
+
+
+def _numbers(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
+    return [_unpacked(x, kind) for x in column.to_pylist()]
+
+
+def _joined(arrays: list[np.ndarray], kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=kind), *arrays])
+
+
+ASKED = "part long, block long, grams binary, n binary, words array<binary>, word_n array<long>, texts long"
+INDEX = "part long, grams binary, n binary, asks binary, blocks binary, words array<binary>, word_n array<long>, word_asks binary, word_blocks binary, texts long, words_n long, words_seen long, low binary, low_n binary"
+FOUND = "block long, grams binary, logs binary, words array<binary>, word_n array<long>"
+
+
+def asked(docs: DataFrame, order: int, parts: int) -> DataFrame:
+    """Step 1, from (id, text, learn)."""
+    schema = _schema(ASKED)
+
+    def emit(block: int, a: Asked) -> Iterator[pa.RecordBatch]:
+        key, n = a.grams()
+        by, at = by_part(part_of(key, parts), parts)
+        key, n = key[by], n[by].astype("<u4")
+        said: list[list] = [[] for _ in range(parts)]
+        for w in a.words:
+            said[zlib.crc32(w) % parts].append(w)
+        out: dict[str, list] = {f: [] for f in schema.names}
+        for p in range(parts):
+            if at[p] < at[p + 1] or said[p] or not p:
+                row = (p, block, _packed(key[at[p] : at[p + 1]]), _packed(n[at[p] : at[p + 1]]), said[p], [*map(a.words.__getitem__, said[p])], a.texts if not p else 0)
+                for f, v in zip(out, row, strict=True):
+                    out[f].append(v)
+        yield from _table(out, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held, seen, n_texts = [], 0, Counter(), 0
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            key, n = add_up(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(key), len(seen), 1])
-            grams_ = pa.concat_arrays([pa.array(key.view(np.int64)), pa.nulls(len(seen) + 1, pa.int64())])
-            words_ = pa.concat_arrays([pa.nulls(len(key), pa.binary()), pa.array([*seen], pa.binary()), pa.nulls(1, pa.binary())])
-            yield from pa.table([pa.array(kinds), grams_, words_, pa.array(np.concatenate([n, [*seen.values()], [n_texts]]).astype(np.int64))], names=["kind", "gram", "word", "n"]).to_batches(max_chunksize=1 << 16)
-            held.clear()
-            seen.clear()
-
-        for batch in batches:
-            for texts in blocks(batch.column(0).to_pylist()):
-                key, _ = grams(*stream(texts, order), order)
-                held.append(add_up(key, np.ones(len(key), dtype=np.int64)))
-                n_held += len(held[-1][0])
-                if n_held > HELD:
-                    held[:] = [add_up(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                    n_held = len(held[0][0])
-                n_texts += len(texts)
-                for t in texts:
-                    seen.update(t)
-                if n_held > HELD or len(seen) > HELD:
-                    yield from emit()
-                    n_held, n_texts = 0, 0
-        yield from emit()
-
-    parts = docs.select(text_col).mapInArrow(run, "kind int, gram long, word binary, n long")
-    return parts.groupBy("kind", "gram", "word").agg(F.sum("n").alias("n"))
-
-
-def bounded(df: DataFrame, most: int) -> int:
-    """The least count such that at most ``most`` rows have it or more, from the histogram of counts by powers of two and then exactly."""
-    by = sorted(((r["b"], r["c"]) for r in df.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("c")).collect()), reverse=True)
-    room, least = most, 1
-    for b, c in by:
-        if c > room:
-            least = 1 << int(b) + 1
-            exact = df.filter((F.col("n") >= 1 << int(b)) & (F.col("n") < least)).groupBy("n").agg(F.count("*").alias("c"))
-            for r in exact.orderBy(F.desc("n")).limit(1 << 12).collect():
-                if r["c"] > room:
-                    break
-                room, least = room - r["c"], r["n"]
-            break
-        room -= c
-    return least
-
-
-def levels(counts: DataFrame, order: int, nodes: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The trie's grams of each order, at most ``nodes`` of each; what comes to the driver has that size."""
-
-    def bring(df: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-        t = df.filter(F.col("n") >= least).select("gram", "n").toArrow()
-        key, n = np.asarray(t["gram"], dtype=np.int64).view(np.uint64), np.asarray(t["n"], dtype=np.int64)
-        by = np.argsort(key)
-        return key[by], n[by]
-
-    out, now = [], counts.filter("kind = 0").select("gram", "n")
-    for k in range(order, -1, -1):
-        if out and out[-1][2] == 1:  # all of the longer grams are here: the shorter are their sums
-            key, n, _ = out[-1]
-            out.append((*add_up(key & np.uint64((1 << 8 * (k + 1)) - 1), n), 1))
-            continue
-        if out:
-            now = now.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        least = bounded(now, nodes)
-        out.append((*bring(now, least), least))
-    return [(key, n) for key, n, _ in out[::-1]]
+        last, now = None, None
+        for block, rows in in_blocks(batches, 1):
+            if block != last:
+                if now:
+                    yield from emit(last, now)
+                last, now = block, Asked(order)
+            learn = np.asarray(rows.column(2).to_pylist(), dtype=bool)
+            for at, texts in steps(rows.column(1).to_pylist()):
+                now.add(texts, learn[at : at + len(texts)])
+        if now:
+            yield from emit(last, now)
 
+    return docs.mapInArrow(run, ASKED)
 
-def trie(sent: Broadcast) -> Trie:
-    """The trie of a broadcast, built once in a worker: it stays with the worker's copy."""
-    if not hasattr(sent, "trie"):
-        sent.trie = Trie(sent.value)
-    return sent.trie
 
+def indexed(asks: DataFrame, order: int, context: int) -> DataFrame:
+    """Step 2: a row for each part. The shorter grams' counts go along, for the levels that are broadcast."""
+    schema = _schema(INDEX)
 
-def lm_scores(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 5, nodes: int = 1 << 22, common: int = 200_000) -> DataFrame:
-    """id, n_tokens, n_known, train_tokens, base_score, score.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        blocks, each = np.asarray(t["block"], dtype="<i8"), _numbers(t["grams"], "<u8")
+        key, n = _joined(each, "<u8"), _joined(_numbers(t["n"], "<u4"), "<i8")
+        block = np.repeat(blocks, [len(x) for x in each])
+        by = np.argsort(key, kind="stable")
+        key, n, block = key[by], n[by], block[by]
+        at = firsts(key)
+        grams_, n = key[at], np.add.reduceat(n, at) if len(at) else n
+        of: dict[bytes, list] = {}
+        for b, said, counts in zip(blocks.tolist(), t["words"].to_pylist(), t["word_n"].to_pylist(), strict=True):
+            for w, c in zip(said, counts, strict=True):
+                if (x := of.get(w)) is None:
+                    of[w] = [c, b]
+                else:
+                    x[0] += c
+                    x.append(b)
+        seen = n > 0
+        low, low_n = add_up(grams_[seen] & mask(context), n[seen])
+        counts = [x[0] for x in of.values()]
+        row = {
+            "part": t["part"][0].as_py(), "grams": _packed(grams_), "n": _packed(n), "asks": _packed(np.diff(np.append(at, len(key))).astype("<u4")), "blocks": _packed(block),
+            "words": [*of], "word_n": counts, "word_asks": _packed(np.array([len(x) - 1 for x in of.values()], dtype="<u4")), "word_blocks": _packed(np.array([b for x in of.values() for b in x[1:]], dtype="<i8")),
+            "texts": pc.sum(t["texts"]).as_py(), "words_n": sum(counts), "words_seen": sum(c > 0 for c in counts), "low": _packed(low), "low_n": _packed(low_n),
+        }
+        yield from _table({k: [v] for k, v in row.items()}, schema)
+
+    return asks.groupBy("part").applyInArrow(run, INDEX)
+
+
+def short_levels(index: DataFrame, context: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The trie's levels of grams of up to ``context`` bytes; what comes to the driver is at most 256^context numbers."""
+    if not context:
+        return []
 
-    base_score is the add-one unigram over words. Words that are among the ``common`` most frequent and at most 64 bytes
-    are looked up in a broadcast table of that size; the others are joined by word, whatever their number.
-    """
-    spark = docs.sparkSession
-    counts = stored(gather(training, order, text_col))
-    sent = spark.sparkContext.broadcast(levels(counts, order, nodes))
-    of_words = counts.filter("kind = 1").select("word", "n")
-    n_words, kinds = of_words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_texts = counts.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    total, v = n_words + n_texts, kinds + (n_texts > 0)
-    short = of_words.filter(F.octet_length("word") <= 64)
-    least = bounded(short, common)
-    frequent = short.filter(F.col("n") >= least).toArrow()
-    table = spark.sparkContext.broadcast(dict(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low, n in zip(_numbers(b.column(0), "<i8"), _numbers(b.column(1), "<i8"), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(n)], names=["gram", "n"])
+
+    t = index.select("low", "low_n").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return levels(np.asarray(t["gram"], dtype=np.int64).view(np.uint64), np.asarray(t["n"], dtype=np.int64), range(context))
+
+
+def predicted(index: DataFrame, order: int, context: int, parts: int) -> DataFrame:
+    """Step 3: (part, grams, logs) of all grams."""
+    sent = index.sparkSession.sparkContext.broadcast(short_levels(index, context))
+    dealt_schema, schema = _schema("share long, part long, grams binary, n binary"), _schema("part long, grams binary, logs binary")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, key, n in zip(b.column(0).to_pylist(), _numbers(b.column(1), "<u8"), _numbers(b.column(2), "<i8"), strict=True):
+                by, at = by_part(part_of(key >> np.uint64(8) & mask(context), parts), parts)
+                some = [s for s in range(parts) if at[s] < at[s + 1]]
+                key, n = key[by], n[by]
+                yield from _table({"share": some, "part": [p] * len(some), "grams": [_packed(key[at[s] : at[s + 1]]) for s in some], "n": [_packed(n[at[s] : at[s + 1]]) for s in some]}, dealt_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, model = table.value.get, trie(sent)
-        for batch in batches:
-            at = 0
-            for texts in blocks(batch.column(1).to_pylist()):
-                found = [[*map(get, t)] for t in texts]
-                known = [np.array([*filter(None, x), n_texts], dtype=np.float64) for x in found]
-                rare = [[*Counter(w for w, c in zip(t, x, strict=True) if c is None).items()] if None in x else [] for t, x in zip(texts, found, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[at : at + len(texts)],
-                        pa.array([len(t) + 1 for t in texts], pa.int64()),
-                        pa.array([int((k > 0).sum()) for k in known], pa.int64()),
-                        pa.array([float(np.log10(k + 1).sum()) for k in known]),
-                        pa.array(model.score(texts)),
-                        pa.array([[{"word": w, "k": k} for w, k in r] for r in rare], rare_type),
-                    ],
-                    names=["id", "n_tokens", "known", "logs", "score", "rare"],
-                )
-                at += len(texts)
-
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
-    schema = "id long, n_tokens long, known long, logs double, score double, rare array<struct<word binary, k long>>"
-    scored = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
-    # only words that training has can add anything
-    more = rare.join(of_words, "word").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("logs_"))
-    out = scored.drop("rare").join(more, "row", "left")
-    base = F.col("logs") + F.coalesce("logs_", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total + v + 1)))
-    known = F.col("known") + F.coalesce("k", F.lit(0))
-    return out.select(F.col("id").alias(id_col), "n_tokens", known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+        t = pa.Table.from_batches(batches)
+        each = _numbers(t["grams"], "<u8")
+        key, n = _joined(each, "<u8"), _joined(_numbers(t["n"], "<i8"), "<i8")
+        by = np.argsort(key, kind="stable")
+        key, n = key[by], n[by]
+        trie = Trie(sent.value + levels(key[n > 0], n[n > 0], range(context, order + 1)))
+        logs = np.empty(len(key))
+        logs[by] = trie.log10(key)
+        ends = np.cumsum([len(x) for x in each])
+        yield from _table({"part": t["part"].to_pylist(), "grams": [_packed(x) for x in each], "logs": [_packed(logs[e - len(x) : e]) for x, e in zip(each, ends, strict=True)]}, schema)
+
+    return index.select("part", "grams", "n").mapInArrow(deal, "share long, part long, grams binary, n binary").groupBy("share").applyInArrow(run, "part long, grams binary, logs binary")
+
+
+def answered(index: DataFrame, logs: DataFrame) -> DataFrame:
+    """Step 4, the parts' side: what each block asked for."""
+    schema = _schema(FOUND)
+
+    def entries(asks: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the blocks, the places of what they asked for, where each block's begin)."""
+        ids, block = np.unique(blocks, return_inverse=True)
+        place = np.repeat(np.arange(len(asks)), asks)
+        by, at = by_part(block, len(ids))
+        return ids, place[by], at
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[int, list] = {}
+        for x in left.to_pylist():
+            key, log = _joined(_numbers(right["grams"], "<u8"), "<u8"), _joined(_numbers(right["logs"], "<f8"), "<f8")
+            by = np.argsort(key, kind="stable")
+            key, log = key[by], log[by]
+            ids, place, at = entries(_unpacked(x["asks"], "<u4"), _unpacked(x["blocks"], "<i8"))
+            for k, b in enumerate(ids.tolist()):
+                p = place[at[k] : at[k + 1]]
+                out[b] = [_packed(key[p]), _packed(log[p]), [], []]
+            said, counts = pa.array(x["words"], pa.binary()), np.array(x["word_n"], dtype=np.int64)
+            ids, place, at = entries(_unpacked(x["word_asks"], "<u4"), _unpacked(x["word_blocks"], "<i8"))
+            for k, b in enumerate(ids.tolist()):
+                p = place[at[k] : at[k + 1]]
+                out.setdefault(b, [b"", b"", [], []])[2:] = [said.take(pa.array(p)).to_pylist(), counts[p].tolist()]
+        return pa.table([pa.array([*out], pa.int64()), *(pa.array([x[i] for x in out.values()], schema.field(i + 1).type) for i in range(4))], schema=schema)
+
+    return index.select("part", "asks", "blocks", "words", "word_n", "word_asks", "word_blocks").groupBy("part").cogroup(logs.groupBy("part")).applyInArrow(run, FOUND)
+
+
+def scored(docs: DataFrame, found: DataFrame, order: int) -> DataFrame:
+    """Step 4, the blocks' side: id, n_tokens, n_known, logs, score; the end symbol isn't in n_known and logs."""
+    tagged = "id long, text string, block long"
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in in_blocks(batches, 1):
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(rows.num_rows, block, dtype=np.int64))], names=["id", "text", "block"])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, log = _joined(_numbers(right["grams"], "<u8"), "<u8"), _joined(_numbers(right["logs"], "<f8"), "<f8")
+        by = np.argsort(key, kind="stable")
+        key, log = key[by], log[by]
+        count = {w: c for said, counts in zip(right["words"].to_pylist(), right["word_n"].to_pylist(), strict=True) for w, c in zip(said, counts, strict=True)}
+        tokens, known, logs, score = (np.zeros(left.num_rows, dtype=k) for k in (np.int64, np.int64, np.float64, np.float64))
+        for at, texts in steps(left["text"].to_pylist()):
+            now = slice(at, at + len(texts))
+            for g, text in grams(texts, order):
+                g = g << np.uint64(16) | text
+                g.sort()
+                new = firsts(g >> np.uint64(16))
+                place = find(key, g[new] >> np.uint64(16))
+                if (place < 0).any():
+                    raise RuntimeError("the documents came in other partitions when they were read again; write them to a table first")
+                score[now] += np.bincount((g & np.uint64(0xFFFF)).astype(np.int64), weights=np.repeat(log[place], np.diff(np.append(new, len(g)))), minlength=len(texts))
+            n = np.array([len(t) for t in texts])
+            c = np.fromiter(map(count.__getitem__, chain.from_iterable(texts)), dtype=np.float64, count=int(n.sum()))
+            of = np.repeat(np.arange(len(texts)), n)
+            tokens[now], known[now], logs[now] = n + 1, np.bincount(of, weights=c > 0, minlength=len(texts)), np.bincount(of, weights=np.log10(c + 1), minlength=len(texts))
+        return pa.table([left["id"], pa.array(tokens), pa.array(known), pa.array(logs), pa.array(score)], names=["id", "n_tokens", "known", "logs", "score"])
+
+    return docs.select("id", "text").mapInArrow(tag, tagged).groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, "id long, n_tokens long, known long, logs double, score double")
+
+
+def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 5) -> DataFrame:
+    """id, n_tokens, n_known, train_tokens, base_score, score of every row of docs; the model learns from the rows where ``learn`` holds.
+
+    base_score is the add-one unigram over words. order is at most 5, so that a gram and the place of its text fit a number.
+    """
+    if not 0 <= order <= 5:
+        raise ValueError("order is from 0 to 5")
+    rows, context = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn")), min(order, CONTEXT)
+    parts = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART))
+    index = stored(indexed(asked(rows, order, parts), order, context))
+    texts, n, kinds = (x or 0 for x in index.agg(F.sum("texts"), F.sum("words_n"), F.sum("words_seen")).first())
+    total, v = n + texts, kinds + (texts > 0)
+    out = scored(rows, answered(index, predicted(index, order, context, parts)), order)
+    base = F.col("logs") + F.lit(float(np.log10(texts + 1))) - F.col("n_tokens") * F.lit(float(np.log10(total + v + 1)))
+    return out.select(F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.lit(int(texts > 0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -44,7 +44,7 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text"), crc_fold("doc_id", 7) == 2
-    out = ppm.lm_scores(docs, docs.filter(~held_out))
+    out = ppm.lm_scores(docs, ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
