@@ -57,7 +57,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), length=400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # the remaining text goes along; a character of which some bytes are gone is U+FFFD there
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_simhash_neardup, op3_topk, op4_packing, op5_bpe, op6_exact_dedup, op7_html_extract, op8_lm_score, op9_quality, op10_suffix_dedup)}

@@ -13,16 +13,19 @@ by round only the previous order and prefixes are read, in sequence, for all anc
 collection construction with its rows limited to aligned suffixes: inserted into one transform of everything, each round
 would rewrite the transform, once for each byte of the longest document.
 
-Equal windows are one, with its number of occurrences; two or more make all their strings repeated. An anchor with more
-than GROUP different windows isn't ordered in one task: digests of its strings are counted instead, in parts that are
-summed before they are dealt out, so that a passage in a third of all documents is no hot key.
+Equal windows (of one 128-bit BLAKE2 digest) are a class. It sends two of its occurrences, the first and the last, to the
+construction, however many there are, so a passage in a third of all documents is no large group, and it is the bytes of
+unlike places that are compared. An anchor with more than GROUP different windows isn't ordered in one task: digests of
+its strings are counted instead, in parts that are summed before they are dealt out.
 
 Null text counts as empty; texts under ``length`` bytes lose nothing. Repeated rows are documents of their own: they
-share all their strings, so they lose all of them. An empty table gives an empty result. Other columns aren't read.
+share all their strings, so they lose all of them. A row is known by its id and a hash of its id and text. An empty table
+gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,47 +136,52 @@ SPANS = "array<struct<a: int, b: int>>"
 
 
 def _occurrences(rows: dict, length: int) -> dict:
-    out: dict[str, list] = {k: [] for k in ("anchor", "window", "row", "pos", "back", "size")}
-    for row, text in zip(rows["row"], rows["text"], strict=True):
+    out: dict[str, list] = {k: [] for k in ("anchor", "window", "check", "row", "print", "pos", "back", "size")}
+    for row, print_, text in zip(rows["row"], rows["print"], rows["text"], strict=True):
         raw = (text or "").encode("utf-8", "surrogatepass")
         if len(raw) < length:
             continue
         h, place, first, last = windows(np.frombuffer(raw, dtype=np.uint8), length)
         back, size = place - first, last - first + length - 1
-        digest = [xxhash.xxh3_64_intdigest(raw[a : a + s], b) for a, s, b in zip(first.tolist(), size.tolist(), back.tolist(), strict=True)]
-        for k, v in zip(out, (h.view(np.int64), np.array(digest, dtype=np.uint64).view(np.int64), np.full(len(h), row, dtype=np.int64), place, back, size), strict=True):
+        digests = b"".join([hashlib.blake2b(raw[a : a + s], digest_size=16, salt=b.to_bytes(4, "little")).digest() for a, s, b in zip(first.tolist(), size.tolist(), back.tolist(), strict=True)])
+        window, check = np.frombuffer(digests, dtype="<i8").reshape(-1, 2).T
+        for k, v in zip(out, (h.view(np.int64), window, check, np.full(len(h), row, dtype=np.int64), np.full(len(h), print_, dtype=np.int64), place, back, size), strict=True):
             out[k].append(v)
     return {k: np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for k, v in out.items()}
 
 
 def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, removed): rows has row, id, text; removed has row and the covered spans [a, b) of its bytes, not merged."""
+    """(rows, removed): rows has row, print, id, text; removed has row, print and the covered spans [a, b) of its bytes, not merged."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select(F.xxhash64("id", "text").alias("row"), "id", "text")
-    found = per_batch(rows.select("row", "text"), "anchor long, window long, row long, pos int, back int, size int", lambda r: _occurrences(r, length))
+    rows = rows.select(F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("row"), F.xxhash64("id", "text").alias("print"), "id", "text")
+    found = per_batch(rows.select("row", "print", "text"), "anchor long, window long, check long, row long, print long, pos int, back int, size int", lambda r: _occurrences(r, length))
     found = stored(found)
     several = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     found = stored(found.join(stored(several), "anchor"))
-    one = F.min(F.struct("row", "pos", "back", "size")).alias("one")
-    classes = stored(found.groupBy("anchor", "window").agg(F.count("*").alias("n"), one).select("anchor", "window", "n", "one.*"))
-    groups = classes.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1")
-    unsure = classes.join(stored(groups), "anchor")
+    place = F.struct("row", "print", "pos", "back", "size")
+    classes = found.groupBy("anchor", "window", "check").agg(F.min(place).alias("one"), F.max(place).alias("other"), F.count("*").alias("n"))
+    classes = stored(classes.select("anchor", "window", "check", F.when(F.col("n") > 1, F.array("one", "other")).otherwise(F.array("one")).alias("places")))
+    crowded = classes.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > GROUP).select("anchor", F.lit(True).alias("crowded"))
 
-    # the bytes of one occurrence of each window that stands against others
-    asked = unsure.groupBy("row").agg(F.collect_list(F.struct("anchor", "window", "n", "k", "pos", "back", "size")).alias("asked"))
+    # the bytes of one occurrence of each window, or of two
+    asked = classes.join(stored(crowded), "anchor", "left").select("anchor", "window", "check", F.coalesce("crowded", F.lit(False)).alias("crowded"), F.posexplode("places").alias("copy", "at"))
+    asked = asked.select("at.row", "at.print", F.struct("anchor", "window", "check", "copy", "crowded", "at.pos", "at.back", "at.size").alias("asked"))
+    asked = asked.groupBy("row", "print").agg(F.collect_list("asked").alias("asked"))
 
     def cut_out(r: dict) -> dict:
-        out: dict[str, list] = {k: [] for k in ("anchor", "window", "k", "back", "bytes")}
+        names = ("anchor", "window", "check", "copy", "crowded", "back")
+        out: dict[str, list] = {k: [] for k in (*names, "bytes")}
         for text, asked_ in zip(r["text"], r["asked"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for x in asked_:
+                for name in names:
+                    out[name].append(x[name])
                 a = x["pos"] - x["back"]
-                for name, v in zip(out, (x["anchor"], x["window"], x["k"], x["back"], raw[a : a + x["size"]]), strict=True):
-                    out[name].append(v)
+                out["bytes"].append(raw[a : a + x["size"]])
         return out
 
-    texts = rows.select("row", "text").join(asked, "row")
-    cuts = stored(per_batch(texts, "anchor long, window long, k long, back int, bytes binary", cut_out).dropDuplicates(["anchor", "window"]))
+    texts = rows.select("row", "print", "text").join(asked, ["row", "print"])
+    cuts = stored(per_batch(texts, "anchor long, window long, check long, copy int, crowded boolean, back int, bytes binary", cut_out).dropDuplicates(["window", "check", "copy"]))
     tasks = max(1, -(-cuts.count() // TASK))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,31 +189,28 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
         group = np.unique(np.asarray(t["anchor"]), return_inverse=True)[1]
         got = repeated(group, t["bytes"].to_pylist(), np.asarray(t["back"], dtype=np.int64), length)
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        out = pa.table([t["anchor"], t["window"], pa.chunked_array([pa.array([[{"a": a, "b": b} for a, b in x] for x in got], kind)])], names=["anchor", "window", "spans"])
-        yield from out.filter(pa.array([bool(x) for x in got], pa.bool_())).combine_chunks().to_batches()
+        out = pa.table([t["window"], t["check"], pa.chunked_array([pa.array([[{"a": a, "b": b} for a, b in x] for x in got], kind)])], names=["window", "check", "spans"])
+        yield from out.filter(pa.array([bool(x) and not copy for x, copy in zip(got, t["copy"].to_pylist(), strict=True)], pa.bool_())).combine_chunks().to_batches()
 
     task = F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("task")
-    ordered = cuts.filter(F.col("k") <= GROUP).groupBy(task).applyInArrow(order, f"anchor long, window long, spans {SPANS}")
+    ordered = cuts.filter("NOT crowded").groupBy(task).applyInArrow(order, f"window long, check long, spans {SPANS}")
 
     def strings(r: dict) -> dict:
-        out: dict[str, list] = {k: [] for k in ("anchor", "window", "at", "string")}
-        for anchor, window, back, raw in zip(r["anchor"], r["window"], r["back"], r["bytes"], strict=True):
+        out: dict[str, list] = {k: [] for k in ("window", "check", "copy", "at", "string")}
+        for window, check, copy, back, raw in zip(r["window"], r["check"], r["copy"], r["back"], r["bytes"], strict=True):
             for i in range(len(raw) - length + 1):
-                for name, v in zip(out, (anchor, window, i - back, xxhash.xxh3_128_digest(raw[i : i + length])), strict=True):
+                for name, v in zip(out, (window, check, copy, i - back, xxhash.xxh3_128_digest(raw[i : i + length])), strict=True):
                     out[name].append(v)
         return out
 
-    many = per_batch(cuts.filter(F.col("k") > GROUP), "anchor long, window long, at int, string binary", strings)
-    twice = many.groupBy("anchor", "at", "string").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "at", "string")
-    counted = many.join(twice, ["anchor", "at", "string"]).groupBy("anchor", "window").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("spans"))
+    many = per_batch(cuts.filter("crowded").drop("anchor", "crowded"), "window long, check long, copy int, at int, string binary", strings)
+    twice = many.groupBy("at", "string").agg(F.count("*").alias("n")).filter("n > 1").select("at", "string")
+    counted = many.filter("copy = 0").join(twice, ["at", "string"]).groupBy("window", "check").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("spans"))
 
-    whole = F.array(F.struct((-F.col("back")).alias("a"), (F.col("size") - length + 1 - F.col("back")).alias("b")))
-    sure = classes.filter("n > 1").select("anchor", "window", whole.alias("spans"))
-    partly = ordered.unionByName(counted).join(classes.filter("n > 1").select("anchor", "window"), ["anchor", "window"], "left_anti")
-    gone = stored(sure.unionByName(partly))
+    gone = stored(ordered.unionByName(counted))
     covered = F.transform("spans", lambda s: F.struct((F.col("pos") + s["a"]).alias("a"), (F.col("pos") + s["b"] + length - 1).alias("b")))
-    removed = found.join(gone, ["anchor", "window"]).select("row", covered.alias("covered"))
-    return rows, removed.groupBy("row").agg(F.flatten(F.collect_list("covered")).alias("covered"))
+    removed = found.join(gone, ["window", "check"]).select("row", "print", covered.alias("covered"))
+    return rows, removed.groupBy("row", "print").agg(F.flatten(F.collect_list("covered")).alias("covered"))
 
 
 def merged(covered: list[dict] | None) -> list[tuple[int, int]]:
@@ -225,17 +230,18 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+    """id, n_bytes, n_removed, n_spans, kept (the remaining bytes), text (these bytes as text, U+FFFD where a character lost some of its own)."""
 
     def f(r: dict) -> dict:
-        out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "n_removed", "n_spans", "kept")}
+        out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "n_removed", "n_spans", "kept", "text")}
         for i, text, covered in zip(r["id"], r["text"], r["covered"], strict=True):
             raw, runs = (text or "").encode("utf-8", "surrogatepass"), merged(covered)
-            for name, v in zip(out, (i, len(raw), sum(b - a for a, b in runs), len(runs), without(raw, runs)), strict=True):
+            kept = without(raw, runs)
+            for name, v in zip(out, (i, len(raw), sum(b - a for a, b in runs), len(runs), kept, kept.decode("utf-8", "replace")), strict=True):
                 out[name].append(v)
         return out
 
     rows, removed = spans(docs, length, id_col, text_col)
-    out = per_batch(rows.join(stored(removed), "row", "left").select("id", "text", "covered"), "id long, n_bytes long, n_removed long, n_spans long, kept binary", f)
+    out = per_batch(rows.join(stored(removed), ["row", "print"], "left").select("id", "text", "covered"), "id long, n_bytes long, n_removed long, n_spans long, kept binary, text string", f)
     return out.withColumnRenamed("id", id_col)
 
