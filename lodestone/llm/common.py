@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word and whitespace-normalisation rules: space and \t \n \v \f \r.
@@ -70,6 +70,51 @@ def per_batch(df: DataFrame, schema: str, f: Callable[[dict[str, list]], dict[st
     return df.mapInArrow(run, schema)
 
 
+#: Bits of the map by which split_by() parts rows: 8 MB, whatever the input.
+BITS = 1 << 26
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one that df has no column of."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """row, print, id, text: row and print name a row by its id and text, where ids are null or repeated as well."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
+    return rows.select(F.coalesce("id", F.lit(0)).alias("row"), F.xxhash64("id", "text").alias("print"), *rows.columns)
+
+
+def split_by(df: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of df that may have a key of keys, rows that have none), by a map of BITS bits of the keys' hashes.
+
+    It keeps wide rows that a join can't touch out of its shuffle. The first part has all rows with a key and, as the map
+    fills, others as well, so the join still has to be made on it.
+    """
+    bit = F.pmod(F.xxhash64(*on), F.lit(BITS))
+    bucket, bits = unused(df, "bucket"), unused(df, "bits")
+    maps = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias(bits))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = df.withColumn(bucket, F.bitmap_bucket_number(bit)).join(F.broadcast(cut(maps)), bucket, "left")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return tuple(marked.filter(x).drop(bucket, bits) for x in (hit, ~hit))
+
+
+def without(docs: DataFrame, away: DataFrame, again: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows of the keys (row, print) in away; of those in again, which repeat a row, one stays."""
+    row, print_ = unused(docs, "row"), unused(docs, "print")
+    marked = docs.withColumns({row: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), print_: F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))})
+    near, rest = split_by(marked, away.unionByName(again).toDF(row, print_), [row, print_])
+    near = near.join(away.toDF(row, print_), [row, print_], "left_anti")
+    if again.head(1):
+        once = again.toDF(row, print_)
+        near = near.join(once, [row, print_], "left_anti").unionByName(near.join(once, [row, print_], "left_semi").dropDuplicates([row, print_]))
+    return rest.unionByName(near).select(docs.columns)
+
+
 def crc_fold(column: str, modulus: int):
     """crc32 of the id as text, modulo: the fixed folds of the contracts."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, per_batch, stored, unstored
+from lodestone.llm.common import cut, keyed, per_batch, split_by, stored, unstored, without
 from lodestone.llm.components import components
 
 SEED = 42
@@ -30,7 +30,7 @@ SEED = 42
 BLOCK = 1024
 #: Rows, about, whose shingles are counted to order them; rows of shared shingles that a task holds, one shingle's at least.
 SAMPLE, HELD = 4096, 1 << 18
-NAMES = ["token", "id", "root", "size", "place"]
+NAMES = ["token", "node", "root", "size", "place"]
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
@@ -220,7 +220,7 @@ def _shingles(text: str | None, n: int) -> np.ndarray:
 
 def _common(rows: DataFrame, shingle: int, most: int = 1 << 17) -> np.ndarray:
     """Shingles that several of a sample of rows have, the rarest first. It only orders what least_shingles() looks at."""
-    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
+    sample = rows.filter(F.pmod(F.xxhash64("print"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
 
     def f(r: dict) -> dict:
         return {"token": np.concatenate([np.zeros(0, np.uint64), *(_shingles(t, shingle) for t in r["text"])]).view(np.int64)}
@@ -260,8 +260,8 @@ def sharing(token: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.nd
             yield on[hit], to[hit]
 
 
-def sharing_pairs(rows: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): all pairs of ids, not yet in one of the groups (id, root), that can have the similarity; none is left out.
+def sharing_pairs(rows: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of nodes (row, print, node, root), not yet of one root, that can have the similarity; none is left out.
 
     Rows meet in every shingle of least_shingles(). They are sorted and read as a stream, so a task holds one shingle's
     rows at a time, and only pairs that pass the bounds on size and place are emitted.
@@ -272,7 +272,7 @@ def sharing_pairs(rows: DataFrame, groups: DataFrame, shingle: int, similarity:
 
     def first(r: dict) -> dict:
         sets = [_shingles(t, shingle) for t in r["text"]]
-        return {"id": r["id"], "size": [len(x) for x in sets], "tokens": [least_shingles(x, similarity, common, ranks).view(np.int64) for x in sets]}
+        return {"row": r["row"], "print": r["print"], "size": [len(x) for x in sets], "tokens": [least_shingles(x, similarity, common, ranks).view(np.int64) for x in sets]}
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -293,15 +293,15 @@ def sharing_pairs(rows: DataFrame, groups: DataFrame, shingle: int, similarity:
         if held:
             yield from emit(np.concatenate(held, axis=1))
 
-    # texts stay where they are; what is joined with the groups are the first shingles
-    of = per_batch(rows.filter("id IS NOT NULL"), "id long, size long, tokens array<long>", first)
-    of = of.join(groups, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "size", F.posexplode("tokens").alias("place", "token"))
+    # texts stay where they are; what is joined with the nodes are the first shingles
+    of = per_batch(rows, "row long, print long, size long, tokens array<long>", first)
+    of = of.join(nodes, ["row", "print"]).select("node", "root", "size", F.posexplode("tokens").alias("place", "token"))
     dealt = of.select(*(F.col(n).cast("long") for n in NAMES)).repartition("token").sortWithinPartitions("token", "size")
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 10, tables: int = 32, bits: int = 16) -> DataFrame:
-    """(id, component_id) of the rows that are not alone: groups linked by a Jaccard similarity of word shingles.
+def similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, distance: int, tables: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, members). nodes: row, print, id, copies, node of each different row; members: node, keep for the nodes in a group, where keep is the node of the group's least id (nulls last).
 
     First, large groups are found cheaply: fingerprints over the distinct pairs of neighbouring words meet in a table if
     they agree in its sampled bits, and in each bucket a fingerprint has its least neighbour within ``distance``. Then
@@ -310,35 +310,53 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alike. Equal fingerprints are compared with their first row.
     """
 
-    def f(rows: dict) -> dict:
-        values = np.array([_distinct_print(t) for t in rows["text"]], dtype=np.uint64)
-        return {"id": rows["id"], "fp": values.view(np.int64)}
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = cut(per_batch(rows, "id long, fp long", f))
-    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    def f(r: dict) -> dict:
+        values = np.array([_distinct_print(t) for t in r["text"]], dtype=np.uint64)
+        return {"row": r["row"], "print": r["print"], "id": r["id"], "fp": values.view(np.int64)}
+
+    rows = keyed(docs, id_col, text_col)
+    prints = per_batch(rows, "row long, print long, id long, fp long", f)
+    rows = rows.drop("id")
+    # numbered once: what is written is read from there on
+    nodes = cut(prints.groupBy("row", "print").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
+    classes = cut(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
     masks = [m - (1 << 64) if m >> 63 else m for m in sampled_masks(tables, bits)]
     pairs = dealt_buckets(classes.select("fp"), masks, lambda left, right: least_neighbours(left, right, distance))
     first = classes.select("fp", "least")
     pairs = pairs.distinct().join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select("a", "b")
-    twins = prints.join(classes.filter("n > 1").hint("merge"), "fp").filter("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    twins = nodes.join(classes.filter("n > 1").hint("merge"), "fp").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     tried = cut(pairs.unionByName(twins).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     del pairs, twins
-    groups = components(similar_pairs(rows, tried, shingle, similarity))
+    groups = components(similar_pairs(rows, nodes, tried, shingle, similarity))
     groups = cut(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()))
-    more = cut(sharing_pairs(rows, groups.withColumnRenamed("node", "id"), shingle, similarity).join(tried, ["a", "b"], "left_anti"))
-    edges = similar_pairs(rows, more, shingle, similarity).unionByName(groups.toDF("u", "v"))
-    return components(edges).select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+    rooted = nodes.select("row", "print", "node").join(groups, "node", "left").select("row", "print", "node", F.coalesce("root", "node").alias("root"))
+    more = cut(sharing_pairs(rows, rooted, shingle, similarity).join(tried, ["a", "b"], "left_anti"))
+    edges = similar_pairs(rows, nodes, more, shingle, similarity).unionByName(groups.toDF("u", "v"))
+    found = components(edges)
+    found = cut(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()))
+    least = found.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"))
+    return nodes, found.join(least, "root").select("node", F.col("least.node").alias("keep"))
 
 
-def similar_pairs(rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, v) of the pairs (a, b) of ids whose texts have the similarity."""
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 10, tables: int = 32, bits: int = 16) -> DataFrame:
+    """(id, component_id) of the different rows that are not alone: groups linked by a Jaccard similarity of word shingles, named by their least id."""
+    nodes, members = similar_members(docs, id_col, text_col, shingle, similarity, distance, tables, bits)
+    ids = nodes.select("node", "id")
+    out = members.join(ids, "node").join(ids.toDF("keep", "component_id"), "keep")
+    return out.select(F.col("id").alias(id_col), "component_id")
+
+
+def similar_pairs(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v) of the pairs (a, b) of nodes whose texts have the similarity; rows has row, print, text."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = cut(nodes.select("row", "print", "node").join(asked, "node"))
 
     def sets(r: dict) -> dict:
-        return {"id": r["id"], "set": [_shingles(t, shingle).tobytes() for t in r["text"]]}
+        return {"row": r["row"], "print": r["print"], "set": [_shingles(t, shingle).tobytes() for t in r["text"]]}
 
-    of = stored(per_batch(rows.join(asked, "id").select("id", "text"), "id long, set binary", sets).dropDuplicates(["id"]))
+    # texts stay where they are here as well
+    of = per_batch(split_by(rows, asked, ["row", "print"])[0], "row long, print long, set binary", sets)
+    of = stored(of.join(asked, ["row", "print"]).select("node", "set").dropDuplicates(["node"]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -367,6 +385,12 @@ def _distinct_print(text: str | None) -> int:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row, the least id, of each group of near duplicates; all columns stay."""
-    away = similar_groups(docs, id_col, text_col, shingle, similarity).filter(F.col(id_col) != F.col("component_id")).select(id_col)
-    return docs.join(away, id_col, "left_anti")
+    """docs with one row, that of the least id, of each group of near duplicates; all columns stay.
+
+    Rows are known by id and text, so a repeated id hides no text; of rows that agree in both, one stays, any of them. Null
+    text counts as empty, empty texts are one group, null ids come last, an empty table gives an empty result.
+    """
+    nodes, members = similar_members(docs, id_col, text_col, shingle, similarity, distance=10, tables=32, bits=16)
+    away = cut(members.filter("node != keep").select("node").join(nodes, "node").select("row", "print"))
+    again = cut(nodes.filter("copies > 1").select("row", "print").join(away, ["row", "print"], "left_anti"))
+    return without(docs, away, again, id_col, text_col)
