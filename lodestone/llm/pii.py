@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, stored
+from lodestone.llm.common import cut, stored, unused
 
 L = r"\p{L}"
 EMAIL = r"[\p{L}\p{N}_%+][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
@@ -41,6 +41,11 @@ GIVEN = {
 }
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va".split(), "cyrillic": "ба бе бо да де до га го ка ко ла ле ло ма мо на не но ра ре ро са се со та те то ва ви зо ри ли ни".split()}
 _LETTERS = {"a-z": "abcdefghijklmnopqrstuvwxyz", "а-я": "абвгдежзиклмнопрстуфхцчшэюя", "α-ω": "αβγδεζηθικλμνξοπρστυφχψω"}
+#: The first and last code point of the letters that other scripts' letters are replaced by; some of them where there are many.
+_SCRIPTS = {"Han": (0x4E00, 0x4EFF), "Hiragana": (0x3042, 0x3093), "Katakana": (0x30A2, 0x30F3), "Hangul": (0xAC00, 0xACFF), "Arabic": (0x0627, 0x064A), "Hebrew": (0x05D0, 0x05EA), "Devanagari": (0x0905, 0x0939), "Bengali": (0x0985, 0x09B9), "Tamil": (0x0B85, 0x0BB9), "Telugu": (0x0C05, 0x0C39), "Thai": (0x0E01, 0x0E2E), "Armenian": (0x0561, 0x0586), "Georgian": (0x10D0, 0x10F0), "Ethiopic": (0x1200, 0x1246)}
+_OTHERS = {name: "".join(filter(str.isalpha, map(chr, range(a, b + 1)))) for name, (a, b) in _SCRIPTS.items()}
+#: Attempts after which a surrogate grows by a letter or digit, so that no format runs out of them; attempts that are an error.
+WIDE, MOST = 8, 400
 
 
 def let(value: Column, f) -> Column:
@@ -79,11 +84,14 @@ def _chars(s: Column) -> Column:
 
 
 def _letter(c: Column, b: Column) -> Column:
-    """A letter of c's script, in lower case; what is no letter or digit stays."""
-    out = F.when(c.rlike(r"\d"), _pick("0123456789", b))
+    """A letter of c's script, in lower case (Latin for scripts that aren't known here); what is no letter or digit stays."""
+    out = F.when(c.rlike(r"\p{N}"), _pick("0123456789", b))
     for span, letters in _LETTERS.items():
         out = out.when(c.rlike(f"[{span}]"), _pick(letters, b))
-    return out.when(c.rlike(r"\p{IsCyrillic}"), _pick(_LETTERS["а-я"], b)).when(c.rlike(r"\p{IsGreek}"), _pick(_LETTERS["α-ω"], b)).when(c.rlike(r"\p{IsLatin}"), _pick(_LETTERS["a-z"], b)).otherwise(c)
+    out = out.when(c.rlike(r"\p{IsCyrillic}"), _pick(_LETTERS["а-я"], b)).when(c.rlike(r"\p{IsGreek}"), _pick(_LETTERS["α-ω"], b))
+    for script, letters in _OTHERS.items():
+        out = out.when(c.rlike(rf"(?=\p{{L}})\p{{Is{script}}}"), _pick(letters, b))
+    return out.when(c.rlike(r"\p{L}"), _pick(_LETTERS["a-z"], b)).otherwise(c)
 
 
 def _mapped(s: Column, d: Column) -> Column:
@@ -130,19 +138,24 @@ def _names(key: str, canon: Column, attempt: Column) -> Column:
 
 
 def core(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """The surrogate's canonical form."""
+    """The surrogate's canonical form. After WIDE attempts it gets longer, by one letter or digit more for each WIDE of them."""
     whole = _digest(key, kind, canon, attempt)
+    more = F.when(attempt >= WIDE, F.sequence(F.lit(1), (attempt / WIDE).cast("int"))).otherwise(F.array().cast("array<int>"))
+    longer = lambda letters: let(whole, lambda d: F.array_join(F.transform(more, lambda i: _pick(letters, _byte(d, i + 200))), ""))
+    letters_, digits = longer(_LETTERS["a-z"]), longer("0123456789")
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     name = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(let(whole, lambda d: _mapped(local, d)), F.lit("@"), let(_digest(key, F.lit("domain"), domain, F.lit(0)), lambda d: _mapped(name, d)), top)
+    email = F.concat(let(whole, lambda d: _mapped(local, d)), letters_, F.lit("@"), let(_digest(key, F.lit("domain"), domain, F.lit(0)), lambda d: _mapped(name, d)), top)
     ip = let(whole, lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(_byte(d, i), F.lit(254)) + 1).cast("string")), "."))
     hexed = let(whole, lambda d: F.array_join(F.transform(_chars(canon), lambda c, i: _pick("0123456789abcdef", _byte(d, i))), ""))
     mixed = let(whole, lambda d: F.array_join(F.transform(_chars(canon), lambda c, i: F.when(i < 4, c).when(c.rlike("[A-Z]"), F.upper(_letter(F.lower(c), _byte(d, i)))).otherwise(_letter(c, _byte(d, i)))), ""))
     secret = F.when(canon.rlike("^[0-9a-f]+$"), hexed).when(canon.rlike("^[0-9A-F]+$"), F.upper(hexed)).otherwise(mixed)
     iban = let(whole, lambda d: F.array_join(F.transform(_chars(canon), lambda c, i: F.when(i < 2, c).otherwise(F.upper(_letter(F.lower(c), _byte(d, i))))), ""))
     numbers = let(whole, lambda d: _numbers(canon, kind, d))
-    return F.when(kind == "email", email).when(kind.isin("phone", "ssn", "card"), numbers).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "iban", iban).otherwise(_names(key, canon, attempt))
+    # an address of four numbers can't get longer: it gets one more
+    ip = F.concat(ip, F.when(attempt >= WIDE, F.concat(F.lit("."), digits)).otherwise(""))
+    return F.when(kind == "email", email).when(kind.isin("phone", "ssn", "card"), F.concat(numbers, digits)).when(kind == "ip", ip).when(kind == "secret", F.concat(secret, digits)).when(kind == "iban", F.concat(iban, digits)).otherwise(F.concat(_names(key, canon, attempt), letters_))
 
 
 def render(kind: Column, m: Column, new: Column) -> Column:
@@ -150,9 +163,11 @@ def render(kind: Column, m: Column, new: Column) -> Column:
 
     def placed(keep: str) -> Column:
         at = lambda i: F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), keep, ""))
-        return F.array_join(F.transform(_chars(m), lambda c, i: F.when(c.rlike(keep), c).otherwise(F.substring(new, at(i), F.lit(1)))), "")
+        own = F.length(F.regexp_replace(m, keep, ""))
+        return F.concat(F.array_join(F.transform(_chars(m), lambda c, i: F.when(c.rlike(keep), c).otherwise(F.substring(new, at(i), F.lit(1)))), ""), F.substring(new, own + 1, F.length(new)))
 
     cased = F.array_join(F.transform(_chars(m), lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(new, i + 1, F.lit(1)))).otherwise(F.substring(new, i + 1, F.lit(1)))), "")
+    cased = F.concat(cased, F.substring(new, F.size(_chars(m)) + 1, F.length(new)))
     name = F.concat_ws(" ", F.substring_index(m, " ", 1), F.substring(new, F.length(F.substring_index(new, " ", 1)) + 2, F.length(new)))
     return F.when(kind.isin("phone", "ssn", "card"), placed(r"[^\d+]")).when(kind == "iban", placed(" ")).when(kind == "email", cased).when(kind == "name", name).otherwise(new)
 
@@ -172,7 +187,7 @@ def distinct_entities(docs: DataFrame, text_col: str) -> DataFrame:
 def attempts(found: DataFrame, key: str) -> DataFrame:
     """kind, canon, attempt of the entities whose first surrogate is taken; the rest have attempt 0."""
     now = cut(found.withColumn("attempt", F.lit(0)).withColumn("new", core(key, F.col("kind"), F.col("canon"), F.col("attempt"))))
-    while True:
+    for _ in range(MOST):
         twins = now.groupBy("kind", "new").agg(F.min("canon").alias("first"), F.count("*").alias("n")).filter("n > 1")
         late = now.join(twins, ["kind", "new"]).filter("canon != first").select("kind", "canon")
         real = now.join(now.select("kind", F.col("canon").alias("new")), ["kind", "new"], "left_semi").select("kind", "canon")
@@ -181,32 +196,39 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
             return now.filter("attempt > 0").select("kind", "canon", "attempt")
         now = now.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("more", F.lit(0))).drop("new", "more")
         now = cut(now.withColumn("new", core(key, F.col("kind"), F.col("canon"), F.col("attempt"))))
+    raise RuntimeError(f"entities without a surrogate of their own after {MOST} attempts")
 
 
-def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text replaced, and n_entities."""
+def _replaced(docs: DataFrame, key: str, id_col: str, text_col: str) -> tuple[DataFrame, Column, list[str]]:
+    """(docs with text replaced and more columns, the number of entities, the names of the columns to drop); no name clashes with one of docs."""
+    row, found, held = (unused(docs, x) for x in ("row", "found", "held"))
     taken = stored(attempts(distinct_entities(docs, text_col), key))
-    hits = docs.select(F.col(id_col).alias("_id"), F.explode(entities(F.col(text_col))).alias("m"))
-    hits = hits.select("_id", kind_of(F.col("m")).alias("kind"), "m").select("_id", "kind", canonical(F.col("kind"), F.col("m")).alias("canon"))
+    hits = docs.select(F.col(id_col).alias("id"), F.explode(entities(F.col(text_col))).alias("m"))
+    hits = hits.select("id", kind_of(F.col("m")).alias("kind"), "m").select("id", "kind", canonical(F.col("kind"), F.col("m")).alias("canon"))
     entry = F.struct(F.concat_ws(" ", "kind", "canon").alias("key"), F.col("attempt").alias("value"))
-    over = hits.join(taken, ["kind", "canon"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(entry)).alias("_attempts"))
-    over = stored(over)
+    over = stored(hits.join(taken, ["kind", "canon"]).groupBy(F.col("id").alias(row)).agg(F.map_from_entries(F.collect_set(entry)).alias(held)))
 
     def replaced(m: Column) -> Column:
         def by_canon(k: Column, canon: Column) -> Column:
-            attempt = F.coalesce(F.col("_attempts")[F.concat_ws(" ", k, canon)], F.lit(0))
+            attempt = F.coalesce(F.col(held)[F.concat_ws(" ", k, canon)], F.lit(0))
             return let(core(key, k, canon, attempt), lambda new: render(k, m, new))
 
         return let(kind_of(m), lambda k: let(canonical(k, m), lambda canon: by_canon(k, canon)))
 
     text = F.col(text_col)
     pieces = F.split(text, ENTITY, -1)
-    woven = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size("_found")), F.transform("_found", replaced), lambda piece, new: F.concat(piece, new)), ""), F.element_at(pieces, -1))
-    out = docs.join(over, docs[id_col].eqNullSafe(over["_id"]), "left").drop("_id").withColumn("_found", entities(text))
-    out = out.withColumn(text_col, F.when(F.size("_found") > 0, woven).otherwise(text))
-    return out.withColumn("n_entities", F.greatest(F.size("_found"), F.lit(0))).drop("_found", "_attempts")
+    woven = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size(found)), F.transform(found, replaced), lambda piece, new: F.concat(piece, new)), ""), F.element_at(pieces, -1))
+    out = docs.join(over, docs[id_col].eqNullSafe(over[row]), "left").withColumn(found, entities(text))
+    out = out.withColumn(text_col, F.when(F.size(found) > 0, woven).otherwise(text))
+    return out, F.greatest(F.size(found), F.lit(0)), [row, found, held]
+
+
+def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with text replaced, and n_entities, which takes the place of a column of that name."""
+    out, n, names = _replaced(docs, key, id_col, text_col)
+    return out.withColumn("n_entities", n).drop(*names)
 
 
 def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text replaced; all columns stay."""
-    return surrogates(docs, key, id_col, text_col).select(docs.columns)
+    return _replaced(docs, key, id_col, text_col)[0].select(docs.columns)
