@@ -7,9 +7,11 @@ of the encoding of the first i symbols, that encoding is the one of the first ``
 comes next continues one of the last ``lookahead`` boundaries: the tokens on which these all agree are stable, and are
 emitted. Memory is the window of boundaries that are still open.
 
-Texts are normalised and split as the vocabulary file says. No piece crosses white space, so what a worker caches is
-whole stretches between white space, in a cache of fixed size. Null text counts as empty and has no ids;
-text that spells a special token becomes that token, as in the tokenizers library. Repeated rows give repeated rows.
+Every piece is encoded so. Texts are taken in windows that end at white space, normalised and split as the vocabulary
+file says; no piece crosses white space, so what a worker has encoded is kept by whole stretches between white space, in
+a cache of fixed size. Beside the text, encode_stream() and decoded() hold a window. Null text counts as empty and has no
+ids; text that spells a special token becomes that token, as in the tokenizers library. Repeated rows give repeated rows
+and ties don't occur: a text has one encoding. An empty table gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from lodestone.llm.common import per_batch
 
 #: Entries of each of the two generations of an encoder's cache: when the young one is full, it becomes the old one.
 CACHED = 350_000
-#: Ids that are decoded at once.
-STEP = 1 << 16
+#: Ids that are decoded at once; characters, about, that are encoded at once.
+STEP, WINDOW = 1 << 16, 1 << 16
 #: Ids have so many bits; NONE is above every rank.
 BITS, MASK, NONE = 20, (1 << 20) - 1, 1 << 60
 #: White space of the tokenizers library's patterns.
@@ -101,21 +103,15 @@ class Transducer:
             self.follows[key] = found
         return found
 
-    def whole(self, word: str) -> list[int]:
-        """The tokens of a word that is no longer than the lookahead."""
-        return self.merged([*map(self.first.__getitem__, word[:-1]), self.last[word[-1]]])
-
     def stream(self, word: str) -> Iterator[int]:
-        """The tokens of a word, each as soon as it is stable. Within the lookahead none can be, so a word no longer than that is merged at once."""
+        """The tokens of a word, each as soon as it is stable."""
         look, n = self.lookahead, len(word)
-        if n <= look:
-            yield from self.whole(word)
-            return
-        vocab, fits, suffix = self.vocab, self.fits, self.suffix
+        get, fits, suffix = self.vocab.get, self.fits, self.suffix
         base, last, size = 0, [-1], [0]  # last[i - base] is the last token of the first i symbols, of size[i - base] symbols
         for i in range(1, n + 1):
+            end = suffix if i == n else ""
             for k in range(min(look, i - base), 0, -1):
-                token = vocab.get(word[i - k : i] + suffix if i == n else word[i - k : i])
+                token = get(word[i - k : i] + end)
                 if token is not None and fits(last[i - k - base], token):
                     last.append(token)
                     size.append(k)
@@ -174,6 +170,8 @@ class Encoder:
         #: Ids of pieces, and of stretches between white space; a piece is a stretch with that piece alone.
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        #: Pieces that went through the transducer; the others were in the cache.
+        self.streamed = 0
 
     def _keep(self, s: str, ids: bytes) -> bytes:
         if len(s) <= 64:
@@ -185,8 +183,8 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         if (found := self.known.get(piece)) is None and (found := self.old.get(piece)) is None:
             symbols = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8", "replace").decode("latin-1").translate(self.byte)
-            t = self.transducer
-            found = self._keep(piece, little(t.whole(symbols) if len(symbols) <= t.lookahead else t.stream(symbols)))
+            self.streamed += 1
+            found = self._keep(piece, little(self.transducer.stream(symbols)))
         return found
 
     def _stretch(self, s: str) -> bytes:
@@ -212,14 +210,25 @@ class Encoder:
             found = [self._stretch(s) if x is None else x for s, x in zip(parts, found, strict=True)]
         return b"".join(found)
 
+    def encode_stream(self, text: str | None) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, a window of the text at a time."""
+        at, n = 0, len(text or "")
+        while at < n:
+            end = min(n, at + WINDOW)
+            if end < n:  # on to the next space: what is normalised or matched ends there
+                end = text.find(" ", end)
+                end = n if end < 0 else end
+            part = text[at:end] if end - at < n else text
+            at = end
+            if not any(m in part for m in self.marks) or not self.specials.search(part):
+                yield self._plain(part)
+                continue
+            for k, p in enumerate(self.specials.split(part)):
+                yield little([self.special[p]]) if k % 2 else self._plain(p)
+
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not any(m in text for m in self.marks) or not self.specials.search(text):
-            return self._plain(text)
-        parts = self.specials.split(text)
-        return b"".join(little([self.special[p]]) if k % 2 else self._plain(p) for k, p in enumerate(parts))
+        """All ids of a text."""
+        return b"".join(self.encode_stream(text))
 
 
 class Decoder:
@@ -246,11 +255,14 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def decoded(names: list[bytes], ids: bytes) -> Iterator[str]:
-    d, values = Decoder(names), np.frombuffer(ids, dtype="<u4")
-    for at in range(0, len(values), STEP):
-        yield d.feed(values[at : at + STEP])
-    yield d.feed(values[:0], final=True)
+def decoded(names: list[bytes], ids: bytes | Iterable[bytes]) -> Iterator[str]:
+    """The text of ids, given whole or in parts, a step at a time."""
+    d = Decoder(names)
+    for part in [ids] if isinstance(ids, bytes) else ids:
+        values = np.frombuffer(part, dtype="<u4")
+        for at in range(0, len(values), STEP):
+            yield d.feed(values[at : at + STEP])
+    yield d.feed(np.zeros(0, dtype="<u4"), final=True)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,10 +290,18 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     def f(rows: dict) -> dict:
         e, out = encoder(path), {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256")}
         for text in rows["text"]:
-            ids, text_hash = e.encode(text), hashlib.sha256()
-            for piece in decoded(e.names, ids):
+            n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+
+            def through(parts: Iterator[bytes]) -> Iterator[bytes]:
+                nonlocal n
+                for part in parts:
+                    n += len(part) // 4
+                    ids_hash.update(part)  # noqa: B023
+                    yield part
+
+            for piece in decoded(e.names, through(e.encode_stream(text))):
                 text_hash.update(piece.encode())
-            for k, v in zip(out, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), text_hash.hexdigest()), strict=True):
+            for k, v in zip(out, (n, ids_hash.hexdigest(), text_hash.hexdigest()), strict=True):
                 out[k].append(v)
         return {id_col: rows["id"]} | out
 
