@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -56,6 +57,17 @@ def test_exact_groups(odd, monkeypatch):
         else:  # one fingerprint for unlike texts: the chunks tell them apart
             assert sorted(g[:2] for g in got) == sorted(w[:2] for w in want)
     assert exact_dedup.exact_dedup(odd).columns == odd.columns
+    assert exact_dedup.exact_groups(odd.limit(0)).count() == exact_dedup.exact_dedup(odd.limit(0)).count() == 0
+
+
+def test_exact_dedup_repeated_ids(spark, odd):
+    """A text of a repeated id isn't lost, and of rows that agree in all one stays."""
+    rows = [(1, "a b c"), (2, "a b c"), (2, "only here"), (1, "a b c"), (None, "only here"), (None, "no id"), (None, "no id"), (3, ""), (4, None), (5, "a  b c")]
+    got = [(r["doc_id"], r["text"]) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a b c"), (2, "only here"), (None, "no id"), (3, "")], key=str)
+    got = exact_dedup.exact_dedup(odd).collect()
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in odd.collect()]
+    assert sorted(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in got) == sorted(set(norm))
 
 
 def test_exact_oracle(spark, sf, duck):
@@ -131,6 +143,16 @@ def test_similar_groups(spark, odd):
     kept = {r["doc_id"] for r in simhash.near_dedup(df).collect()}
     assert kept == set(range(len(texts))) - {8 + 2 * i for i in range(8)}
     assert simhash.near_dedup(odd).columns == odd.columns
+    assert simhash.near_dedup(odd.limit(0)).count() == simhash.similar_groups(odd.limit(0)).count() == 0
+
+
+def test_near_dedup_repeated_ids(spark):
+    """A text of a repeated id is neither lost nor hides a link."""
+    rng = random.Random(9)
+    x, y, z = (" ".join(f"w{rng.randrange(900)}" for _ in range(300)) for _ in range(3))
+    rows = [(1, x), (2, x), (2, y), (2, y), (3, y + " end"), (None, z), (None, z), (4, None), (5, " ")]
+    got = [(r["doc_id"], r["text"]) for r in simhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(got, key=str) == sorted([(1, x), (2, y), (None, z), (4, None)], key=str)
 
 
 def jaccard_groups(texts):
@@ -236,7 +258,9 @@ def test_packed_digests(spark):
     assert sum(r["length"] for r in short) > 0.9 * 2048 * len({r["sequence_id"] for r in short})
 
 
-def test_bpe(spark, odd):
+@pytest.mark.parametrize("window", [1 << 16, 7])
+def test_bpe(spark, odd, monkeypatch, window):
+    monkeypatch.setattr(bpe, "WINDOW", window)
     tok, e, rng = Tokenizer.from_file(PATH), bpe.encoder(PATH), random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyzäéßçñ Σςİ'’.,!?-_0123½²中文дя́​\x1c\x85 \t\n😀ABC"
     for k in range(1500):
@@ -255,6 +279,28 @@ def test_bpe(spark, odd):
         text = tok.decode(ids.tolist(), skip_special_tokens=False)
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert bpe.decode(bpe.encode(odd, PATH), PATH).count() == odd.count()
+    assert bpe.round_trip_digests(odd.limit(0), PATH).count() == bpe.encode(odd.limit(0), PATH).count() == 0
+
+
+def test_bpe_method(sf):
+    """Every piece that isn't in the cache goes through the transducer, whatever its length, and emits before its end."""
+    import pyarrow.parquet as pq
+
+    e = bpe.Encoder(PATH)
+    texts = pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist()
+    pieces = {p for t in texts if t for s in unicodedata.normalize("NFC", t).split() for p in e.pattern.findall(s.replace("Σ", "σ").lower())}
+    for t in texts:
+        e.encode(t)
+    assert e.streamed >= len(pieces) > 1000
+    word, seen = "thequickbrownfox" * 200, []
+
+    class Watched(str):
+        def __getitem__(self, at):
+            seen.append(at.stop if isinstance(at, slice) else at)
+            return str.__getitem__(self, at)
+
+    first = next(e.transducer.stream(Watched(word)))
+    assert first == np.frombuffer(e.encode(word), "<u4")[0] and max(seen) <= 5 * e.transducer.lookahead < len(word)
 
 
 PAGE = """<html><head><title>t</title><style>a>b</style></head><body><header><h1>Site</h1></header><ul class=menu><li>a<li>b</ul>{}
@@ -275,6 +321,59 @@ def test_html(spark):
     assert html_extract.extract(df).count() == len(rows) + 8 and html_extract.extract(df.limit(0)).count() == 0
 
 
+def slow_tree(pages):
+    """node: (pages, importance) of one host's distinct pages, by the definitions."""
+    parsed = [html_extract.parse(h) for h in {h for h in pages}]
+    out = {}
+    for node in {e for p in parsed for e, _ in p.nodes}:
+        on = [p for p in parsed if node in dict(p.nodes)]
+        m = len(on)
+        styles = Counter(dict(p.nodes)[node] for p in on)
+        blocks = Counter(t for p in on for t in {t for t, path, *_ in p.blocks if node in path})
+        entropy = lambda weights: -sum(w * math.log(w) for w in weights)
+        presentation = entropy(n / m for n in styles.values()) / math.log(m) if m > 1 else 1.0
+        # a block on n pages has the entropy of n equal shares; what it tells is one less that over all pages
+        content = 1 - sum(entropy([1 / n] * n) for n in blocks.values()) / len(blocks) / math.log(m) if m > 1 and blocks else 1.0
+        noise = sum(node in p.noise for p in on) / m
+        beside = sum(p.main()[1] and not any(node in b[1] for b in p.main()[0]) for p in on) / m
+        out[node] = (m, (0.1 * presentation + 0.9 * max(0.0, content)) * (1 - noise) * (1 - 0.75 * beside))
+    return out
+
+
+def test_style_tree(spark):
+    rng = random.Random(3)
+    word = lambda: f"word{rng.randrange(90)}"
+    one = lambda i: f"<nav>{word()}</nav><div class=top><p>same for all</p></div>" + (f"<article><h1>{word()}</h1><p>{word()}</p><div class=box>in each</div></article>" if i % 3 else "") + f"<div class=c{i % 2}{'x' * (i % 2)}><p>{word()} {i % 5}</p></div>"
+    pages = [one(i) for i in range(30)]
+    df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages + pages[:9] * 4)], "page_id long, url string, html string")
+    got = {r["node"]: (r["pages"], r["importance"]) for r in html_extract.style_tree(df).collect()}
+    want = slow_tree(pages)
+    assert got.keys() == want.keys() and all(got[n][0] == want[n][0] and got[n][1] == pytest.approx(want[n][1]) for n in want)
+
+
+def test_tree_decides(spark, sf):
+    """The tree judges inside and around the article; copies of a page aren't a template; no page loses all of its text."""
+    from collections import Counter as Count
+
+    article = lambda i, extra: f"<body><div class=skin><p>Skin of the site {i % 2}</p></div><article><p>Unique {i} text of some length, told at length {i}</p>{extra}</article></body>"
+    rows = [(i, "http://a.org/x", article(i, "<div class=box><p>Read on here</p></div>")) for i in range(8)]
+    rows += [(100 + i, "http://b.org/x", "<p>one</p><div><p>two</p></div>") for i in range(6)]  # copies alone
+    rows += [(200 + i, None, f"<p>page {i // 40}</p>") for i in range(200)]
+    rows += [(500 + i, "http://c.org/", f"<article><h1>Head {i}</h1><p>The same long story with many words in each copy</p></article>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Unique {i} text of some length, told at length {i}" for i in range(8))
+    assert all(got[100 + i] == "one\n\ntwo" for i in range(6)) and all(got[200 + i] == f"page {i // 40}" for i in range(200))
+    assert all(got[500 + i].endswith("in each copy") for i in range(9))
+    # on the given pages it is the tree that takes out menus, adverts and the like: the share of such blocks that it names
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    low = {r["host"]: {*r["low"]} for r in html_extract.low_nodes(html_extract.style_tree(pages)).collect()}
+    by = Count()
+    for r in pages.select(html_extract.host("url").alias("h"), "html").collect():
+        for b in html_extract.parse(r["html"]).blocks:
+            by[b[2], not low.get(r["h"], set()).isdisjoint(b[1])] += 1
+    assert by[True, True] > 0 and by[False, True] == 0
+
+
 def slow_ppm(train, texts, order):
     count = defaultdict(Counter)
     stream = lambda t: b"\n" * order + " ".join(slow_words(t)).encode() + b"\n"
@@ -305,32 +404,42 @@ def slow_ppm(train, texts, order):
     return out
 
 
-def test_ppm(spark, odd):
+def test_ppm(spark, odd, monkeypatch):
+    """Against the definition; small blocks and many parts, so that every step deals its rows out."""
     rng = random.Random(7)
     train = ["".join(rng.choice("ab cÉ") for _ in range(rng.randint(0, 60))) for _ in range(30)] + ["", None]
-    test = train[:5] + ["".join(rng.choice("abcd xÉ") for _ in range(rng.randint(0, 60))) for _ in range(20)] + ["", None, "zzzz"]
-    docs, train_df = spark.createDataFrame([*enumerate(test)], DOCS), spark.createDataFrame([*enumerate(train)], DOCS)
+    rest = ["".join(rng.choice("abcd xÉ") for _ in range(rng.randint(0, 60))) for _ in range(20)] + ["", None, "zzzz", "zz top " * 400]
+    df = spark.createDataFrame([*enumerate(train + rest)], DOCS)
     words = Counter(w for t in train for w in slow_words(t))
     n, v = sum(words.values()) + len(train), len(words) + 1
-    for order, common in ((0, 100), (2, 3), (5, 100)):
-        got = {r["doc_id"]: r for r in ppm.lm_scores(docs, train_df, order=order, common=common).collect()}
-        for i, (t, s) in enumerate(zip(test, slow_ppm(train, test, order))):
+    for order, block, part in ((0, 100, 50), (2, 1 << 20, 300), (4, 60, 200), (5, 500, 100), (5, 1 << 20, 1 << 20)):
+        monkeypatch.setattr(ppm, "BLOCK", block)
+        monkeypatch.setattr(ppm, "PART", part)
+        monkeypatch.setattr(ppm, "STEP", min(256, block))
+        got = {r["doc_id"]: r for r in ppm.lm_scores(df, F.col("doc_id") < len(train), order=order).collect()}
+        for i, (t, s) in enumerate(zip(train + rest, slow_ppm(train, train + rest, order))):
             w, r = slow_words(t), got[i]
             base = sum(math.log10((words[x] + 1) / (n + v + 1)) for x in w) + math.log10((len(train) + 1) / (n + v + 1))
             assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) + 1, sum(x in words for x in w) + 1, n)
             assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(s)
-    # the trie's probabilities after a context add up to one
-    symbols = [words for words in (b"ab", b"")]
-    counts = ppm.gather(train_df, 2, "text")
-    trie = ppm.Trie(ppm.levels(counts.cache(), 2, 1 << 20))
-    for context in symbols:
-        key = np.array([int.from_bytes((b"\n\n" + context)[-2:] + bytes([s]), "big") for s in range(256)], dtype=np.uint64)
-        assert (10 ** trie.log10(key)).sum() == pytest.approx(1)
-    small = ppm.Trie(ppm.levels(counts, 2, 20))  # a trie with fewer leaves is a model as well
-    key = np.array([int.from_bytes(b"ab" + bytes([s]), "big") for s in range(256)], dtype=np.uint64)
-    assert (10 ** small.log10(key)).sum() == pytest.approx(1)
-    assert ppm.lm_scores(odd, odd, order=3).count() == odd.count()
-    assert ppm.lm_scores(odd, odd.limit(0), order=3).count() == odd.count()
+    assert ppm.lm_scores(odd, F.lit(True), order=3).count() == odd.count()
+    assert ppm.lm_scores(odd.limit(0), F.lit(True)).count() == 0
+
+
+def test_ppm_untrained(spark, odd):
+    got = ppm.lm_scores(odd, F.lit(None).cast("boolean")).collect()
+    assert len(got) == odd.count() and {(r["train_tokens"], r["n_known"], r["base_score"]) for r in got} == {(0, 0, 0.0)}
+    by = {r["doc_id"]: r["score"] for r in got}
+    assert by[0] == by[1] == pytest.approx(-math.log10(256)) and by[3] == pytest.approx(-2 * math.log10(256))
+
+
+def test_ppm_sums_to_one():
+    """The trie's probabilities after a context add up to one, whatever has been seen."""
+    rng = np.random.default_rng(1)
+    keys = np.concatenate([rng.choice([97, 98, 99], (300, 3)), rng.integers(0, 256, (40, 3))]).astype(np.uint64) @ np.array([1 << 16, 1 << 8, 1], dtype=np.uint64)
+    trie = ppm.Trie(ppm.levels(*ppm.add_up(keys, np.ones(len(keys), dtype=np.int64)), range(3)))
+    for context in (0x6161, 0x6200, 0x0000, int(keys[-1] >> 8), int(keys[-1] & 0xFF)):
+        assert (10 ** trie.log10(np.arange(256, dtype=np.uint64) | np.uint64(context << 8))).sum() == pytest.approx(1)
 
 
 def test_quality(spark, sf, odd):
@@ -372,6 +481,7 @@ def test_repeats(spark, monkeypatch, group):
     df = spark.createDataFrame([*enumerate(texts), (3, "x" * 400)], DOCS).withColumn("row", F.lit(1))
     got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(df).collect())
     assert got == sorted((i, *x) for i, x in zip([*range(len(texts)), 3], slow_repeats([*texts, "x" * 400], 400)))
+    assert all(r["text"] == bytes(r["kept"]).decode("utf-8", "replace") for r in suffix_dedup.remove_repeats(df).collect())
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
@@ -409,3 +519,29 @@ def test_private_distinct(spark, monkeypatch):
     texts = [r["text"] for r in pii.surrogates(df, "k").collect()]
     old = {r["text"] for r in df.collect()}
     assert len(set(texts)) == 100 and not old & set(texts) and real is not narrow
+
+
+def test_private_ends(spark):
+    """Letters of any script are replaced, and a format that runs out of surrogates gets longer ones."""
+    mails = ["王伟@例子.中国", "محمد@مثال.com", "한글@b.kr", "ひらがな@b.jp", "დავით@b.ge", "_@a.com", *(f"+@{c}.com" for c in "abcdefghijklmnopqrstuvwxyz")]
+    df = spark.createDataFrame([*enumerate(mails)], DOCS)
+    got = {r["doc_id"]: r["text"] for r in pii.surrogates(df, "k").collect()}
+    assert len(set(got.values())) == len(mails) and not set(got.values()) & set(mails)
+    for i, m in enumerate(mails[:5]):
+        local, new = m.split("@")[0], got[i].split("@")[0]
+        assert len(local) == len(new) and local != new
+        same = lambda a, b: unicodedata.name(a).split()[0] == unicodedata.name(b).split()[0]
+        assert all(same(a, b) for a, b in zip(local, new))
+
+
+def test_private_names(spark, odd):
+    """Columns that are named like the operator's own come through; repeated rows are alike; an empty table stays empty."""
+    names = ["_id", "_found", "_attempts", "n_entities", "row", "found", "held", "m", "canon"]
+    df = spark.createDataFrame([(1, "call +1 (555) 234-5678"), (1, "call +1 (555) 234-5678"), (None, "x a@b.org"), (2, None)], DOCS)
+    df = df.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    got = pii.replace_private(df, "k")
+    assert got.columns == df.columns and got.count() == 4 and all(tuple(r)[2:] == tuple(range(len(names))) for r in got.collect())
+    texts = {r["text"] for r in got.collect()}
+    assert len(texts) == 3 and None in texts and not {"call +1 (555) 234-5678", "x a@b.org"} & texts
+    assert pii.surrogates(df, "k").filter("doc_id = 1").first()["n_entities"] == 1
+    assert pii.surrogates(odd.limit(0), "k").count() == pii.replace_private(odd.limit(0), "k").count() == 0
