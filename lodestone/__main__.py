@@ -1,14 +1,18 @@
-"""python -m lodestone ingest|search|ask|status|scan|reset"""
+"""python -m lodestone ingest|search|ask|status|scan|collect|dashboard|diagnose|serve|reset"""
 
 from __future__ import annotations
 
 import argparse
+import itertools
 import json
+import time
 
 from pyspark.sql import SparkSession
 
+from lodestone import serve
+from lodestone.operators import diagnostics
 from lodestone.plans.engine import Engine
-from lodestone.sources import config, files
+from lodestone.sources import config, files, journal
 
 
 def main() -> None:
@@ -27,7 +31,18 @@ def main() -> None:
     a = of.add_parser("scan")
     a.add_argument("-p", "--path", action="append")
     a.add_argument("-o", "--output")
-    of.add_parser("reset")
+    a = of.add_parser("collect")
+    a.add_argument("-v", "--volume", action="append", default=[], metavar="NAME=FOLDER", help="a folder of saved journal pages, with state.json and an index of paths")
+    a.add_argument("-o", "--output", required=True)
+    a = of.add_parser("dashboard")
+    a.add_argument("--every", type=float, default=10.0)
+    a.add_argument("--times", type=int)
+    of.add_parser("diagnose")
+    a = of.add_parser("serve")
+    a.add_argument("--host", default="127.0.0.1")
+    a.add_argument("-p", "--port", type=int, default=8080)
+    a = of.add_parser("reset")
+    a.add_argument("-y", "--yes", action="store_true")
     args = p.parse_args()
     spark = SparkSession.builder.appName("lodestone").getOrCreate()
     engine = Engine(spark, config.load(args.config))
@@ -43,7 +58,25 @@ def main() -> None:
     elif args.command == "scan":
         found = files.scan(spark, args.path or engine.config.scan_paths, engine.files.read())
         files.write_list(found, args.output) if args.output else found.show(50, False)
-    else:
+    elif args.command == "collect":
+        volumes = {}
+        for v in args.volume:
+            name, _, folder = v.partition("=")
+            volumes[name] = journal.saved_volume(spark, folder)
+        print(files.collect(spark, volumes, f"{engine.config.store}/journal.json", args.output, str(int(time.time()))))
+    elif args.command == "dashboard":
+        for n in itertools.count(1):
+            print(json.dumps(engine.report()), flush=True)
+            if args.times and n >= args.times:
+                break
+            time.sleep(args.every)
+    elif args.command == "diagnose":
+        steps = [("catalog", engine.status), ("search", lambda: engine.search("product key serial number").count()), ("ask", lambda: engine.ask("What product keys do I have?")["answer"])]
+        for r in diagnostics.timed(steps):
+            print(f"{r['state']:8} {r['step']:8} {r['seconds']:6.1f} s  {r['error'] or r['result']}")
+    elif args.command == "serve":
+        serve.server(engine, args.host, args.port).serve_forever()
+    elif args.yes or input("This deletes all indexed data. Go on? [y/N] ").strip().lower() == "y":
         engine.reset()
 
 

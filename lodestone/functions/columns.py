@@ -131,15 +131,19 @@ def clean_answer(text: Column, compat: bool = False) -> Column:
 
 
 def by_rules(error: Column, rules: list, empty: str, words: int | None = None, chars: int | None = None) -> Column:
-    """The first rule that holds; else the first words or characters of the error."""
+    """The first rule that holds, with the error's reason if the rule has a pattern for it; else the first words or characters of the error."""
     out = F.when(F.coalesce(error, F.lit("")) == "", empty)
-    for category, exact, any_case in rules:
+    for category, exact, any_case, *reason in rules:
         hit = F.lit(False)
         for needle in exact:
             hit = hit | F.contains(error, F.lit(needle))
         for needle in any_case:
             hit = hit | F.contains(F.lower(error), F.lit(needle))
-        out = out.when(hit, category)
+        if reason:
+            said = F.trim(F.regexp_extract(error, reason[0], 1))
+            out = out.when(hit, F.concat(F.lit(f"{category}: "), F.when(said != "", said).otherwise("unknown reason")))
+        else:
+            out = out.when(hit, category)
     if words:
         return out.otherwise(F.concat(F.lit("Other: "), F.array_join(F.slice(F.split(F.trim(error), r"\s+"), 1, words), " "), F.lit("...")))
     return out.otherwise(F.substring(error, 1, chars or 80))

@@ -66,11 +66,11 @@ REASON = {"overwrite": 0x1, "extend": 0x2, "truncate": 0x4, "create": 0x100, "de
 CONTENT_CHANGE = 0x1 | 0x2 | 0x4 | 0x100 | 0x200 | 0x2000 | 0x8000
 DIRECTORY = 0x10
 
-#: Ordered rules of the error taxonomy: (category, needles as written, needles in any case).
+#: Ordered rules of the error taxonomy: (category, needles as written, needles in any case[, the pattern of a reason that the category names]).
 ERROR_RULES = [
     ("Unknown code page (corrupt .msg encoding)", ["Unknown code page"], []),
     ("Module attribute error", ["has no attribute"], []),
-    ("Failed to open MSG", ["Failed to open MSG"], []),
+    ("Failed to open MSG", ["Failed to open MSG"], [], r"\.msg:\s*(.+)"),
     ("No text extracted (empty file)", ["No text extracted"], []),
     ("Missing dependency", ["not installed"], []),
     ("Extraction timeout", [], ["timeout", "timed out"]),

@@ -54,6 +54,11 @@ def remove(files: DataFrame, paths: DataFrame) -> DataFrame:
     return files.join(paths.select("file_path").distinct(), "file_path", "left_anti")
 
 
+def remove_pending(files: DataFrame) -> DataFrame:
+    """The catalog without files that were queued and never got on."""
+    return files.filter(F.col("status").isNull() | (F.col("status") != "pending"))
+
+
 def reset_stuck(files: DataFrame) -> DataFrame:
     return files.withColumn("status", F.when(F.col("status") == "processing", "pending").otherwise(F.col("status")))
 
@@ -72,21 +77,32 @@ def stats(files: DataFrame, stuck_is_pending: bool = False) -> DataFrame:
     return files.agg(F.count("*").alias("total"), of("indexed").alias("indexed"), of("error").alias("errors"), of(*pending).alias("pending"), chunks.alias("total_chunks"))
 
 
+class Conflict(RuntimeError):
+    """Another writer made the version that this one was about to make."""
+
+
 class Table:
-    """Versioned Parquet: a writer makes version N+1 whole, then swaps the pointer; readers see one version throughout."""
+    """Versioned Parquet. A version is a numbered file that names the folders of its rows; it is written whole, renamed into
+    place, and never changed, so readers see one version throughout, and a writer that comes second fails instead of
+    undoing the first. A change is a segment: new rows, and the keys whose older rows are gone.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "file_path"):
+        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _versions(self) -> list[str]:
+        top = self._Path(self.path)
+        names = [s.getPath().getName() for s in self._fs.listStatus(top)] if self._fs.exists(top) else []
+        return sorted(n for n in names if n.startswith("version-"))
+
     def _pointer(self) -> dict:
-        at = self._Path(f"{self.path}/CURRENT")
-        if not self._fs.exists(at):
+        names = self._versions()
+        if not names:
             return {}
-        rows = self.spark.read.text(str(at.toString())).collect()  # one line
-        return json.loads(rows[0][0]) if rows else {}
+        return json.loads(self.spark.read.text(f"{self.path}/{names[-1]}").collect()[0][0])  # one line
 
     def version(self) -> int:
         return self._pointer().get("version", 0)
@@ -94,26 +110,63 @@ class Table:
     def properties(self) -> dict:
         return self._pointer().get("properties", {})
 
-    def read(self) -> DataFrame:
-        p = self._pointer()
-        if not p:
+    def read(self, segments: list[dict] | None = None) -> DataFrame:
+        """The rows of the newest version, or of the segments that another table's version names."""
+        parts = self.segments() if segments is None else segments
+        if not parts:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{p['folder']}")
-
-    def commit(self, df: DataFrame, **properties) -> int:
-        """df becomes the next version; its plan may read this one."""
-        p = self._pointer()
-        version, folder = p.get("version", 0) + 1, f"v{p.get('version', 0) + 1:08d}-{uuid.uuid4().hex[:8]}"
+        load = lambda folder: self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}")
+        gone = [(n, self.spark.read.parquet(f"{self.path}/{p['gone']}")) for n, p in enumerate(parts) if p.get("gone")]
+        out = None
+        for n, p in enumerate(parts):
+            rows = load(p["rows"])
+            for m, keys in gone:
+                if m > n:
+                    rows = rows.join(keys, self.key, "left_anti")
+            out = rows if out is None else out.unionByName(rows)
+        return out.select(self.spark.createDataFrame([], self.schema).columns)
+
+    def segments(self) -> list[dict]:
+        return self._pointer().get("segments", [])
+
+    def _write(self, df: DataFrame, kind: str) -> str:
+        folder = f"{kind}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{folder}")
-        line = json.dumps({"version": version, "folder": folder, "properties": p.get("properties", {}) | properties})
-        new, current = self._Path(f"{self.path}/NEXT-{uuid.uuid4().hex}"), self._Path(f"{self.path}/CURRENT")
+        return folder
+
+    def _publish(self, was: dict, segments: list[dict], properties: dict) -> int:
+        version = was.get("version", 0) + 1
+        line = json.dumps({"version": version, "segments": segments, "properties": was.get("properties", {}) | properties})
+        new, to = self._Path(f"{self.path}/next-{uuid.uuid4().hex}"), self._Path(f"{self.path}/version-{version:012d}")
         out = self._fs.create(new)
         out.write(bytearray(line.encode()))
         out.close()
-        self._fs.delete(current, False)
-        self._fs.rename(new, current)
+        if self._fs.exists(to) or not self._fs.rename(new, to):
+            self._fs.delete(new, False)
+            raise Conflict(f"version {version} of {self.path} is there already")
         return version
 
+    def commit(self, df: DataFrame, **properties) -> int:
+        """df becomes the next version; its plan may read this one."""
+        was = self._pointer()
+        return self._publish(was, [{"rows": self._write(df, "rows")}], properties)
+
+    def stage(self, df: DataFrame | None, gone: DataFrame | None) -> list[dict]:
+        """The newest version's segments and one more, whose rows come in place of those with a key in gone; for a version to name."""
+        segment = {"rows": self._write(df if df is not None else self.spark.createDataFrame([], self.schema), "rows")}
+        if gone is not None:
+            segment["gone"] = self._write(gone.select(self.key).distinct(), "gone")
+        return [*self.segments(), segment]
+
+    def change(self, df: DataFrame | None, gone: DataFrame | None, **properties) -> int:
+        """A version with df in place of the rows whose key is in gone. Nothing that is there is written anew; compact() does that."""
+        was = self._pointer()
+        return self._publish(was, self.stage(df, gone), properties)
+
+    def publish(self, segments: list[dict], **properties) -> int:
+        """A version of staged segments."""
+        return self._publish(self._pointer(), segments, properties)
+
     def clear(self) -> int:
         return self.commit(self.spark.createDataFrame([], self.schema))
 
@@ -123,11 +176,12 @@ class Table:
     def compact(self, partitions: int) -> int:
         return self.commit(self.read().repartition(partitions))
 
-    def vacuum(self) -> None:
-        """Remove the versions that the pointer doesn't name."""
-        keep = self._pointer().get("folder")
+    def vacuum(self, keep: list[dict] | None = None) -> None:
+        """Remove the folders that neither the newest version nor ``keep`` names, and the older versions."""
+        names = self._versions()
+        known = {f for p in [*self.segments(), *(keep or [])] for f in p.values()} | {*names[-1:]}
         for s in self._fs.listStatus(self._Path(self.path)):
-            if s.getPath().getName().startswith("v") and s.getPath().getName() != keep:
+            if s.getPath().getName() not in known:
                 self._fs.delete(s.getPath(), True)
 
     def backup(self, to: str) -> None:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,9 +90,53 @@ def drift(files: DataFrame, vectors: DataFrame) -> DataFrame:
     return a.join(b, "file_path", "full_outer").filter(~F.col("in_catalog").eqNullSafe(F.col("in_store")))
 
 
+def errors_like(files: DataFrame, like: list[str] = (), unlike: list[str] = (), paths: list[list[str]] = (), n: int | None = None) -> DataFrame:
+    """Errors that are like one of the patterns and like none of the others, in files whose path is like one of each list; the first n by path. An error without a message is like nothing, and unlike nothing."""
+    out = errors(files)
+    one_of = lambda col, patterns: reduce(lambda a, b: a | b, (F.col(col).like(x) for x in patterns))
+    if like:
+        out = out.filter(one_of("error", like))
+    if unlike:
+        out = out.filter(~one_of("error", unlike))
+    for patterns in paths:
+        out = out.filter(one_of("file_path", patterns))
+    return out if n is None else out.orderBy("file_path").limit(n)
+
+
+def error_shares(files: DataFrame, kinds: dict[str, list[str]], other: str) -> DataFrame:
+    """kind, n, pct of all errors, by the first kind one of whose patterns an error is like; the rest, those without a message too, is other."""
+    kind = F.lit(other)
+    for name, patterns in reversed(kinds.items()):
+        kind = F.when(F.coalesce(reduce(lambda a, b: a | b, (F.col("error").like(x) for x in patterns)), F.lit(False)), name).otherwise(kind)
+    by = errors(files).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return by.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 1))
+
+
+def timed(steps: list[tuple[str, Callable[[], object]]], limit: float = 60.0) -> list[dict]:
+    """Each step's result, error or time-out, and seconds. A step that is over its limit is left to itself, and the rest isn't run."""
+    out = []
+    for name, f in steps:
+        held: dict = {}
+
+        def run(f=f, held=held) -> None:
+            try:
+                held["result"] = f()
+            except Exception as e:  # noqa: BLE001  it is what is reported
+                held["error"] = f"{type(e).__name__}: {e}"
+
+        began, t = time.time(), threading.Thread(target=run, daemon=True)
+        t.start()
+        t.join(limit)
+        state = "timeout" if t.is_alive() else "error" if "error" in held else "ok"
+        out.append({"step": name, "state": state, "seconds": round(time.time() - began, 1), "error": held.get("error"), "result": held.get("result")})
+        if state == "timeout":
+            break
+    return out
+
+
 def sample(files: DataFrame, n: int, seed: int) -> DataFrame:
     """A sample of errors that a seed fixes."""
-    return errors(files).orderBy(F.xxhash64("file_path", F.lit(seed)), "file_path").limit(n)
+    return errors(files).orderBy(F.md5(F.concat("file_path", F.lit(str(seed)))), "file_path").limit(n)
 
 
 def extrapolated(sampled: DataFrame, total: int, rules: list, empty: str) -> DataFrame:

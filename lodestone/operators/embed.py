@@ -6,13 +6,19 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-BUCKETS = 256
+#: Dimensions of the default's vectors; words whose buckets a task keeps.
+BUCKETS, WORDS = 256, 200_000
+_WORD = re.compile("[a-z0-9]+")
 
 
 class Embedder(Protocol):
@@ -50,13 +56,36 @@ def embed(df: DataFrame, embedder: Embedder, text_col: str = "text", out_col: st
     return df.withColumn(out_col, run(F.col(text_col)))
 
 
-def bucket(word: Column) -> Column:
-    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % BUCKETS
+def hashed_rows(df: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
+    """Sparse vectors, a row each: key, buckets (in order), weights. No shuffle: a text's words are counted where the text is. A text without a word has no row."""
+    fields = [f for k in key for f in df.schema if f.name == k]
+    schema = T.StructType([*fields, T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[str, int] = {}
+        for b in batches:
+            on, buckets, weights = [], [], []
+            for i, t in enumerate(b.column(len(key)).to_pylist()):
+                if len(of) > WORDS:
+                    of.clear()
+                counts: Counter = Counter()
+                for w, n in Counter(_WORD.findall((t or "").lower())).items():
+                    if (k := of.get(w)) is None:
+                        k = of[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % BUCKETS
+                    counts[k] += n
+                if counts:
+                    norm = math.sqrt(sum(n * n for n in counts.values()))
+                    on.append(i)
+                    buckets.append(sorted(counts))
+                    weights.append([counts[k] / norm for k in buckets[-1]])
+            rows = b.take(pa.array(on, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(rows.column(i).cast(kinds.field(i).type) for i in range(len(key))), pa.array(buckets, kinds.field("buckets").type), pa.array(weights, kinds.field("weights").type)], schema=kinds)
+
+    return df.select(*key, text_col).mapInArrow(run, schema)
 
 
 def hashed(df: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    """Sparse vectors in rows: key, bucket, w; all in the JVM. A text without a word has no row."""
-    words = df.select(*key, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("([a-z0-9]+)"), 1)).alias("word"))
-    counts = words.groupBy(*key, bucket(F.col("word")).alias("bucket")).agg(F.count("*").alias("n"))
-    norms = counts.groupBy(*key).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
-    return counts.join(norms, key).select(*key, "bucket", (F.col("n") / F.col("norm")).alias("w"))
+    """The same, a row for each bucket: key, bucket, w."""
+    out = hashed_rows(df, key, text_col).select(*key, F.explode(F.arrays_zip("buckets", "weights")).alias("x"))
+    return out.select(*key, F.col("x.buckets").cast("long").alias("bucket"), F.col("x.weights").alias("w"))

@@ -8,10 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-#: Queries that are sent to tasks at once; more go in further passes.
-QUERIES = 2048
+from lodestone.operators.embed import BUCKETS
+
+#: Queries that are sent to tasks at once; more go in further passes. Rows that are multiplied at once.
+QUERIES, ROWS = 2048, 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -84,16 +88,69 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-def sparse_scores(chunks: DataFrame, queries: DataFrame, key: list[str], digits: int = 6) -> DataFrame:
-    """query_id, key, score from sparse vectors (bucket, w): an equi-join on the bucket, then a sum. Only pairs that share a bucket appear."""
-    q = queries.select("query_id", "bucket", F.col("w").alias("qw"))
-    return chunks.join(q, "bucket").groupBy("query_id", *key).agg(F.round(F.sum(F.col("w") * F.col("qw")), digits).alias("score"))
+def sparse_top_k(chunks: DataFrame, queries: DataFrame, key: list[str], query_key: list[str], k: int, threshold: float | None = None, digits: int = 6) -> DataFrame:
+    """query_key, rank, key, score: for each query the k best of the sparse vectors (buckets, weights), ties by key.
+
+    Queries go to the tasks in passes of at most QUERIES vectors of BUCKETS numbers, a proven size. A task multiplies
+    blocks of its rows with all of a pass's queries and keeps k a query; so nothing is joined on a bucket, and what is
+    shuffled grows with tasks and queries, not with vectors.
+    """
+    spark, found = chunks.sparkSession, []
+    queries = queries.select(*query_key, "buckets", "weights")
+    many = max(1, -(-queries.count() // QUERIES))
+    asked_types, key_types = ([df.schema[c].dataType for c in names] for df, names in ((queries, query_key), (chunks, key)))
+    schema = T.StructType([*(T.StructField(n, t) for n, t in zip([*query_key, *key], [*asked_types, *key_types], strict=True)), T.StructField("score", T.DoubleType())])
+    kinds = to_arrow_schema(schema)
+    for part in range(many):
+        asked = queries.filter(F.pmod(F.xxhash64(*query_key), F.lit(many)) == part).toArrow()
+        if not asked.num_rows:
+            continue
+        matrix = np.zeros((asked.num_rows, BUCKETS))
+        for i, (b, w) in enumerate(zip(asked["buckets"].to_pylist(), asked["weights"].to_pylist(), strict=True)):
+            matrix[i, b] = w
+        sent = spark.sparkContext.broadcast((asked.select(query_key).combine_chunks(), matrix.T.copy()))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, m = sent.value
+            held = None  # (query, key columns, score) of the best so far
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    b = batch.slice(at, ROWS)
+                    lists, rows = b.column(len(key)), np.zeros((b.num_rows, BUCKETS))
+                    n = np.diff(np.asarray(lists.offsets))
+                    rows[np.repeat(np.arange(b.num_rows), n), np.asarray(lists.flatten())] = np.asarray(b.column(len(key) + 1).flatten())
+                    s = np.round(rows @ m, digits)
+                    if threshold is None:
+                        on = s > 0  # only vectors that share a bucket are found
+                    else:
+                        on = s >= threshold
+                    if b.num_rows > k:  # what ties with the k-th best stays for now
+                        on &= s >= np.partition(s, b.num_rows - k, axis=0)[b.num_rows - k]
+                    r, q = np.nonzero(on)
+                    new = pa.table([pa.array(q), *(b.column(i).take(pa.array(r)) for i in range(len(key))), pa.array(s[r, q])], names=["q", *key, "score"])
+                    held = new if held is None else pa.concat_tables([held, new])
+                    if held.num_rows > 4 * k * m.shape[1] + ROWS:
+                        held = _best(held, k, key)
+            if held is not None and held.num_rows:
+                held = _best(held, k, key)
+                asked_ = names.take(held["q"].combine_chunks())
+                yield from pa.table([*(asked_[c] for c in query_key), *(held[c] for c in key), held["score"]], schema=kinds).combine_chunks().to_batches()
+
+        found.append(chunks.select(*key, "buckets", "weights").mapInArrow(run, schema))
+    if not found:
+        return spark.createDataFrame([], schema).select(*query_key, F.lit(1).alias("rank"), *key, "score")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    rank = F.row_number().over(Window.partitionBy(*query_key).orderBy(F.desc("score"), *key))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select(*query_key, "rank", *key, "score")
 
 
-def best_of_each(scores: DataFrame, k: int, ids: list[str], threshold: float | None = None) -> DataFrame:
-    scores = scores.filter(F.col("score") >= threshold) if threshold is not None else scores
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *ids))
-    return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
+def _best(rows: pa.Table, k: int, key: list[str]) -> pa.Table:
+    """The k best rows of each q, ties by key."""
+    rows = rows.combine_chunks().sort_by([("q", "ascending"), ("score", "descending"), *((c, "ascending") for c in key)])
+    q = np.asarray(rows["q"])
+    return rows.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
 
 
 def file_chunks(vectors: DataFrame, paths: DataFrame, per_file: int = 100) -> DataFrame:

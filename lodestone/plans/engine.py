@@ -11,18 +11,20 @@ from lodestone import schemas
 from lodestone.functions import columns as c
 from lodestone.operators import answer, catalog, chunk, context, crawl, diagnostics, embed, retrieval, vectors
 from lodestone.sources import config as configuration
-from lodestone.sources import extract, files
+from lodestone.sources import extract, files, progress
 
 CHUNKS = "file_path string, chunk_index int, text string, file_type string"
-SPARSE = "file_path string, chunk_index int, bucket long, w double"
+SPARSE = "file_path string, chunk_index int, buckets array<int>, weights array<double>"
+#: Segments of the store beyond which it is written anew.
+SEGMENTS = 16
 HIT = ["query_id", "source_rank", "rank", "file_path", "chunk_index", "text", "score", "file_type"]
 
 
 class Engine:
     """A store of a catalog and of chunks, and the programs over it."""
 
-    def __init__(self, spark: SparkSession, config: configuration.Config | None = None, registry=None, expander=None, answerer=None):
-        self.spark, self.config = spark, config or configuration.Config()
+    def __init__(self, spark: SparkSession, config: configuration.Config | None = None, registry=None, expander=None, answerer=None, volumes=None):
+        self.spark, self.config, self.volumes = spark, config or configuration.Config(), volumes
         self.files = catalog.Table(spark, f"{self.config.store}/files", schemas.FILES)
         self.chunks = catalog.Table(spark, f"{self.config.store}/chunks", CHUNKS)
         self.sparse = catalog.Table(spark, f"{self.config.store}/vectors", SPARSE)
@@ -33,11 +35,12 @@ class Engine:
         """New and changed files are extracted, chunked and stored; then the catalog says so. Counters of the run."""
         began, cfg, explicit = time.time(), self.config, paths is not None
         paths = paths or cfg.scan_paths
+        self.progress(phase="scanning", started_at=began, files_queued=0, files_processed=0, files_errors=0)
         known = self.files.read()
         if file_list:
-            queued = files.file_list(self.spark, file_list, files.walk(self.spark, paths))
+            queued = files.file_list(self.spark, file_list)
         else:
-            queued = files.scan(self.spark, paths, known, log_path, cfg.scanner.max_file_size_mb)
+            queued = files.scan(self.spark, paths, known, log_path, cfg.scanner.max_file_size_mb, cfg.scanner.excluded_dirs or None, self.volumes, f"{cfg.store}/journal.json")
             if not explicit:
                 more = crawl.pending_resume(known, queued.select(F.col("path").alias("file_path")), cfg.pipeline.type_max_mb)
                 queued = queued.unionByName(more.select(F.col("file_path").alias("path"), F.col("file_size").alias("size"), "mtime", "file_type", c.extension(F.col("file_path")).alias("extension")))
@@ -45,7 +48,8 @@ class Engine:
         todo = laned.filter("lane != 'skipped_size'")
         rows = todo.select(F.col("path").alias("file_path"), F.col("size").alias("file_size"), "mtime")
         self.files.commit(catalog.upsert(known, rows))
-        got = extract.extract(extract.contents(self.spark, paths, todo), self.registry).persist()
+        self.progress(phase="processing", files_queued=todo.count())
+        got = extract.extract(extract.contents(self.spark, todo), self.registry, cfg.pipeline.extraction_timeout).persist()
         pieces = self.pieces(got.filter("error IS NULL")).persist()
         self._replace(got.select("file_path"), pieces)
         # the catalog follows the store, so a file is indexed only once its chunks are there
@@ -64,8 +68,20 @@ class Engine:
         out = {"scanned": sum(counts.values()), "processed": got.count() - errors, "chunks_created": pieces.count(), "errors": errors, "skipped_size": counts.get("skipped_size", 0), "deleted": gone, "elapsed": time.time() - began}
         for df in (laned, got, pieces):
             df.unpersist()
+        self.progress(phase="idle", files_processed=out["processed"], files_errors=errors)
+        at = self._progress_path()
+        if at:
+            progress.write_stats(at, catalog.stats(self.files.read(), stuck_is_pending=True).first().asDict())
         return out
 
+    def _progress_path(self) -> str | None:
+        """Progress is a small local file beside the store; a store that isn't local has none."""
+        return None if "://" in self.config.store else f"{self.config.store}/progress.json"
+
+    def progress(self, **values) -> None:
+        if at := self._progress_path():
+            progress.write(at, **values)
+
     def pieces(self, texts: DataFrame) -> DataFrame:
         """The chunks of (file_path, text), whole."""
         out = chunk.chunk(texts, size=self.config.chunking.chunk_size, overlap=self.config.chunking.chunk_overlap)
@@ -75,25 +91,52 @@ class Engine:
         """Texts that are at hand in place of their files' chunks; the store's new version."""
         return self._replace(texts.select("file_path"), self.pieces(texts))
 
-    def _replace(self, paths: DataFrame, pieces: DataFrame | None) -> int:
-        """New chunks and their vectors in place of those of the paths; only the new ones are embedded, each whole. Of their text 500 characters are kept."""
-        chunks, sparse = (vectors.delete_files(t.read(), paths) for t in (self.chunks, self.sparse))
+    def replace(self, texts: DataFrame, gone: DataFrame, **properties) -> int:
+        """Texts (file_path, text) in place of their files' chunks, and none for the paths that are gone: one version, with properties of its own."""
+        return self._replace(texts.select("file_path").unionByName(gone.select("file_path")), self.pieces(texts), **properties)
+
+    def _replace(self, paths: DataFrame, pieces: DataFrame | None, **properties) -> int:
+        """New chunks and their vectors in place of those of the paths; only the new ones are embedded, each whole. Of their text 500 characters are kept.
+
+        Vectors are staged first and named by the chunks' version, so one rename publishes both. What was there isn't
+        rewritten, until there are SEGMENTS changes.
+        """
+        paths = paths.select("file_path").distinct().persist()
+        vectors_, chunks = None, None
         if pieces is not None:
-            chunks, sparse = chunks.unionByName(pieces.withColumn("text", F.substring("text", 1, 500))), sparse.unionByName(embed.hashed(pieces, retrieval.KEY))
-        self.sparse.commit(sparse)
-        return self.chunks.commit(chunks)
+            vectors_, chunks = embed.hashed_rows(pieces, retrieval.KEY), pieces.withColumn("text", F.substring("text", 1, 500))
+        staged = [*self._vectors(), *self.sparse.stage(vectors_, paths)[len(self.sparse.segments()) :]]
+        version = self.chunks.change(chunks, paths, vectors=staged, **properties)
+        paths.unpersist()
+        if len(staged) > SEGMENTS:
+            version = self.compact()
+        return version
+
+    def _vectors(self) -> list[dict]:
+        """The segments of the vectors that belong to the newest chunks."""
+        return self.chunks.properties().get("vectors", [])
+
+    def vectors(self) -> DataFrame:
+        segments = self._vectors()
+        return self.sparse.read(segments) if segments else self.spark.createDataFrame([], SPARSE)
+
+    def compact(self) -> int:
+        """The store with one segment; what no version names goes."""
+        staged = self.sparse.stage(self.vectors(), None)[-1:]
+        version = self.chunks.commit(self.chunks.read(), vectors=staged)
+        self.sparse.vacuum(staged)
+        self.chunks.vacuum()
+        return version
 
     def hits(self, queries: DataFrame, depth: int, file_type: str | None = None, without: list[str] | None = None) -> DataFrame:
         """Hits of (query_id, source_rank, text): all searches of a stage are one job."""
         store = vectors.matching(self.chunks.read(), {"file_type": file_type} if file_type else None, {"file_type": without} if without else None)
-        sparse = self.sparse.read()
+        sparse = self.vectors()
         if file_type or without:
             sparse = sparse.join(store.select(retrieval.KEY), retrieval.KEY, "left_semi")
-        asked = queries.select(F.struct("query_id", "source_rank").alias("query_id"), "text")
-        scores = vectors.sparse_scores(sparse, embed.hashed(asked, ["query_id"]), retrieval.KEY)
-        best = vectors.best_of_each(scores, depth, retrieval.KEY, self.config.query.score_threshold)
-        out = best.join(store, retrieval.KEY)
-        return out.select("query_id.query_id", "query_id.source_rank", *HIT[2:])
+        asked = embed.hashed_rows(queries.select("query_id", "source_rank", "text"), ["query_id", "source_rank"])
+        best = vectors.sparse_top_k(sparse, asked, retrieval.KEY, ["query_id", "source_rank"], depth, self.config.query.score_threshold)
+        return best.join(store, retrieval.KEY).select("query_id", "source_rank", *HIT[2:])
 
     def search(self, query: str, top_k: int | None = None, file_type: str | None = None) -> DataFrame:
         if not query.strip():
@@ -179,5 +222,6 @@ class Engine:
         return out | {"last_file": last and last["file_path"], "errors_latest": [r.asDict() for r in errors.collect()]}
 
     def reset(self) -> None:
-        for t in (self.chunks, self.sparse, self.files):
-            t.clear()
+        self.chunks.commit(self.spark.createDataFrame([], CHUNKS), vectors=[])
+        self.sparse.clear()
+        self.files.clear()

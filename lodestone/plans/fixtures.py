@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,14 @@ MODEL_LINES = ["1. order confirmation license key\n2) \"serial number code\"\n-
 NOW = 1_600_000_000.0
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share. A session of one machine that names none, as in tests, has a local one; a cluster has to name it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or "/tmp/checkpoints"
+
+
 def table(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(f"{d}/{name}.parquet")
     return df.select(*cols) if cols else df
@@ -74,9 +84,9 @@ def catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of four questions, each found by one to three searches, over all documents."""
+    """Hits of four questions, each found by one to three searches, over all documents and their whole texts."""
     i, s = F.col("doc_id"), F.col("source_rank")
-    out = corpus(spark, d, F.substring("text", 1, 500).alias("text")).withColumn("source_rank", F.explode(F.sequence(F.lit(0), F.pmod(i, F.lit(3)).cast("int"))))
+    out = corpus(spark, d, "text").withColumn("source_rank", F.explode(F.sequence(F.lit(0), F.pmod(i, F.lit(3)).cast("int"))))
     score = F.round(((i * 37 + s * 101) % 997) / 1000.0, 6)
     path = F.concat(F.lit("/corpus/"), (i / 6).cast("long").cast("string"), F.element_at(F.array(*map(F.lit, EXTS)), ((i / 6).cast("long") % 8 + 1).cast("int")))
     kind = F.element_at(F.array(*map(F.lit, ["text", "pdf", "msg", "docx"])), ((i / 6).cast("long") % 4 + 1).cast("int"))
@@ -103,7 +113,7 @@ SQL = {
         UNION ALL SELECT DISTINCT '/corpus/' || source || '/ghost.txt', 1, 1.0, NULL, 'indexed', {NOW}, 1, NULL FROM documents)""",
     "files": f"""files0 AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'indexed' WHEN 'O' THEN 'error' ELSE 'pending' END AS st FROM orders),
         files AS (SELECT '/orders/' || k || '.msg' AS file_path, k % 4096 AS file_size, CAST(k AS DOUBLE) AS mtime, CAST(NULL AS VARCHAR) AS content_hash, st AS status, CASE WHEN k % 3 <> 0 THEN {NOW} - (k % 1000) * 300 END AS indexed_at, k % 7 AS chunk_count, CASE WHEN st = 'error' OR k % 50 = 2 THEN {_list(ERRORS)}[CAST(k % 10 AS INT) + 1] END AS error FROM files0)""",
-    "hits": f"""hits AS (SELECT doc_id % 4 AS query_id, CAST(s AS INT) AS source_rank, CAST(doc_id AS INT) AS rank, '/corpus/' || (doc_id // 6) || {_list(EXTS)}[CAST((doc_id // 6) % 8 AS INT) + 1] AS file_path, CAST(doc_id % 6 AS INT) AS chunk_index, substr(text, 1, 500) AS text, round(((doc_id * 37 + s * 101) % 997) / 1000.0, 6) AS score, ['text', 'pdf', 'msg', 'docx'][CAST((doc_id // 6) % 4 AS INT) + 1] AS file_type FROM (SELECT *, unnest(range(0, doc_id % 3 + 1)) AS s FROM documents))""",
+    "hits": f"""hits AS (SELECT doc_id % 4 AS query_id, CAST(s AS INT) AS source_rank, CAST(doc_id AS INT) AS rank, '/corpus/' || (doc_id // 6) || {_list(EXTS)}[CAST((doc_id // 6) % 8 AS INT) + 1] AS file_path, CAST(doc_id % 6 AS INT) AS chunk_index, text, round(((doc_id * 37 + s * 101) % 997) / 1000.0, 6) AS score, ['text', 'pdf', 'msg', 'docx'][CAST((doc_id // 6) % 4 AS INT) + 1] AS file_type FROM (SELECT *, unnest(range(0, doc_id % 3 + 1)) AS s FROM documents))""",
     "words": "words AS (SELECT * FROM (VALUES (CAST(0 AS BIGINT), ['the', 'jill', 'zzz'], ['jill']), (1, ['que', 'and'], CAST([] AS VARCHAR[])), (2, ['the', 'the', 'tion'], ['tion']), (3, ['qqq'], ['qqq'])) w(query_id, keywords, entities))",
     "questions": f"questions AS ({_values(QUESTIONS, 'question')})",
     "answers": f"answers AS ({_values(ANSWERS, 'answer')})",

@@ -186,6 +186,7 @@ def _sparse(name: str, rel: str, key: str) -> str:
 
 fx.SQL["dv"] = _sparse("dv", "documents", "doc_id")
 fx.SQL["qv"] = _sparse("qv", "benchmark", "item_id")
+fx.SQL["cv"] = _sparse("cv", "chunks", "source_file, chunk_index")
 
 
 @query("SELECT doc_id, bucket, round(w, 6) AS w FROM dv", "dv")
@@ -224,9 +225,9 @@ def vector_topk_batch(spark, d):
 
 @query("SELECT query_id, CAST(r AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (SELECT qv.item_id AS query_id, dv.doc_id, round(sum(dv.w * qv.w), 6) AS score FROM dv JOIN qv USING (bucket) GROUP BY ALL) WHERE score >= 0.3) WHERE r <= 15", "dv", "qv")
 def semantic_search(spark, d):
-    q = embed.hashed(fx.table(spark, d, "benchmark", F.col("item_id").alias("query_id"), "text"), ["query_id"])
-    v = embed.hashed(fx.table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
-    return vectors.best_of_each(vectors.sparse_scores(v, q, ["doc_id"]), 15, ["doc_id"], 0.3).select("query_id", "rank", "doc_id", "score")
+    q = embed.hashed_rows(fx.table(spark, d, "benchmark", F.col("item_id").alias("query_id"), "text"), ["query_id"])
+    v = embed.hashed_rows(fx.table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
+    return vectors.sparse_top_k(v, q, ["doc_id"], ["query_id"], 15, 0.3)
 
 
 fx.SQL["store"] = "store AS (SELECT file_path, chunk_index, min(text) AS text, min(file_type) AS file_type FROM hits GROUP BY ALL)"
@@ -411,7 +412,8 @@ def error_category(spark, d):
 
 
 def _rules(rules: list, empty: str, otherwise: str) -> str:
-    cases = " ".join("WHEN " + " OR ".join([f"contains(error, '{x}')" for x in a] + [f"contains(lower(error), '{x}')" for x in b]) + f" THEN '{k}'" for k, a, b in rules)
+    said = lambda k, r: f"'{k}: ' || coalesce(nullif(trim(regexp_extract(error, '{r[0]}', 1)), ''), 'unknown reason')" if r else f"'{k}'"
+    cases = " ".join("WHEN " + " OR ".join([f"contains(error, '{x}')" for x in a] + [f"contains(lower(error), '{x}')" for x in b]) + f" THEN {said(k, r)}" for k, a, b, *r in rules)
     return f"CASE WHEN coalesce(error, '') = '' THEN '{empty}' {cases} ELSE {otherwise} END"
 
 
@@ -466,6 +468,146 @@ def snapshot_rate_eta(spark, d):
     return out.withColumns({"rate": F.round("rate", 6), "eta_hours": F.round("eta_hours", 6)})
 
 
+_OTHER = ["%No such file%", "%no such file%", "%Failed to transcribe audio%"]
+
+
+@query("SELECT file_path, error FROM files WHERE status = 'error' AND " + " AND ".join(f"error NOT LIKE '{x}'" for x in _OTHER) + " ORDER BY file_path LIMIT 10", "files")
+def other_errors(spark, d):
+    return diagnostics.errors_like(fx.catalog(spark, d), unlike=_OTHER, n=10).select("file_path", "error")
+
+
+@query("SELECT file_path, error FROM files WHERE status = 'error' AND error LIKE '%Failed to transcribe audio%' ORDER BY file_path LIMIT 5", "files")
+def audio_errors(spark, d):
+    return diagnostics.errors_like(fx.catalog(spark, d), ["%Failed to transcribe audio%"], n=5).select("file_path", "error")
+
+
+@query("SELECT CASE WHEN error LIKE '%No such file%' OR error LIKE '%no such file%' THEN 'not downloaded' WHEN error LIKE '%Failed to transcribe audio%' THEN 'audio' ELSE 'other' END AS kind, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS pct FROM files WHERE status = 'error' GROUP BY 1", "files")
+def error_breakdown(spark, d):
+    return diagnostics.error_shares(fx.catalog(spark, d), {"not downloaded": _OTHER[:2], "audio": _OTHER[2:]}, "other")
+
+
+@query("SELECT file_path, error FROM files WHERE status = 'error' AND error LIKE '%Failed to transcribe audio%' AND (file_path LIKE '%6.msg' OR file_path LIKE '%26.msg') AND file_path LIKE '%/orders/1%' ORDER BY file_path LIMIT 5", "files")
+def find_test_file(spark, d):
+    return diagnostics.errors_like(fx.catalog(spark, d), ["%Failed to transcribe audio%"], paths=[["%6.msg", "%26.msg"], ["%/orders/1%"]], n=5).select("file_path", "error")
+
+
+@query("SELECT file_path, CASE WHEN hit THEN 'pending' ELSE status END AS status, CASE WHEN hit THEN NULL ELSE error END AS error FROM (SELECT *, coalesce(status = 'error' AND error LIKE '%code page%', false) AS hit FROM files)", "files")
+def reset_code_page(spark, d):
+    return catalog.reset_errors(fx.catalog(spark, d), F.col("error").like("%code page%")).select("file_path", "status", "error")
+
+
+@query("SELECT file_path, status FROM files WHERE status <> 'pending'", "files")
+def clear_pending(spark, d):
+    return catalog.remove_pending(fx.catalog(spark, d)).select("file_path", "status")
+
+
+@query("SELECT file_path, CASE WHEN status = 'processing' THEN 'pending' ELSE status END AS status FROM (SELECT file_path, CASE WHEN file_size % 3 = 0 THEN 'processing' ELSE status END AS status FROM files)", "files")
+def reset_stuck(spark, d):
+    stuck = F.when(F.col("file_size") % 3 == 0, "processing").otherwise(F.col("status"))
+    return catalog.reset_stuck(fx.catalog(spark, d).withColumn("status", stuck)).select("file_path", "status")
+
+
+@query("SELECT * FROM prior WHERE file_path NOT IN (SELECT file_path FROM corpus WHERE file_size % 4 = 0)", "corpus", "prior")
+def catalog_remove(spark, d):
+    return catalog.remove(fx.prior(spark, d), fx.corpus(spark, d).filter("file_size % 4 = 0"))
+
+
+_SAMPLED = "sampled AS (SELECT * FROM files WHERE status = 'error' ORDER BY md5(file_path || '7'), file_path LIMIT 200)"
+fx.SQL["sampled"] = _SAMPLED
+
+
+@query("SELECT file_path, error FROM sampled", "files", "sampled")
+def error_sample(spark, d):
+    return diagnostics.sample(fx.catalog(spark, d), 200, 7).select("file_path", "error")
+
+
+@query(f"SELECT category, n, CAST(round(n * 10000 / sum(n) OVER ()) AS BIGINT) AS estimate FROM (SELECT {_rules(fixed.ERROR_RULES, 'NULL/empty error', 'substr(error, 1, 80)')} AS category, count(*) AS n FROM sampled GROUP BY 1)", "files", "sampled")
+def error_extrapolated(spark, d):
+    return diagnostics.extrapolated(diagnostics.sample(fx.catalog(spark, d), 200, 7), 10_000, fixed.ERROR_RULES, "NULL/empty error")
+
+
+@query("SELECT file_path, upper(nullif(regexp_extract(file_path, '^([A-Za-z]):', 1), '')) AS drive FROM (SELECT ['D:/x/', 'e:y', '/mnt/', 'F:', ''][CAST(doc_id % 5 AS INT) + 1] || doc_id AS file_path FROM documents)")
+def drive_letters(spark, d):
+    roots = F.array(*map(F.lit, ["D:/x/", "e:y", "/mnt/", "F:", ""]))
+    path = F.concat(F.element_at(roots, (F.col("doc_id") % 5 + 1).cast("int")), F.col("doc_id").cast("string"))
+    return fx.table(spark, d, "documents", path.alias("file_path")).select("file_path", c.drive_letter(F.col("file_path")).alias("drive"))
+
+
+@query("SELECT s.file_path, s.chunk_index, CASE WHEN n.file_path IS NULL THEN s.text ELSE 'new' END AS text FROM store s LEFT JOIN (SELECT DISTINCT file_path FROM store WHERE chunk_index = 3) n ON s.file_path = n.file_path WHERE n.file_path IS NULL OR s.chunk_index = 3", "hits", "store")
+def vectors_replace(spark, d):
+    store = _store(spark, d)
+    return vectors.replace_files(store, store.filter("chunk_index = 3").withColumn("text", F.lit("new"))).select("file_path", "chunk_index", "text")
+
+
+@query("SELECT file_path, chunk_index FROM store WHERE file_path NOT IN (SELECT file_path FROM store WHERE chunk_index = 5)", "hits", "store")
+def vectors_delete(spark, d):
+    store = _store(spark, d)
+    return vectors.delete_files(store, store.filter("chunk_index = 5")).select("file_path", "chunk_index")
+
+
+@query("SELECT ref, usn, reason, name, is_directory FROM (SELECT CAST(user_id AS BIGINT) AS ref, event_id AS usn, CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in REASONS.items()) + " ELSE 0 END AS reason, 'file ' || user_id || ' é.txt' AS name, user_id % 7 = 0 AS is_directory FROM events) WHERE usn >= 100")
+def journal_decode(spark, d):
+    """Journal pages in binary, decoded, from an offset on."""
+    from lodestone.sources import journal
+
+    reason = F.coalesce(F.create_map(*(F.lit(x) for kv in REASONS.items() for x in kv))[F.col("event_type")], F.lit(0)).cast("long")
+    rows = fx.table(spark, d, "events", "user_id", "event_id", reason.alias("reason"))
+    return journal.since(journal.decoded(_pages(rows)), 100).select(F.col("ref").cast("long").alias("ref"), "usn", "reason", "name", "is_directory")
+
+
+def _pages(rows):
+    """(user_id, event_id, reason) as pages of journal records, one an Arrow batch."""
+    import pyarrow as pa
+
+    from lodestone.sources import journal
+
+    def run(batches):
+        for b in batches:
+            said = b"".join(journal.record(u, 1, e, r, 0x10 if u % 7 == 0 else 0, f"file {u} é.txt") for u, e, r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([said], pa.binary())], names=["content"])
+
+    return rows.mapInArrow(run, "content binary")
+
+
+@query("SELECT '/u/' || ref || '.txt' AS path FROM (SELECT user_id AS ref, reason, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM (SELECT *, CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in REASONS.items()) + " ELSE 0 END AS reason FROM events) WHERE event_id >= 100 AND user_id % 7 <> 0 AND reason IN (1, 2, 256, 512, 32768)) WHERE r = 1 AND reason <> 512 AND ref IN (SELECT c_custkey FROM customer) AND starts_with('/u/' || ref, '/u/1')")
+def journal_scan(spark, d):
+    """From binary pages to the paths to look at: from the offset, the last record a file, resolved, under the prefixes."""
+    from lodestone.sources import journal
+
+    reason = F.coalesce(F.create_map(*(F.lit(x) for kv in REASONS.items() for x in kv))[F.col("event_type")], F.lit(0)).cast("long")
+    rows = fx.table(spark, d, "events", "user_id", "event_id", reason.alias("reason"))
+    paths = fx.table(spark, d, "customer", F.col("c_custkey").cast("decimal(20,0)").alias("ref"), F.format_string("/u/%d.txt", "c_custkey").alias("path"))
+    latest = crawl.latest_changes(journal.since(journal.decoded(_pages(rows)), 100))
+    return journal.resolved(latest, paths).filter(c.under(F.col("path"), ["/u/1"])).select("path")
+
+
+@query("SELECT conv_id, trim('Subject: Conversation ' || conv_id || chr(10) || 'From: ' || arg_min(role, turn) || '@example.com' || chr(10) || chr(10) || string_agg(text, chr(10) ORDER BY turn)) AS text, NULL::VARCHAR AS error FROM conversations GROUP BY 1")
+def mail_extract(spark, d):
+    """Conversations as RFC 822 mail, read by the extractor."""
+    from lodestone.sources import extract
+
+    g = fx.table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("role"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    head = F.concat(F.lit("Subject: Conversation "), F.col("conv_id").cast("string"), F.lit("\r\nFrom: "), "role", F.lit("@example.com\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"))
+    body = F.array_join(F.transform("t", lambda x: x["text"]), "\n")
+    files = g.select(F.col("conv_id").cast("string").alias("file_path"), F.lit("msg").alias("file_type"), F.concat(head, body).cast("binary").alias("content"))
+    return extract.extract(files).select(F.col("file_path").cast("long").alias("conv_id"), "text", "error")
+
+
+@query(
+    f"""SELECT query_id, CAST(r AS INT) AS rank, file_path, chunk_index, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path, chunk_index) AS r FROM
+    (SELECT qv.item_id AS query_id, cv.source_file AS file_path, cv.chunk_index, round(sum(cv.w * qv.w), 6) AS score FROM cv JOIN qv USING (bucket) GROUP BY ALL) WHERE score >= 0.3) WHERE r <= 5""",
+    "corpus",
+    "chunks",
+    "cv",
+    "qv",
+)
+def chunk_search(spark, d):
+    """What a store of all documents' chunks finds for the benchmark texts."""
+    q = embed.hashed_rows(fx.table(spark, d, "benchmark", F.col("item_id").alias("query_id"), "text"), ["query_id"])
+    v = embed.hashed_rows(_chunks(spark, d).withColumnRenamed("source_file", "file_path"), ["file_path", "chunk_index"])
+    return vectors.sparse_top_k(v, q, ["file_path", "chunk_index"], ["query_id"], 5, 0.3)
+
+
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def content_hash(spark, d):
     return fx.table(spark, d, "documents", "doc_id", c.content_hash(F.col("text").cast("binary")).alias("content_hash"))
@@ -492,8 +634,7 @@ def _engine(spark, d):
     from lodestone.sources.config import Config
     from lodestone.sources.config import Query as QueryConfig
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    e = Engine(spark, Config(store=f"{shared}/store-{uuid.uuid4().hex}", query=QueryConfig(score_threshold=0.05)))
+    e = Engine(spark, Config(store=f"{fx.shared(spark)}/store-{uuid.uuid4().hex}", query=QueryConfig(score_threshold=0.05)))
     e.put(fx.corpus(spark, d, "text").select("file_path", "text"))
     return e
 
@@ -513,26 +654,31 @@ def ask_broad(spark, d):
     return _answered(spark, d, "find all and the entire ring")
 
 
-@query()
+@query(
+    f"""SELECT '/u/' || doc_id AS file_path, count(*) AS chunks, count(*) FILTER (regexp_matches(lower(k.text), '[a-z0-9]')) AS vectors FROM chunks k JOIN corpus c ON k.source_file = c.file_path
+    WHERE '/u/' || doc_id IN (SELECT regexp_extract(v, {PARTS}, 3) FROM (SELECT {LINE} AS v FROM events) WHERE regexp_matches(v, {PARTS})) GROUP BY doc_id""",
+    "corpus",
+    "chunks",
+)
 def stream_ingest(spark, d):
     """The change log of events as a stream, into a store, and what the store then has."""
     import uuid
 
-    from lodestone.plans.engine import CHUNKS
+    from lodestone.plans.engine import Engine
+    from lodestone.sources.config import Config
     from lodestone.streaming import ingest
 
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
+    at = f"{fx.shared(spark)}/stream-{uuid.uuid4().hex}"
     _log(spark, d).write.text(f"{at}/log")
     known = fx.table(spark, d, "documents", F.format_string("/u/%d", "doc_id").alias("file_path"), F.lit("text").alias("file_type"), "text")
-    store = catalog.Table(spark, f"{at}/store", CHUNKS)
+    engine = Engine(spark, Config(store=f"{at}/store"))
     read = lambda paths: known.join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi")
-    ingest.follow(ingest.changes(spark, f"{at}/log"), read, store, f"{at}/offsets").awaitTermination()
-    return store.read().groupBy("file_path").agg(F.count("*").alias("chunks"))
+    ingest.follow(ingest.changes(spark, f"{at}/log"), read, engine, f"{at}/offsets").awaitTermination()
+    n = engine.chunks.read().groupBy("file_path").agg(F.count("*").alias("chunks"))
+    return n.join(engine.vectors().groupBy("file_path").agg(F.count("*").alias("vectors")), "file_path", "left").fillna(0, ["vectors"])
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Chunk the documents, embed the chunks, and search them for one benchmark text."""
-    pieces = _chunks(spark, d).select(F.struct("source_file", "chunk_index").alias("chunk"), "text")
-    q = fx.table(spark, d, "benchmark", F.col("item_id").alias("query_id"), "text").filter("query_id = 0")
-    scores = vectors.sparse_scores(embed.hashed(pieces, ["chunk"]), embed.hashed(q, ["query_id"]), ["chunk"])
-    return vectors.best_of_each(scores, 15, ["chunk"]).select("query_id", "rank", "chunk.source_file", "chunk.chunk_index", "score")
+    q = embed.hashed_rows(fx.table(spark, d, "benchmark", F.col("item_id").alias("query_id"), "text").filter("query_id = 0"), ["query_id"])
+    return vectors.sparse_top_k(embed.hashed_rows(_chunks(spark, d), ["source_file", "chunk_index"]), q, ["source_file", "chunk_index"], ["query_id"], 15)

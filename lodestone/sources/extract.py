@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import io
+import signal
+import struct
+import threading
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import islice
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -13,12 +19,40 @@ from pyspark.sql import functions as F
 
 from lodestone import schemas
 from lodestone.functions import columns as c
+from lodestone.sources import mail
+from lodestone.sources import pdf as pages
+
+#: Paths of one listing: that many file names are on the driver at once.
+PATHS = 4096
 
 
 class ExtractionError(Exception):
     pass
 
 
+class ExtractionTimeout(BaseException):
+    """Not an Exception, so that no reader takes it for a fault of its own."""
+
+
+@contextmanager
+def limited(seconds: float | None):
+    """Ends what runs inside after so many seconds, with ExtractionTimeout. In a thread beside the main one there is no limit."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_):
+        raise ExtractionTimeout
+
+    was = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, was)
+
+
 Extractor = Callable[[bytes], tuple[str, dict[str, str]]]
 
 
@@ -49,28 +83,28 @@ def docx(content: bytes) -> tuple[str, dict[str, str]]:
     return "\n".join(lines), {"paragraph_count": str(n)}
 
 
+def pdf(content: bytes) -> tuple[str, dict[str, str]]:
+    """The text layer, page by page."""
+    try:
+        return pages.read(content)
+    except (ValueError, zlib.error, RecursionError) as e:
+        raise ExtractionError(f"Failed to extract PDF: {e}") from e
+
+
 def email(content: bytes) -> tuple[str, dict[str, str]]:
-    """RFC 822 mail: header lines, the body, and attachments by their own type."""
-    import email as mail
-    from email import policy
-
-    msg = mail.message_from_bytes(content, policy=policy.default)
-    parts = [f"{k}: {msg[k]}" for k in ("Subject", "From", "To", "CC", "Date") if msg[k]] + [""]
-    body = msg.get_body(("plain", "html"))
-    if body is not None and body.get_content().strip():
-        parts.append(body.get_content())
-    names = []
-    for a in msg.iter_attachments():
-        name = a.get_filename() or "unnamed"
+    """Mail: header lines, the body, and attachments by their own type. What is no mail is an error, not text."""
+
+    def inner(name: str, data: bytes) -> str | None:
         kind = next((k for k, exts in _types().items() if any(name.lower().endswith(e) for e in exts)), None)
         try:
-            inner = email(bytes(a.get_payload(0))) if a.get_content_type() == "message/rfc822" else REGISTRY[kind](a.get_payload(decode=True))
-        except (KeyError, ExtractionError, TypeError):
-            continue
-        if inner[0]:
-            names.append(name)
-            parts.append(f"\n--- Attachment: {name} ---\n{inner[0]}")
-    return "\n".join(parts).strip(), {"attachments_processed": str(len(names)), "attachment_names": ", ".join(names)}
+            return REGISTRY[kind](data)[0]
+        except Exception:  # noqa: BLE001  an attachment that can't be read doesn't take its mail along
+            return None
+
+    try:
+        return mail.read(content, inner)
+    except (ValueError, struct.error, LookupError) as e:
+        raise ExtractionError(f"Failed to open MSG: {e}") from e
 
 
 def _types() -> dict[str, list[str]]:
@@ -89,33 +123,41 @@ def absent(kind: str) -> Extractor:
 
 
 #: An extractor for each type; others can be put in their place.
-REGISTRY: dict[str, Extractor] = {"text": text, "docx": docx, "msg": email} | {k: absent(k) for k in ("pdf", "image", "audio", "video")}
+REGISTRY: dict[str, Extractor] = {"text": text, "pdf": pdf, "docx": docx, "msg": email} | {k: absent(k) for k in ("image", "audio", "video")}
 
 
-def extract(contents: DataFrame, registry: dict[str, Extractor] | None = None) -> DataFrame:
-    """file_path, file_type, text, metadata, error of (file_path, file_type, content)."""
+def extract(contents: DataFrame, registry: dict[str, Extractor] | None = None, timeout: float | None = 300) -> DataFrame:
+    """file_path, file_type, text, metadata, error of (file_path, file_type, content); a file that takes over timeout seconds is an error."""
     known = REGISTRY if registry is None else registry
 
-    def one(kind: str | None, content: bytes | None) -> tuple[str | None, dict, str | None]:
+    def one(path: str | None, kind: str | None, content: bytes | None) -> tuple[str | None, dict, str | None]:
         if kind not in known:
             return None, {}, f"No extractor for type: {kind}"
         try:
-            said, meta = known[kind](content or b"")
+            with limited(timeout):
+                said, meta = known[kind](content or b"")
             return said, meta | {"file_type": kind}, None
+        except ExtractionTimeout:
+            return None, {}, f"Extraction timed out after {timeout}s: {path}"
         except Exception as e:  # noqa: BLE001  one file's fault is its own
             return None, {}, f"{type(e).__name__}: {e}"[:500]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             path, kind, content = (b.column(i).to_pylist() for i in range(3))
-            out = [one(k, x) for k, x in zip(kind, content, strict=True)]
+            out = [one(p, k, x) for p, k, x in zip(path, kind, content, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array([o[0] for o in out], pa.string()), pa.array([list(o[1].items()) for o in out], pa.map_(pa.string(), pa.string())), pa.array([o[2] for o in out], pa.string())], names=["file_path", "file_type", "text", "metadata", "error"])
 
     return contents.select("file_path", "file_type", "content").mapInArrow(run, schemas.EXTRACTED)
 
 
-def contents(spark: SparkSession, folders: list[str], queued: DataFrame) -> DataFrame:
-    """file_path, file_type, content of the queued files (path) below the folders."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders)
-    df = df.select(F.regexp_replace("path", "^file:(//)?", "").alias("file_path"), "content")
-    return df.join(queued.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").withColumn("file_type", c.file_type(c.extension(F.col("file_path"))))
+def contents(spark: SparkSession, queued: DataFrame) -> DataFrame:
+    """file_path, file_type, content of the queued files (path) alone: what isn't queued isn't opened. Files that are gone by now fall out."""
+    from lodestone.sources import files
+
+    names = (r["path"] for r in queued.select("path").distinct().toLocalIterator())
+    out = spark.createDataFrame([], "file_path string, content binary")
+    while some := [p for p in islice(names, PATHS) if files.exists(spark, p)]:
+        df = spark.read.format("binaryFile").load([*map(files.escaped, some)])
+        out = out.unionByName(df.select(files.plain_path(F.col("path")).alias("file_path"), "content"))
+    return out.withColumn("file_type", c.file_type(c.extension(F.col("file_path"))))

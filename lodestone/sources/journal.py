@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import schemas
+from lodestone.functions import columns as c
 from lodestone.functions import fixed
 
 _HEADER = struct.Struct("<IHHQQQQIIIIHH")
@@ -55,6 +59,58 @@ def decoded(buffers: DataFrame, col: str = "content") -> DataFrame:
     return buffers.select(col).mapInArrow(run, schemas.JOURNAL)
 
 
+class Volume(Protocol):
+    """A volume's change journal: what an operating system's reader gives, or a folder of saved buffers."""
+
+    def state(self) -> dict:
+        """journal_id, first_usn, next_usn."""
+
+    def records(self, usn: int) -> DataFrame:
+        """The journal's rows from an offset on."""
+
+    def paths(self) -> DataFrame:
+        """ref, path of the files that are there."""
+
+
+@dataclass
+class SavedVolume:
+    """A journal whose buffers were saved, one file a page, named by the offset of their first record; its index of paths is a table."""
+
+    spark: SparkSession
+    folder: str
+    index: DataFrame
+    journal_id: int
+    first_usn: int
+    next_usn: int
+
+    def state(self) -> dict:
+        return {"journal_id": self.journal_id, "first_usn": self.first_usn, "next_usn": self.next_usn}
+
+    def records(self, usn: int) -> DataFrame:
+        """Pages that end before the offset aren't read: a page ends where the next begins."""
+        names = self.spark.read.format("binaryFile").load(self.folder).select("path").collect()  # names alone
+        starts = sorted((int(re.search(r"(\d+)[^/]*$", r["path"])[1]), r["path"]) for r in names)
+        on = [p for i, (_, p) in enumerate(starts) if i + 1 == len(starts) or starts[i + 1][0] > usn]
+        if not on:
+            return self.spark.createDataFrame([], schemas.JOURNAL)
+        return decoded(self.spark.read.format("binaryFile").load(on).select("content"))
+
+    def paths(self) -> DataFrame:
+        return self.index
+
+
+def saved_volume(spark: SparkSession, folder: str) -> SavedVolume:
+    """A folder with pages/, index.parquet (ref, path) and state.json (journal_id, first_usn, next_usn)."""
+    state = spark.read.schema("journal_id long, first_usn long, next_usn long").json(f"{folder}/state.json").first()
+    index = spark.read.parquet(f"{folder}/index.parquet").select(F.col("ref").cast("decimal(20,0)").alias("ref"), "path")
+    return SavedVolume(spark, f"{folder}/pages", index, *state)
+
+
+def action(reason: Column) -> Column:
+    """What a record says of its file, as the change log names it."""
+    return F.when(c.reason_has(reason, "delete"), "delete").when(c.reason_has(reason, "create"), "create").when(c.reason_has(reason, "rename_old", "rename_new"), "rename").otherwise("modify")
+
+
 def since(journal: DataFrame, usn: int, first: int = 0) -> DataFrame:
     """Records from an offset on, no earlier than the first that the journal still has."""
     return journal.filter(F.col("usn") >= max(usn, first))

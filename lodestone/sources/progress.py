@@ -6,7 +6,8 @@ import json
 import os
 import time
 
-DEFAULTS = {"phase": "idle", "scanned": 0, "processed": 0, "errors": 0, "skipped_size": 0, "deleted": 0, "chunks_created": 0, "current_file": "", "started_at": None, "updated_at": None, "db_total": 0, "db_indexed": 0, "db_errors": 0, "db_pending": 0, "db_chunks": 0}
+#: The keys of a run's progress.
+DEFAULTS = {"phase": "idle", "dirs_visited": 0, "files_checked": 0, "files_new": 0, "files_queued": 0, "files_processed": 0, "files_errors": 0, "current_file": "", "started_at": None, "updated_at": None, "db_total": 0, "db_indexed": 0, "db_pending": 0, "db_errors": 0, "db_chunks": 0}
 
 
 def _replace(path: str, values: dict) -> None:
@@ -26,12 +27,9 @@ def read(path: str) -> dict:
 
 
 def write(path: str, **values) -> dict:
-    """Known values over those that are there, stamped with the time; unknown ones are ignored, and none of them writes nothing."""
-    known = {k: v for k, v in values.items() if k in DEFAULTS}
-    now = read(path)
-    if known:
-        now |= known | {"updated_at": time.time()}
-        _replace(path, now)
+    """The values over those that are there, stamped with the time; keys of one's own stay as well."""
+    now = read(path) | values | {"updated_at": time.time()}
+    _replace(path, now)
     return now
 
 
@@ -40,9 +38,9 @@ def write_stats(path: str, stats: dict) -> dict:
     return write(path, **{"db_" + ("chunks" if k == "total_chunks" else k): v for k, v in stats.items() if k in ("total", "indexed", "errors", "pending", "total_chunks")})
 
 
-def clear(path: str) -> None:
-    if os.path.exists(path):
-        os.remove(path)
+def clear(path: str) -> dict:
+    """The defaults over all that they name."""
+    return write(path, **DEFAULTS)
 
 
 def save_offsets(path: str, volume: str, state: dict) -> None:

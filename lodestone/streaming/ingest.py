@@ -8,30 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators import catalog, chunk, crawl, vectors
+from lodestone.operators import crawl
+from lodestone.plans.engine import Engine
 
 
 def changes(spark: SparkSession, log_folder: str, files_a_batch: int = 100) -> DataFrame:
-    """The change log as a stream of ts, action, path; offsets are the checkpoint's."""
+    """The change log as a stream of ts, action, path; offsets are the checkpoint's, and files_a_batch bounds what a batch takes in."""
     return crawl.change_log(spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(log_folder))
 
 
-def follow(stream: DataFrame, read: Callable[[DataFrame], DataFrame], store: catalog.Table, checkpoint: str, size: int = 1000, overlap: int = 200, every: str | None = None) -> StreamingQuery:
-    """Each batch's paths, the last of each, are read (to file_path, file_type, text), chunked, and put in place of the files' chunks.
+def follow(stream: DataFrame, read: Callable[[DataFrame], DataFrame], engine: Engine, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Each batch's paths, the last action of each, are read (to file_path, text), and their chunks and vectors put in place of the files'; deleted files lose theirs.
 
-    A batch that is delivered again changes nothing: a commit names its batch, and (file_path, chunk_index) is the key.
+    A batch that is delivered again changes nothing: the version that it made names its batch, and a version is there
+    whole or not at all.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        if store.properties().get("batch", -1) >= number:
+        if engine.chunks.properties().get("batch", -1) >= number:
             return
-        last = df.groupBy("path").agg(F.max_by("action", "ts").alias("action"))
+        last = df.groupBy("path").agg(F.max_by("action", "ts").alias("action")).persist()
+        got = read(last.filter("action != 'delete'").select("path")).select("file_path", "text").persist()
         gone = last.filter("action = 'delete'").select(F.col("path").alias("file_path"))
-        got = read(last.filter("action != 'delete'").select("path"))
-        pieces = chunk.chunk(got, size=size, overlap=overlap).join(got.select(F.col("file_path").alias("source_file"), "file_type"), "source_file")
-        new = pieces.select(F.col("source_file").alias("file_path"), "chunk_index", F.substring("text", 1, 500).alias("text"), "file_type")
-        old = vectors.delete_files(vectors.delete_files(store.read(), got.select("file_path")), gone)
-        store.commit(old.unionByName(new), batch=number)
+        engine.replace(got, gone, batch=number)
+        got.unpersist()
+        last.unpersist()
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -115,7 +115,47 @@ def test_scan(spark, tmp_path):
     assert files.scan(spark, [str(tmp_path)], none, str(log)).count() == 1
     names = tmp_path / "list.lst"
     names.write_text(f"{tmp_path}/a.txt\n\n{tmp_path}/nowhere.txt\n")
-    assert files.file_list(spark, str(names), files.walk(spark, [str(tmp_path)])).count() == 1
+    assert files.file_list(spark, str(names)).count() == 1
+    names.write_text(f"{tmp_path}/empty.txt\n{tmp_path}\n")
+    assert [r["size"] for r in files.file_list(spark, str(names)).collect()] == [0]
+    assert files.walk(spark, [str(tmp_path / "nowhere")]).count() == 0
+    assert {r["path"].rsplit("/", 1)[1] for r in spark.createDataFrame(files._readable(spark, [str(tmp_path)]), files.FOUND).collect()} >= {"a.txt", "c.txt", "b.xyz"}
+
+
+def test_only_queued_files_are_opened(spark, tmp_path):
+    names = ["a b.txt", "c[1].txt", "e%20.txt", "other.txt"]
+    for n in names:
+        (tmp_path / n).write_text(n)
+    queued = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in [*names[:3], "gone.txt"]], "path string")
+    got = {r["file_path"].rsplit("/", 1)[1]: bytes(r["content"]).decode() for r in extract.contents(spark, queued).collect()}
+    assert got == {n: n for n in names[:3]}
+
+
+def test_journal_scan(spark, tmp_path):
+    for n in ("a.txt", "b.txt", "old.txt"):
+        (tmp_path / n).write_text(n)
+    pages, state = tmp_path / "pages", str(tmp_path / "journal.json")
+    pages.mkdir()
+    (pages / "page-00").write_bytes(journal.record(1, 9, 5, 0x100, 0, "old.txt"))
+    (pages / "page-10").write_bytes(journal.record(2, 9, 10, 0x1, 0, "a.txt") + journal.record(3, 9, 11, 0x200, 0, "gone.txt"))
+    (pages / "page-20").write_bytes(journal.record(2, 9, 20, 0x2, 0, "a.txt") + journal.record(4, 9, 21, 0x2000, 0, "b.txt"))
+    index = spark.createDataFrame([(i, f"{tmp_path}/{n}") for i, n in ((1, "old.txt"), (2, "a.txt"), (3, "gone.txt"), (4, "b.txt"))], "ref long, path string").withColumn("ref", F.col("ref").cast("decimal(20,0)"))
+    volume = lambda first: {"d": journal.SavedVolume(spark, str(pages), index, 7, first, 22)}
+    none = spark.createDataFrame([], schemas.FILES)
+    scan = lambda v: {r["path"].rsplit("/", 1)[1] for r in files.scan(spark, [str(tmp_path)], none, volumes=v, offsets_path=state).collect() if r["path"].endswith(".txt")}
+    assert scan(volume(0)) == {"a.txt", "b.txt", "old.txt"}  # no offset yet: a walk, and the offset is saved
+    from lodestone.sources import progress
+
+    assert progress.load_offsets(state)["d"]["next_usn"] == 22 and scan(volume(0)) == set()
+    progress.save_offsets(state, "d", {"journal_id": 7, "next_usn": 10, "first_usn": 0})
+    assert scan(volume(0)) == {"a.txt", "b.txt"}
+    progress.save_offsets(state, "d", {"journal_id": 7, "next_usn": 10, "first_usn": 0})
+    assert scan(volume(15)) == {"a.txt", "b.txt", "old.txt"}  # the journal has lost records: a walk
+    progress.save_offsets(state, "d", {"journal_id": 7, "next_usn": 10, "first_usn": 0})
+    log = str(tmp_path / "changes")
+    assert files.collect(spark, volume(0), state, log, "t") == 4 and files.collect(spark, volume(0), state, log, "t") == 0
+    got = sorted((r["action"], r["path"].rsplit("/", 1)[1]) for r in crawl.change_log(spark.read.text(log)).collect())
+    assert got == [("delete", "gone.txt"), ("modify", "a.txt"), ("modify", "a.txt"), ("rename", "b.txt")]
 
 
 def _docx():
@@ -134,13 +174,135 @@ def test_extract(spark):
     got = {r["file_path"]: r for r in extract.extract(df).collect()}
     assert (got["u"]["text"], got["u"]["metadata"]["encoding"]) == ("héllo", "utf-8")
     assert (got["l"]["text"], got["l"]["metadata"]["encoding"]) == ("café", "latin-1")
-    assert got["d"]["text"] == "One\na | b" and got["bad"]["error"] and got["p"]["error"]
+    assert got["d"]["text"] == "One\na | b" and got["bad"]["error"] and got["p"]["error"].startswith("ExtractionError: Failed to extract PDF")
     assert got["m"]["text"].startswith("Subject: Hi\nFrom: a@example.com\nTo: b@example.com\n\nBody text")
     assert got["q"]["error"].startswith("No extractor") and got["blank"]["error"] is None
     text, encoding = c.decoded(F.col("content"))
     assert [tuple(r) for r in df.limit(2).select(text, encoding).collect()] == [("héllo", "utf-8"), ("café", "latin-1")]
 
 
+def _ole(tree: dict) -> bytes:
+    """A compound file of nested storages; all streams in mini sectors, each storage's children in one chain of siblings."""
+    entries, small = [], b""
+
+    def add(name, value):
+        nonlocal small
+        at = len(entries)
+        entries.append(None)
+        if isinstance(value, dict):
+            kids = [add(k, v) for k, v in value.items()]
+            entries[at] = [name, 1, kids[0] if kids else 0xFFFFFFFF, 0, 0]
+            for a, b in zip(kids, kids[1:]):
+                entries[a].append(b)
+        else:
+            entries[at] = [name, 2, 0xFFFFFFFF, len(small) // 64, len(value)]
+            small += value + b"\0" * (-len(value) % 64)
+        return at
+
+    add("Root Entry", tree)
+    entries[0][1] = 5
+    mini = [i + 1 for i in range(len(small) // 64)]
+    for e in entries:
+        if e[1] == 2 and e[4]:
+            mini[e[3] + -(-e[4] // 64) - 1] = 0xFFFFFFFE
+    blocks = lambda b: -(-len(b) // 512)
+    import struct
+
+    table = struct.pack(f"<{len(mini)}I", *mini)
+    entries[0][3], entries[0][4] = 0, len(small)
+    names = lambda e: e[0].encode("utf-16-le")
+    n_small, n_table, n_dir = blocks(small), blocks(table), -(-len(entries) * 128 // 512)
+    entries[0][3] = 1 + n_dir + n_table
+    directory = b"".join(names(e).ljust(64, b"\0") + struct.pack("<HBB3I", len(names(e)) + 2, e[1], 1, 0xFFFFFFFF, e[5] if len(e) > 5 else 0xFFFFFFFF, e[2]) + b"\0" * 36 + struct.pack("<IQ", e[3], e[4]) for e in entries)
+    chain = lambda at, n: [at + i + 1 for i in range(n - 1)] + [0xFFFFFFFE] * (n > 0)
+    fat = [0xFFFFFFFD, *chain(1, n_dir), *chain(1 + n_dir, n_table), *chain(1 + n_dir + n_table, n_small)]
+    fat += [0xFFFFFFFF] * (128 - len(fat))
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + b"\0" * 16 + struct.pack("<HHHHH6xIIIIIIIII", 0x3E, 3, 0xFFFE, 9, 6, 0, 1, 1, 0, 4096, 1 + n_dir, n_table, 0xFFFFFFFE, 0) + struct.pack("<109I", 0, *[0xFFFFFFFF] * 108)
+    pad = lambda b: b + b"\0" * (-len(b) % 512)
+    return head + struct.pack("<128I", *fat) + pad(directory) + pad(table) + pad(small)
+
+
+def test_outlook():
+    import struct
+
+    u = lambda s: s.encode("utf-16-le")
+    prop = lambda tag, value: struct.pack("<II8s", tag, 6, value)
+    when = struct.pack("<Q", (1_300_000_000 + 11_644_473_600) * 10_000_000)
+    message = {
+        "__properties_version1.0": b"\0" * 32 + prop(0x00390040, when) + prop(0x3FFD0003, struct.pack("<II", 1251, 0)),
+        "__substg1.0_0037001F": u("Grüße"), "__substg1.0_0C1A001E": "Иван".encode("cp1251"), "__substg1.0_0E04001F": u("bob"), "__substg1.0_1000001F": u("Body text\r\n") * 30,
+        "__attach_version1.0_#00000000": {"__substg1.0_3707001F": u("note.txt"), "__substg1.0_37010102": b"inside the note", "__properties_version1.0": b"\0" * 8},
+        "__attach_version1.0_#00000001": {"__substg1.0_3704001F": u("x.bin"), "__substg1.0_37010102": b"\0\1"},
+        "__attach_version1.0_#00000002": {"__substg1.0_3701000D": {"__substg1.0_0037001F": u("Inner"), "__substg1.0_0C1A001F": u("eve"), "__substg1.0_10130102": b"<p>Hi <b>there</b></p>"}},
+    }
+    text, meta = extract.email(_ole(message))
+    assert text.startswith("Subject: Grüße\nFrom: Иван\nTo: bob\nDate: Sun, 13 Mar 2011 07:06:40 +0000\n\nBody text")
+    assert "\n--- Attachment: note.txt ---\ninside the note" in text and text.endswith("\n--- Attachment: unnamed ---\nSubject: Inner\nFrom: eve\nHi there")
+    assert (meta["attachment_count"], meta["attachments_processed"], meta["attachment_names"]) == ("3", "2", "note.txt, unnamed")
+    for bad in (_ole(message)[:700], _ole({"WordDocument": b"x"}), b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\xff" * 2000, b"just words", b""):
+        with pytest.raises(extract.ExtractionError, match="Failed to open MSG"):
+            extract.email(bad)
+
+
+def _pdf(*objects: bytes, tail: bytes = b"trailer << /Root 1 0 R >>") -> bytes:
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i + 1, o) for i, o in enumerate(objects)) + tail
+
+
+def test_pdf():
+    import zlib
+
+    stream = lambda head, data: b"<< %s /Length %d >>\nstream\n%s\nendstream" % (head, len(data), data)
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <0416> endbfchar 1 beginbfrange <0002> <0004> <0061> endbfrange"
+    one = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Hello \\(big\\) w\\366rld) Tj 0 -14 Td [(spa) -20 (ced) -300 (out)] TJ ET BT /F2 9 Tf 1 0 0 1 72 600 Tm <00010002000300040009> Tj ET")
+    six = b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 9 0 R >> "
+    head = b"6 0 7 %d " % len(six)
+    inner, first = head + six + b"<< /Type /Font /Subtype /Type1 /Encoding << /Differences [228 /adieresis 39 /quoteright] >> >>", len(head)
+    data = _pdf(
+        b"<< /Type /Catalog /Pages 2 0 R >>",
+        b"<< /Type /Pages /Kids [3 0 R 4 0 R 10 0 R] /Resources << /Font << /F1 7 0 R /F2 6 0 R >> /XObject << /X 11 0 R >> >> >>",
+        b"<< /Type /Page /Contents [5 0 R] >>",
+        b"<< /Type /Page /Contents 8 0 R >>",
+        stream(b"/Filter /FlateDecode", one),
+        b"null",
+        b"null",
+        stream(b"/Filter /ASCIIHexDecode", b"BT /F1 9 Tf (page two) Tj T* (it's \xe4) Tj ET /X Do".hex().encode() + b">"),
+        stream(b"", cmap),
+        b"<< /Type /Page >>",
+        stream(b"/Type /XObject /Subtype /Form", b"BT /F1 9 Tf (in a form) Tj ET"),
+        stream(b"/Type /ObjStm /N 2 /First %d" % first, inner),
+    ).replace(b"6 0 obj\nnull\nendobj\n7 0 obj\nnull\nendobj\n", b"")
+    text, meta = extract.pdf(data)
+    assert text == "Hello (big) wörld\nspaced out\nЖabc\n\npage two\nit’s ä\nin a form" and meta == {"page_count": "2", "ocr_used": "False"}
+    assert extract.pdf(_pdf(b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [2 0 R] >>"))[0] == ""
+    for bad in (b"", b"no pdf", _pdf(b"<< >>", tail=b"trailer << /Root 1 0 R /Encrypt 2 0 R >>"), _pdf(b"<< /Type /Page /Contents 2 0 R >>", stream(b"/Filter /FlateDecode", b"xx"))):
+        with pytest.raises(extract.ExtractionError, match="Failed to extract PDF"):
+            extract.pdf(bad)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 600), st.binary(min_size=1, max_size=8))
+def test_broken_files_never_hang(at, junk):
+    whole = _pdf(b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] >>", b"<< /Type /Page /Contents 4 0 R >>", b"<< /Length 30 >>\nstream\nBT (some text) Tj ET            \nendstream")
+    message = _ole({"__substg1.0_0037001F": b"a\0" * 300, "s": {"t": b"x" * 100}})
+    for f, data in ((extract.pdf, whole), (extract.email, message)):
+        try:
+            f(data[:at] + junk + data[at + len(junk) :])
+        except extract.ExtractionError:
+            pass
+
+
+def test_extraction_timeout(spark):
+    import time
+
+    def slow(content):
+        time.sleep(30)
+
+    df = spark.createDataFrame([("/a", "text", b"x"), ("/b", "slow", b"x")], "file_path string, file_type string, content binary")
+    began = time.time()
+    got = {r["file_path"]: r["error"] for r in extract.extract(df, {"text": extract.text, "slow": slow}, timeout=1).collect()}
+    assert got == {"/a": None, "/b": "Extraction timed out after 1s: /b"} and time.time() - began < 25
+
+
 def test_journal(spark):
     big = (1 << 64) - 5
     data = journal.record(big, 1, 10, 0x100, 0, "é.txt") + journal.record(7, 1, 11, 0x80000000, 0x10, "dir") + b"\0" * 8
@@ -207,3 +369,19 @@ def test_samples(spark):
     s = diagnostics.sample(df, 10, 1)
     assert s.count() == 10
     assert diagnostics.extrapolated(s, 20, fixed.ERROR_RULES, "none").agg(F.sum("estimate")).first()[0] == 20
+
+
+def test_reason_is_named(spark):
+    """What was wrong with a message stays in its category."""
+    from lodestone.functions import fixed
+
+    df = _files(spark, [(str(i), 1, 1.0, "error", 0, e) for i, e in enumerate(["Failed to open MSG: a.msg: bad header ", "Failed to open MSG at all", "x.msg: Unknown code page 950"])])
+    got = {r["category"] for r in diagnostics.error_taxonomy(df, fixed.ERROR_RULES, "none").collect()}
+    assert got == {"Failed to open MSG: bad header", "Failed to open MSG: unknown reason", "Unknown code page (corrupt .msg encoding)"}
+
+
+def test_errors_like(spark):
+    df = _files(spark, [("a.mp3", 1, 1.0, "error", 0, "Failed to transcribe audio: x"), ("b.wav", 1, 1.0, "error", 0, "No such file"), ("c", 1, 1.0, "error", 0, None), ("d", 1, 1.0, "indexed", 0, "Failed to transcribe audio")])
+    names = lambda **k: [r["file_path"] for r in diagnostics.errors_like(df, **k).collect()]
+    assert names(like=["%transcribe%"]) == ["a.mp3"] and names(unlike=["%transcribe%"]) == ["b.wav"] and names(paths=[["%.mp3", "%.wav"], ["a%"]]) == ["a.mp3"]
+    assert len(names()) == 3
