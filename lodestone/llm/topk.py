@@ -7,15 +7,17 @@ grows with the input, and neither queries nor candidates are ever gathered in on
 1. Every unit gathers, for each query and list, its k best partial scores, and the whole scores of the vectors that these
    name; the k-th best of them over all units is a cutoff that the k-th best score can't be below.
 2. The cutoff joins back to the query blocks. A score of at least the cutoff needs a partial score of at least
-   cutoff / lists in some list, so only such entries are collected in a unit; those whose partial scores, with the
-   threshold for the lists in which they fell short, stay below the cutoff go.
-3. The remaining entries' scores are resolved exactly, and a unit's k best by (score, least id) go on to the final merge.
-
-Null vectors, and those with null or non-finite components, take no part, neither do those whose length isn't the most
-common one (ties: the least). Components are floor(scale * x) with x as double; sums that could pass 2^53 are made in
-64-bit integers, and components are held within +-2^40. Equal vectors and scores go by the smaller id; rows that
-repeat an id are one candidate where their vectors are equal, and one each where not. A query with fewer than k candidates returns all of them. An empty
-table gives an empty result. Other columns aren't read.
+   cutoff / lists in some list, and a partial score is at most the product of two lengths: rows stand in the order of
+   their length in a list, and only those that are long enough for some query are multiplied. Entries that reach
+   cutoff / lists are collected.
+3. The whole scores of the collected entries alone are resolved, and a unit's k best by (score, least id) go on to the
+   final merge.
+
+Null vectors, and those with null or non-finite components, take no part. A query meets the vectors of its own length.
+Components are floor(scale * x) with x as double, held within the range of long; scores are exact, and held within that
+range where they would leave it. Equal scores go by the smaller id. Rows that repeat an id are candidates of their own;
+as a query, an id has the least of its vectors, and no row of a query's id is its candidate. A query with fewer than k
+candidates returns all of them. An empty table gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,12 +33,12 @@ from lodestone.llm.common import cut, stored
 
 #: Vectors of a row block and of a query block, on average.
 ROWS, QUERIES = 4096, 1024
-#: Scores that are worked on at once; what a query's own row stays below.
-AT_ONCE, NONE = 1 << 20, -(1 << 59)
+#: Scores that are worked on at once; the ends of a score's range; what no partial score is below.
+AT_ONCE, LEAST, MOST, NONE = 1 << 20, -(2**63) + 1, 2**63 - 1, -(1 << 200)
 
 
 def scaled(vector: Column, scale: int) -> Column:
-    return F.transform(vector, lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit(1 << 40)), F.lit(-(1 << 40))).cast("long"))
+    return F.transform(vector, lambda x: F.greatest(F.floor(x.cast("double") * scale).cast("long"), F.lit(LEAST)))
 
 
 def usable(vector: Column) -> Column:
@@ -44,88 +46,103 @@ def usable(vector: Column) -> Column:
 
 
 def matrix(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, dtype="<i8").reshape(n, -1)
+    return np.frombuffer(blob, dtype="<i8").reshape(n, -1) if blob else np.zeros((n, 0), dtype=np.int64)
 
 
 def packed(vectors: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks (name, n, ids, data, and any cutoffs) of (id, v[, cutoff]) with about ``size`` rows each."""
-    count = vectors.count()
-    of = F.pmod(F.xxhash64("id", F.lit(name)), F.lit(max(1, -(-count // size)))).alias(name)
+    """Blocks (width, name, n, ids, data, and any cutoffs; and the number of that width's blocks) of (id, width, v[, cutoff]) with about ``size`` rows each."""
+    blocks = vectors.groupBy("width").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("long").alias("blocks"))
     extra = [c for c in vectors.columns if c == "cutoff"]
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches).sort_by("id")
-        ids = np.asarray(t["id"], dtype="<i8")
-        cols = [pa.array([key[0].as_py()], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([np.asarray(t["v"].combine_chunks().flatten(), dtype="<i8").tobytes()], pa.binary())]
-        cols += [pa.array([np.asarray(t[c], dtype="<i8").tobytes()], pa.binary()) for c in extra]
-        yield pa.RecordBatch.from_arrays(cols, names=[name, "n", "ids", "data", *extra])
+        t = pa.Table.from_batches(batches)
+        raw = lambda x: pa.array([np.asarray(x, dtype="<i8").tobytes()], pa.binary())
+        cols = [*(pa.array([k.as_py()], pa.int64()) for k in key), pa.array([t.num_rows], pa.int64()), raw(t["id"]), raw(t["v"].combine_chunks().flatten()), *(raw(t[c]) for c in extra)]
+        yield pa.RecordBatch.from_arrays(cols, names=["width", "blocks", name, "n", "ids", "data", *extra])
 
-    return vectors.groupBy(of).applyInArrow(run, f"{name} long, n long, ids binary, data binary" + "".join(f", {c} binary" for c in extra))
+    dealt = vectors.join(blocks, "width").withColumn(name, F.pmod(F.xxhash64("id", F.lit(name)), F.col("blocks")))
+    return dealt.groupBy("width", "blocks", name).applyInArrow(run, f"width long, blocks long, {name} long, n long, ids binary, data binary" + "".join(f", {c} binary" for c in extra))
+
+
+def bound(q: np.ndarray, rows: np.ndarray) -> int:
+    """What no product of a row of each exceeds, in the sum of its terms' sizes."""
+    largest = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+    return largest(q) * largest(rows) * q.shape[1]
 
 
 def products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """q @ rows.T, exactly."""
-    bound = int(np.abs(q).max(initial=0)) * int(np.abs(rows).max(initial=0)) * q.shape[1]
-    if bound < 1 << 24:
+    """q @ rows.T, exactly: in long, or as Python's numbers where these would not do."""
+    most = bound(q, rows)
+    if most < 1 << 24:
         return (q.astype(np.float32) @ rows.astype(np.float32).T).astype(np.int64)
-    if bound < 1 << 53:
+    if most < 1 << 53:
         return (q.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
-    return q @ rows.T
+    return q @ rows.T if most < 1 << 62 else q.astype(object) @ rows.astype(object).T
 
 
-def slices(width: int, lists: int) -> list[slice]:
-    return [slice(width * i // lists, width * (i + 1) // lists) for i in range(lists)]
+def resolved(q: np.ndarray, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The whole scores of the pairs (q[i], rows[j])."""
+    out, step = np.zeros(len(i), dtype=np.int64), max(1, AT_ONCE // max(1, q.shape[1]))
+    small = bound(q, rows) < 1 << 62
+    for at in range(0, len(i), step):
+        a, b = q[i[at : at + step]], rows[j[at : at + step]]
+        out[at : at + step] = (a * b).sum(axis=1) if small else [min(MOST, max(LEAST, sum(map(int.__mul__, x, y)))) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    return out
 
 
-def best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each row, in any order."""
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k] if scores.shape[1] > k else np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+def slices(width: int, lists: int) -> list[slice]:
+    return [slice(width * i // lists, width * (i + 1) // lists) for i in range(lists)]
 
 
-def partial(q: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, r_ids: np.ndarray, lists: int) -> list[np.ndarray]:
-    """Each list's scores; a query's own row has none."""
-    out = [products(q[:, s], rows[:, s]) for s in slices(q.shape[1], lists)]
-    own = q_ids[:, None] == r_ids[None, :]
-    if own.any():
-        for x in out:
-            x[own] = 4 * NONE // len(out)
-    return out
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Of each row, rounded up."""
+    return np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-12)
 
 
-def phase_one(parts: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, whole score) of the k best of each list."""
-    named = np.sort(np.concatenate([best(p, k) for p in parts], axis=1), axis=1)
+def phase_one(q: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, r_ids: np.ndarray, lists: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the k best partial scores of each list."""
+    own, named = q_ids[:, None] == r_ids[None, :], []
+    for s in slices(q.shape[1], lists):
+        p = products(q[:, s], rows[:, s])
+        if own.any():
+            p[own] = NONE if p.dtype == object else np.iinfo(np.int64).min
+        named.append(np.argpartition(-p.astype(np.float64), k - 1, axis=1)[:, :k] if p.shape[1] > k else np.broadcast_to(np.arange(p.shape[1]), p.shape))
+    named = np.sort(np.concatenate(named, axis=1), axis=1)
     new = np.ones(named.shape, dtype=bool)
     new[:, 1:] = named[:, 1:] != named[:, :-1]
-    q, r = np.repeat(np.arange(len(named)), new.sum(axis=1)), named[new]
-    score = sum(p[q, r] for p in parts)
-    on = score > NONE
-    return q[on], r[on], score[on]
-
-
-def phase_two_and_three(parts: list[np.ndarray], cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the entries that can be among the best."""
-    m = len(parts)
-    least = -(-cutoff // m)  # an integer of at least cutoff / m
-    enough = [p >= least[:, None] for p in parts]
-    q, r = np.nonzero(np.logical_or.reduce(enough))
-    bound = sum(np.where(e[q, r], p[q, r], least[q] - 1) for p, e in zip(parts, enough, strict=True))
-    on = bound >= cutoff[q]
-    q, r = q[on], r[on]
-    score = sum(p[q, r] for p in parts)
-    on = (score >= cutoff[q]) & (score > NONE)
-    return q[on], r[on], score[on]
+    i, j = np.repeat(np.arange(len(named)), new.sum(axis=1)), named[new]
+    on = q_ids[i] != r_ids[j]
+    return i[on], j[on]
+
+
+def phase_two(q: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, r_ids: np.ndarray, lists: int, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(query, row) of the entries that reach cutoff / lists in some list, and how many products that took."""
+    least = np.array([-(-int(c) // lists) for c in cutoff], dtype=np.int64)  # integers of at least cutoff / lists
+    found, made = [], 0
+    for s in slices(q.shape[1], lists):
+        of_q, of_r = lengths(q[:, s]), lengths(rows[:, s])
+        with np.errstate(divide="ignore", invalid="ignore"):  # the length from which a row can reach the least for some query
+            need = np.where(least <= 0, 0.0, np.where(of_q > 0, least / of_q, np.inf)).min(initial=np.inf) * (1 - 1e-9)
+        by = np.argsort(-of_r, kind="stable")
+        long_ = by[: int(np.searchsorted(-of_r[by], -need, side="right"))]
+        if not len(long_):
+            continue
+        p = products(q[:, s], rows[long_][:, s])
+        made += p.size
+        i, j = np.nonzero(p >= least[:, None])
+        found.append(i * len(rows) + long_[j])
+    i, j = np.divmod(np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64), max(1, len(rows)))
+    on = q_ids[i] != r_ids[j]
+    return i[on], j[on], made
 
 
 def pairs(query_blocks: DataFrame, row_blocks: DataFrame) -> DataFrame:
-    """Every block of queries with every block of rows, joined on both numbers: a stated query set against all rows, in blocks."""
-
-    def numbers(blocks: DataFrame, name: str) -> Column:
-        most = blocks.agg(F.max(name)).first()[0]
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most or 0).cast("long"))).alias(name)
-
-    rows = row_blocks.select("rb", F.col("n").alias("rn"), F.col("ids").alias("r_ids"), F.col("data").alias("r_data"), numbers(query_blocks, "qb"))
-    return query_blocks.select("*", numbers(row_blocks, "rb")).join(rows.hint("merge"), ["qb", "rb"])
+    """Every block of queries with every block of rows of that width, joined on both numbers: a stated query set against all rows, in blocks."""
+    each = lambda blocks, name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)).alias(name)
+    number = lambda blocks: blocks.select("width", "blocks").distinct().toDF("width", "others")
+    rows = row_blocks.join(number(query_blocks), "width").select("width", "rb", F.col("n").alias("rn"), F.col("ids").alias("r_ids"), F.col("data").alias("r_data"), each("others", "qb"))
+    asked = query_blocks.drop("blocks").join(number(row_blocks), "width").select("*", each("others", "rb")).drop("others")
+    return asked.join(rows.hint("merge"), ["width", "qb", "rb"])
 
 
 def kept_best(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,11 +150,7 @@ def kept_best(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) ->
     q, ids, score = (np.concatenate(x) for x in zip(*held, strict=True))
     by = np.lexsort((ids, -score, q))
     q, ids, score = q[by], ids[by], score[by]
-    new = np.ones(len(q), dtype=bool)  # a row that is given twice is one entry
-    new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])
-    q, ids, score = q[new], ids[new], score[new]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    on = place < k
+    on = np.arange(len(q)) - np.searchsorted(q, q) < k
     return q[on], ids[on], score[on]
 
 
@@ -145,30 +158,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     """query_id, rank, vec_id, score: for each query the k best of the other vectors."""
 
     def clean(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x")).filter(F.col("id").isNotNull() & usable(F.col("x"))).select("id", scaled(F.col("x"), scale).alias("v"))
+        out = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x")).filter(F.col("id").isNotNull() & usable(F.col("x")))
+        return out.select("id", F.size("x").cast("long").alias("width"), scaled(F.col("x"), scale).alias("v"))
 
     rows = cut(clean(vectors))
-    width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = width[0] if width else 1
-    asked = cut(clean(queries).filter(F.size("v") == width).dropDuplicates(["id"]))
-    row_blocks = stored(packed(rows.filter(F.size("v") == width), ROWS, "rb"))
+    asked = clean(queries).groupBy("id").agg(F.min(F.struct("width", "v")).alias("x"))
+    asked = cut(asked.select("id", "x.width", "x.v"))
+    row_blocks = stored(packed(rows, ROWS, "rb"))
 
     def units(blocks: DataFrame, f) -> DataFrame:
-        """f of every unit; of each query a task sends on the k best that it has seen."""
+        """The scores of the pairs that f gives for every unit; of each query a task sends on the k best that it has seen."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list] = {}
+            held: dict[tuple, list] = {}
             for batch in batches:
                 for u in batch.to_pylist():
                     q, q_ids = matrix(u["data"], u["n"]), np.frombuffer(u["ids"], dtype="<i8")
                     r, r_ids = matrix(u["r_data"], u["rn"]), np.frombuffer(u["r_ids"], dtype="<i8")
-                    step, mine = max(1, AT_ONCE // max(1, len(r))), held.setdefault(u["qb"], [])
+                    step, mine = max(1, AT_ONCE // max(1, len(r))), held.setdefault((u["width"], u["qb"]), [])
                     cutoffs = np.frombuffer(u["cutoff"], dtype="<i8") if "cutoff" in u else None
                     for at in range(0, len(q), step):
                         part = slice(at, at + step)
-                        where, found, score = f(partial(q[part], q_ids[part], r, r_ids, lists), cutoffs[part] if cutoffs is not None else None)
-                        mine.append((q_ids[part][where], r_ids[found], score))
-                    held[u["qb"]] = [kept_best(mine, k)]
+                        i, j = f(q[part], q_ids[part], r, r_ids, cutoffs[part] if cutoffs is not None else None)
+                        score = resolved(q[part], r, i, j)
+                        if cutoffs is not None:
+                            on = score >= cutoffs[part][i]
+                            i, j, score = i[on], j[on], score[on]
+                        mine.append((q_ids[part][i], r_ids[j], score))
+                    held[u["width"], u["qb"]] = [kept_best(mine, k)]
             for mine in held.values():
                 q, ids, score = kept_best(mine, k)
                 first = np.flatnonzero(np.concatenate([q[:1] == q[:1], q[1:] != q[:-1]]))
@@ -176,13 +193,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
                 yield pa.RecordBatch.from_arrays([pa.array(q[first]), pa.ListArray.from_arrays(pa.array(np.append(first, len(q)).astype(np.int32)), entries)], names=["id", "found"])
 
         found = pairs(blocks, row_blocks).mapInArrow(run, "id long, found array<struct<least: long, vec_id: long>>")
-        # one list a query and task; equal entries come from rows that are given twice
-        return found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
+        # one list of at most k a query and task
+        return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
 
-    known = units(stored(packed(asked, QUERIES, "qb")), lambda parts, _: phase_one(parts, k))
-    cutoff = F.when(F.size("found") == k, -F.element_at("found", -1)["least"]).otherwise(F.lit(-(1 << 62)))
+    known = units(stored(packed(asked, QUERIES, "qb")), lambda q, q_ids, r, r_ids, _: phase_one(q, q_ids, r, r_ids, lists, k))
+    cutoff = F.when(F.size("found") == k, -F.element_at("found", -1)["least"]).otherwise(F.lit(LEAST))
     kth = known.select("id", cutoff.alias("cutoff"))
-    asked = cut(asked.join(kth, "id", "left").fillna(-(1 << 62), ["cutoff"]))
-    merged = units(stored(packed(asked, QUERIES, "qb")), phase_two_and_three)
+    asked = cut(asked.join(kth, "id", "left").fillna(LEAST, ["cutoff"]))
+    merged = units(stored(packed(asked, QUERIES, "qb")), lambda q, q_ids, r, r_ids, c: phase_two(q, q_ids, r, r_ids, lists, c)[:2])
     ranked = merged.select(F.col("id").alias("query_id"), F.posexplode("found").alias("at", "hit"))
     return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.least")).alias("score"))
