@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import per_batch
 
-#: Entries of each of the two generations of an encoder's cache: when the young one is full, it becomes the old one.
-CACHED = 350_000
+#: Entries of each of the two generations of an encoder's cache: when the young one is full, it becomes the old one. Pairs of tokens whose order is known.
+CACHED, PAIRS = 120_000, 60_000
 #: Ids that are decoded at once; characters, about, that are encoded at once.
 STEP, WINDOW = 1 << 16, 1 << 16
 #: Ids have so many bits; NONE is above every rank.
@@ -94,7 +94,7 @@ class Transducer:
         """Whether token can follow before; -1 starts the word."""
         key = (before, token)
         if (found := self.follows.get(key)) is None:
-            if len(self.follows) > CACHED:
+            if len(self.follows) > PAIRS:
                 self.follows.clear()
             if before < 0:
                 found = self.merged([*self.parts[token]]) == [token]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space of the word and whitespace-normalisation rules: space and \t \n \v \f \r.
 SPACE = rb"[\x20\x09-\x0D]+"
+#: Rows of a batch that are worked on at once.
+AT_ONCE = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -21,8 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
+    """The folder that driver and executors share. A session of one machine that names none, as in tests, has a local one; a cluster has to name it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named or "/tmp/checkpoints"
 
 
@@ -53,6 +58,12 @@ def unstored(df: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most AT_ONCE rows: what Python makes of their texts is all that it holds."""
+    for at in range(0, batch.num_rows, AT_ONCE):
+        yield batch.slice(at, AT_ONCE)
+
+
 def per_batch(df: DataFrame, schema: str, f: Callable[[dict[str, list]], dict[str, object]]) -> DataFrame:
     """mapInArrow with f from a batch's columns, as lists, to the output's columns, in the order of schema."""
     from pyspark.sql.types import _parse_datatype_string
@@ -62,8 +73,8 @@ def per_batch(df: DataFrame, schema: str, f: Callable[[dict[str, list]], dict[st
     kinds = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole):
                 out = f({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[k.name], type=k.type) for k in kinds], schema=kinds)
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored
+from lodestone.llm.common import AT_ONCE, stored
 from lodestone.llm.simhash import words
 
 #: Bytes of the texts that share a table of grams, and of the texts that are taken apart at once.
@@ -281,8 +281,9 @@ def asked(docs: DataFrame, order: int, parts: int) -> DataFrame:
                     yield from emit(last, now)
                 last, now = block, Asked(order)
             learn = np.asarray(rows.column(2).to_pylist(), dtype=bool)
-            for at, texts in steps(rows.column(1).to_pylist()):
-                now.add(texts, learn[at : at + len(texts)])
+            for at in range(0, rows.num_rows, AT_ONCE):
+                for k, texts in steps(rows.column(1).slice(at, AT_ONCE).to_pylist()):
+                    now.add(texts, learn[at + k : at + k + len(texts)])
         if now:
             yield from emit(last, now)
 
@@ -410,8 +411,8 @@ def scored(docs: DataFrame, found: DataFrame, order: int) -> DataFrame:
         key, log = key[by], log[by]
         count = {w: c for said, counts in zip(right["words"].to_pylist(), right["word_n"].to_pylist(), strict=True) for w, c in zip(said, counts, strict=True)}
         tokens, known, logs, score = (np.zeros(left.num_rows, dtype=k) for k in (np.int64, np.int64, np.float64, np.float64))
-        for at, texts in steps(left["text"].to_pylist()):
-            now = slice(at, at + len(texts))
+        for first, texts in ((a + k, t) for a in range(0, left.num_rows, AT_ONCE) for k, t in steps(left["text"].slice(a, AT_ONCE).to_pylist())):
+            now = slice(first, first + len(texts))
             for g, text in grams(texts, order):
                 g = g << np.uint64(16) | text
                 g.sort()

@@ -7,23 +7,27 @@ repetition. Every word of the whole text counts. The model is fitted by minibatc
 rows, those of the least hash of their id (``sample`` is the bound); it has a fixed size and is all that tasks are sent.
 
 Null and empty texts have the score of the empty text. Without labelled rows, or with one class alone, the score is the
-share of ones with a prior of a half. Repeated rows get equal scores. Other columns aren't read.
+share of ones with a prior of a half. An id with unlike labels teaches nothing; of several texts of an id the one of least
+hash does. Repeated rows get equal scores. An empty table gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import per_batch
+from lodestone.llm.common import per_batch, slices
 
-#: Buckets of hashed words, factors of each feature.
-BUCKETS, FACTORS = 1 << 12, 8
+#: Buckets of hashed words, factors of each feature; texts that are scored at once.
+BUCKETS, FACTORS, AT_ONCE = 1 << 12, 8, 256
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -89,8 +93,17 @@ class Machine:
         vx = self.v[i] * x[:, None]
         return float(self.w0 + self.w[i] @ x + 0.5 * ((vx.sum(axis=0) ** 2).sum() - (vx**2).sum()))
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(*self.row(*features(text))), -500, 500))))
+    def logits(self, made: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of several rows at once: one sum over all of their features, parted where a row begins."""
+        i, x = (np.concatenate([m[k] for m in made]) for k in (0, 1))
+        at = np.cumsum([0, *(len(m[0]) for m in made)])[:-1]
+        vx = self.v[i] * x[:, None]
+        total = np.add.reduceat(vx, at)
+        return self.w0 + np.add.reduceat(self.w[i] * x, at) + 0.5 * ((total**2).sum(axis=1) - np.add.reduceat((vx**2).sum(axis=1), at))
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        z = [self.logits([self.row(*features(t)) for t in texts[at : at + AT_ONCE]]) for at in range(0, len(texts), AT_ONCE)]
+        return 1 / (1 + np.exp(-np.clip(np.concatenate(z), -500, 500))) if z else np.zeros(0)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.02, decay: float = 1e-5, seed: int = 7) -> Machine:
@@ -132,16 +145,18 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000) -> Machine:
     """A machine fitted on at most ``sample`` rows of docs that labels (id, label) covers."""
-    chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1)").dropDuplicates(["id"])
+    chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1)")
+    chosen = chosen.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").select("id", "y")
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)  # sample rows of two numbers: a proven size
 
     def f(rows: dict) -> dict:
         found = [features(t) for t in rows["text"]]
-        return {"id": rows["id"], "y": rows["y"], "i": [x[0] for x in found], "x": [x[1].astype(np.float32) for x in found], "s": [x[2] for x in found]}
+        return {"id": rows["id"], "h": rows["h"], "y": rows["y"], "i": [x[0] for x in found], "x": [x[1].astype(np.float32) for x in found], "s": [x[2] for x in found]}
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h")).join(F.broadcast(chosen), "id")
     # an id that several rows have counts once; what comes to the driver is at most sample rows of at most BUCKETS values
-    rows = per_batch(texts, "id long, y int, i array<int>, x array<float>, s array<double>", f).dropDuplicates(["id"]).toArrow().sort_by("id")
+    rows = per_batch(texts, "id long, h long, y int, i array<int>, x array<float>, s array<double>", f)
+    rows = rows.groupBy("id").agg(F.min_by(F.struct("y", "i", "x", "s"), "h").alias("r")).select("id", "r.*").toArrow().sort_by("id")
     made = [(np.asarray(i, dtype=np.int64), np.asarray(x, dtype=np.float64), np.asarray(s)) for i, x, s in zip(*(rows[c].to_pylist() for c in "ixs"), strict=True)]
     return fit(made, np.asarray(rows["y"].to_pylist(), dtype=np.float64))
 
@@ -150,22 +165,17 @@ def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
     """id, score of every row."""
 
     def f(rows: dict) -> dict:
-        return {"id": rows["id"], "score": [machine.score(t) for t in rows["text"]]}
+        return {"id": rows["id"], "score": machine.scores(rows["text"])}
 
     return per_batch(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id long, score double", f).withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs without the rows that score below the threshold; all columns stay, and no row is looked up by its id."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            on = [machine.score(t) >= threshold for t in b.column(names.index(text_col)).to_pylist()]
-            yield b.filter(pa.array(on, pa.bool_()))
+        for b in chain.from_iterable(map(slices, batches)):
+            yield b.filter(pa.array(machine.scores(b.column(names.index(text_col)).to_pylist()) >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
