@@ -191,18 +191,38 @@ def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROWS", 7)
     monkeypatch.setattr(topk, "QUERIES", 3)
     rows = [(i, [float(x) for x in np.round(np.random.default_rng(i % 9).normal(size=6), 1)]) for i in range(60)]
-    rows += [(100, None), (101, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (102, [float("nan")] * 6), (103, [float("inf")] * 6), (104, [1.0]), (3, rows[3][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    good = [(i, np.floor(64 * np.array(x)).astype(int)) for i, x in rows if i < 100]
+    rows += [(110 + i, [float(i), -1.0]) for i in range(4)] + [(130, [2.0]), (140, [])]  # other lengths meet among themselves
+    rows += [(150 + i, [1e15, -3e14 * i, 2.0, 0.0, 1e18 * (i - 1), -1e17 * i]) for i in range(3)]  # scores that leave the range of long
+    bad = [(100, None), (101, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (102, [float("nan")] * 6), (103, [float("inf")] * 6), (None, [1.0] * 6)]
+    rows += [(3, rows[3][1]), (20, [9.0] * 6)]  # a row twice, and an id with two vectors
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
+    good = [(i, [max(topk.LEAST, min(topk.MOST, math.floor(64 * x))) for x in v]) for i, v in rows]
+    asked = {}
+    for i, v in good:
+        if i % 10 == 0:
+            asked[i] = min(asked.get(i, v), v, key=lambda v: (len(v), v))
+    dot = lambda a, b: max(topk.LEAST, min(topk.MOST, sum(x * y for x, y in zip(a, b))))
     for k, lists in ((5, 2), (80, 3)):
         got = defaultdict(list)
         for r in topk.top_k(df, df.filter("vec_id % 10 = 0"), k=k, lists=lists).orderBy("query_id", "rank").collect():
             got[r["query_id"]].append((r["vec_id"], r["score"]))
-        want = {i: [(j, -s) for s, j in sorted({(-int(q @ x), j) for j, x in good if j != i})[:k]] for i, q in good if i % 10 == 0}
-        assert got == want
+        want = {i: [(j, -s) for s, j in sorted((-dot(q, x), j) for j, x in good if j != i and len(x) == len(q))[:k]] for i, q in asked.items()}
+        assert got == {i: x for i, x in want.items() if x}
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_threshold_saves_products():
+    """With the cutoff, rows that are too short in a list aren't multiplied, and nothing is missed."""
+    rng = np.random.default_rng(2)
+    rows = (rng.normal(size=(500, 16)) * rng.choice([1, 8, 60], 500)[:, None]).astype(np.int64)
+    q, q_ids, r_ids = rows[:9] + 1, np.arange(9) + 1000, np.arange(500)
+    scores = q @ rows.T
+    cutoff = np.sort(scores, axis=1)[:, -5]
+    i, j, made = topk.phase_two(q, q_ids, rows, r_ids, 2, cutoff)
+    assert {*zip(*np.nonzero(scores >= cutoff[:, None]))} <= {*zip(i, j)}
+    assert made < 0.6 * 2 * scores.size and len(i) < 0.5 * scores.size and (topk.resolved(q, rows, i, j) == scores[i, j]).all()
+
+
 def test_best_fit():
     rng = random.Random(5)
     lengths = sorted((rng.randint(1, 2047) for _ in range(500)), reverse=True)
@@ -450,6 +470,12 @@ def test_quality(spark, sf, odd):
     i, v = m.row(w, x, s)
     pairs = sum(float(m.v[a] @ m.v[b]) * p * q for n, (a, p) in enumerate(zip(i, v)) for b, q in [*zip(i, v)][n + 1 :])
     assert m.logit(i, v) == pytest.approx(m.w0 + float(m.w[i] @ v) + pairs)
+    assert m.logits([(i, v), m.row(*quality.features(""))])[0] == pytest.approx(m.logit(i, v))
+    assert quality.scores(odd.limit(0), m).count() == quality.keep_good(odd.limit(0), m).count() == 0
+    rows = spark.createDataFrame([(1, "good words here"), (1, "other words"), (2, "## bad"), (3, "x")], DOCS)
+    marks = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (9, 1)], "doc_id long, quality int")
+    once, again = (quality.train(x, marks) for x in (rows, rows.orderBy(F.desc("text"))))
+    assert (once.w == again.w).all() and once.mean.shape == again.mean.shape and quality.scores(rows, once).filter("score > 0 AND score < 1").count() == 4
     assert quality.scores(odd, m).count() == odd.count() and quality.keep_good(odd, m).columns == odd.columns
     none = quality.train(odd, odd.select("doc_id", F.lit(1).alias("quality")).limit(0))
     assert quality.scores(odd, none).filter("score < 0 OR score > 1").count() == 0
