@@ -49,7 +49,7 @@ class Engine:
         rows = todo.select(F.col("path").alias("file_path"), F.col("size").alias("file_size"), "mtime")
         self.files.commit(catalog.upsert(known, rows))
         self.progress(phase="processing", files_queued=todo.count())
-        got = extract.extract(extract.contents(self.spark, todo), self.registry, cfg.pipeline.extraction_timeout).persist()
+        got = self.extracted(todo).persist()
         pieces = self.pieces(got.filter("error IS NULL")).persist()
         self._replace(got.select("file_path"), pieces)
         # the catalog follows the store, so a file is indexed only once its chunks are there
@@ -74,6 +74,14 @@ class Engine:
             progress.write_stats(at, catalog.stats(self.files.read(), stuck_is_pending=True).first().asDict())
         return out
 
+    def extracted(self, todo: DataFrame) -> DataFrame:
+        """The texts of the queued files (path, lane): the expensive lane a few files at a time, as its devices are few."""
+        cfg, lanes = self.config.pipeline, []
+        for lane, slots in (("cpu", None), ("gpu", cfg.gpu_slots)):
+            files_ = extract.contents(self.spark, todo.filter(F.col("lane") == lane))
+            lanes.append(extract.extract(files_ if slots is None else files_.coalesce(slots), self.registry, cfg.extraction_timeout))
+        return lanes[0].unionByName(lanes[1])
+
     def _progress_path(self) -> str | None:
         """Progress is a small local file beside the store; a store that isn't local has none."""
         return None if "://" in self.config.store else f"{self.config.store}/progress.json"

@@ -33,6 +33,7 @@ class Query:
 class Pipeline:
     extraction_timeout: int = 300
     embed_batch_size: int = 512
+    gpu_slots: int = 1
     type_max_mb: dict = field(default_factory=lambda: dict(fixed.TYPE_MAX_MB))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import io
 import signal
 import struct
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestone import schemas
 from lodestone.functions import columns as c
-from lodestone.sources import mail
+from lodestone.sources import mail, programs
 from lodestone.sources import pdf as pages
 
 #: Paths of one listing: that many file names are on the driver at once.
@@ -97,7 +98,7 @@ def email(content: bytes) -> tuple[str, dict[str, str]]:
     def inner(name: str, data: bytes) -> str | None:
         kind = next((k for k, exts in _types().items() if any(name.lower().endswith(e) for e in exts)), None)
         try:
-            return REGISTRY[kind](data)[0]
+            return resolved(REGISTRY, kind)(data)[0]
         except Exception:  # noqa: BLE001  an attachment that can't be read doesn't take its mail along
             return None
 
@@ -122,8 +123,17 @@ def absent(kind: str) -> Extractor:
     return run
 
 
-#: An extractor for each type; others can be put in their place.
-REGISTRY: dict[str, Extractor] = {"text": text, "pdf": pdf, "docx": docx, "msg": email} | {k: absent(k) for k in ("image", "audio", "video")}
+#: An extractor for each type; others can be put in their place, also by name ("module:function"), which a worker loads with its first file.
+REGISTRY: dict[str, Extractor | str] = {"text": text, "pdf": pdf, "docx": docx, "msg": email} | {k: absent(k) for k in ("image", "audio", "video")} | programs.found()
+
+
+def resolved(registry: dict[str, Extractor | str], kind: str) -> Extractor:
+    """The extractor of a type, loaded once where only its name is known."""
+    f = registry[kind]
+    if isinstance(f, str):
+        module, _, name = f.partition(":")
+        f = registry[kind] = getattr(importlib.import_module(module), name)
+    return f
 
 
 def extract(contents: DataFrame, registry: dict[str, Extractor] | None = None, timeout: float | None = 300) -> DataFrame:
@@ -135,7 +145,7 @@ def extract(contents: DataFrame, registry: dict[str, Extractor] | None = None, t
             return None, {}, f"No extractor for type: {kind}"
         try:
             with limited(timeout):
-                said, meta = known[kind](content or b"")
+                said, meta = resolved(known, kind)(content or b"")
             return said, meta | {"file_type": kind}, None
         except ExtractionTimeout:
             return None, {}, f"Extraction timed out after {timeout}s: {path}"

@@ -385,3 +385,63 @@ def test_errors_like(spark):
     names = lambda **k: [r["file_path"] for r in diagnostics.errors_like(df, **k).collect()]
     assert names(like=["%transcribe%"]) == ["a.mp3"] and names(unlike=["%transcribe%"]) == ["b.wav"] and names(paths=[["%.mp3", "%.wav"], ["a%"]]) == ["a.mp3"]
     assert len(names()) == 3
+
+
+def test_programs(monkeypatch):
+    """Programs stand in for recognition: what they print is the text, and what they can't do is an error."""
+    import struct
+    import sys
+
+    from lodestone.sources import programs
+
+    py = lambda code: [sys.executable, "-c", code, "{in}", "{out}"]
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480)
+    assert programs.image(py("import sys; print(' text of', len(open(sys.argv[1], 'rb').read()))"))(png) == ("text of 24", {"image_size": "640x480"})
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x10\x00\x20" + b"x" * 9
+    assert programs.picture_size(jpeg) == {"image_size": "32x16"} and programs.picture_size(b"GIF") == {} and programs.picture_size(b"\xff\xd8") == {}
+    speech = programs.audio(py("import sys; print(open(sys.argv[1]).read().upper()); print('end')"))
+    assert speech(b"hello") == ("HELLO end", {})
+    assert programs.video(speech, py("import sys; open(sys.argv[2], 'w').write('sound of ' + open(sys.argv[1]).read())"))(b"film") == ("SOUND OF FILM end", {"source_type": "video"})
+    for bad in (py("import sys; sys.exit('no such codec')"), ["/no/such/program"]):
+        with pytest.raises(programs.ProgramError):
+            programs.image(bad)(b"x")
+    with pytest.raises(programs.ProgramError, match="made no file"):
+        programs.video(speech, py("pass"))(b"x")
+    assert programs.found(lambda n: None, lambda n: None) == {}
+    assert set(programs.found(lambda n: f"/bin/{n}", lambda n: None)) == {"image", "audio", "video"}
+    lazy = {"text": "lodestone.sources.extract:text"}
+    assert extract.resolved(lazy, "text")(b"x") == ("x", {"encoding": "utf-8"}) and callable(lazy["text"])
+
+
+def test_chat_model(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from lodestone.operators import answer
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"message": {"content": "1. first query\n- `second query`\nx"}}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    s = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    m = answer.ChatModel(f"http://127.0.0.1:{s.server_address[1]}/api/chat", "some-model")
+    try:
+        assert m.expand_broad("all orders") == ["first query", "second query"] and m.answer("who?", "[Source 1: a]", 16384).startswith("1. first")
+        assert asked[-1]["options"] == {"num_ctx": 16384} and "[Source 1: a]" in asked[-1]["messages"][0]["content"]
+    finally:
+        s.shutdown()
+        s.server_close()
+    assert m.expand("a question") == "a question" and m.expand_broad("a question") == ["a question"]
+    reply = "1. order confirmation\n2) \"serial number\"\n• x\n   plain words  "
+    want = spark.createDataFrame([(reply,)], "r string").select(c.expansion_lines(F.col("r"))).first()[0]
+    assert answer.lines(reply) == want
