@@ -48,11 +48,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing holds any more: what they led to has been cut or stored."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unstored(df: DataFrame) -> None:
     """Deletes the files of a table from stored() that nothing reads any more; Spark drops the shuffles that led there with the plans that are collected."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    gc.collect()
-    jvm.System.gc()
+    forget(df.sparkSession)
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         where = jvm.org.apache.hadoop.fs.Path(folder)
         where.getFileSystem(conf).delete(where, True)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, keyed, per_batch, split_by, stored, unstored, without
+from lodestone.llm.common import cut, forget, keyed, per_batch, split_by, stored, unstored, without
 from lodestone.llm.components import components
 
 SEED = 42
@@ -319,25 +319,35 @@ def similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int, s
     rows = rows.drop("id")
     # numbered once: what is written is read from there on
     nodes = cut(prints.groupBy("row", "print").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
-    classes = cut(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
-    masks = [m - (1 << 64) if m >> 63 else m for m in sampled_masks(tables, bits)]
-    pairs = dealt_buckets(classes.select("fp"), masks, lambda left, right: least_neighbours(left, right, distance))
-    first = classes.select("fp", "least")
-    pairs = pairs.distinct().join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select("a", "b")
-    twins = nodes.join(classes.filter("n > 1").hint("merge"), "fp").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    tried = cut(pairs.unionByName(twins).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    del pairs, twins
+    tried = _sampled_pairs(nodes, distance, tables, bits)
+    forget(docs.sparkSession)
     groups = components(similar_pairs(rows, nodes, tried, shingle, similarity))
     groups = cut(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()))
+    forget(docs.sparkSession)
     rooted = nodes.select("row", "print", "node").join(groups, "node", "left").select("row", "print", "node", F.coalesce("root", "node").alias("root"))
     more = cut(sharing_pairs(rows, rooted, shingle, similarity).join(tried, ["a", "b"], "left_anti"))
+    del rooted
+    forget(docs.sparkSession)
     edges = similar_pairs(rows, nodes, more, shingle, similarity).unionByName(groups.toDF("u", "v"))
     found = components(edges)
     found = cut(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()))
+    del edges
+    forget(docs.sparkSession)
     least = found.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"))
     return nodes, found.join(least, "root").select("node", F.col("least.node").alias("keep"))
 
 
+def _sampled_pairs(nodes: DataFrame, distance: int, tables: int, bits: int) -> DataFrame:
+    """(a, b), a > b: nodes whose fingerprints are equal, or least neighbours in a bucket of sampled bits."""
+    classes = cut(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    masks = [m - (1 << 64) if m >> 63 else m for m in sampled_masks(tables, bits)]
+    pairs = dealt_buckets(classes.select("fp"), masks, lambda left, right: least_neighbours(left, right, distance))
+    first = classes.select("fp", "least")
+    pairs = pairs.distinct().join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select("a", "b")
+    twins = nodes.join(classes.filter("n > 1").hint("merge"), "fp").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return cut(pairs.unionByName(twins).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 10, tables: int = 32, bits: int = 16) -> DataFrame:
     """(id, component_id) of the different rows that are not alone: groups linked by a Jaccard similarity of word shingles, named by their least id."""
     nodes, members = similar_members(docs, id_col, text_col, shingle, similarity, distance, tables, bits)
@@ -349,14 +359,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def similar_pairs(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(u, v) of the pairs (a, b) of nodes whose texts have the similarity; rows has row, print, text."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = cut(nodes.select("row", "print", "node").join(asked, "node"))
+    asked = cut(nodes.select("row", "print", "node", "copies").join(asked, "node"))
 
     def sets(r: dict) -> dict:
         return {"row": r["row"], "print": r["print"], "set": [_shingles(t, shingle).tobytes() for t in r["text"]]}
 
-    # texts stay where they are here as well
+    # texts stay where they are here as well; a set is moved once more only for a row that is repeated
     of = per_batch(split_by(rows, asked, ["row", "print"])[0], "row long, print long, set binary", sets)
-    of = stored(of.join(asked, ["row", "print"]).select("node", "set").dropDuplicates(["node"]))
+    of = of.join(asked, ["row", "print"]).select("node", "set", "copies")
+    if asked.filter("copies > 1").head(1):
+        of = of.filter("copies = 1").unionByName(of.filter("copies > 1").dropDuplicates(["node"]))
+    of = stored(of.select("node", "set"))
+    forget(rows.sparkSession)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
