@@ -5,7 +5,9 @@ of the encoding of the first i symbols, that encoding is the one of the first ``
 ``last[i]``; a token can follow another just if merging the two tokens' symbols gives back these two. So one pass finds
 ``last`` symbol by symbol. No token is longer than ``lookahead`` symbols, which follows from the merge list, so whatever
 comes next continues one of the last ``lookahead`` boundaries: the tokens on which these all agree are stable, and are
-emitted. Memory is the window of boundaries that are still open.
+emitted. Memory is the window of boundaries that are still open. A word that fits in a window has no boundary to give up
+before its end: there the same transitions are followed from the left, the longest token first, and boundaries from which
+none leads on are left for good, which gives the same tokens in fewer steps.
 
 Every piece is encoded so. Texts are taken in windows that end at white space, normalised and split as the vocabulary
 file says; no piece crosses white space, so what a worker has encoded is kept by whole stretches between white space, in
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import per_batch
 
 #: Entries of each of the two generations of an encoder's cache: when the young one is full, it becomes the old one. Pairs of tokens whose order is known.
-CACHED, PAIRS = 120_000, 60_000
+CACHED, PAIRS = 350_000, 250_000
 #: Ids that are decoded at once; characters, about, that are encoded at once.
 STEP, WINDOW = 1 << 16, 1 << 16
 #: Ids have so many bits; NONE is above every rank.
@@ -60,7 +62,13 @@ class Transducer:
         self.first = {t: i for t, i in vocab.items() if len(t) == 1}
         self.last = {t[0]: i for t, i in vocab.items() if suffix and t[1:] == suffix} or self.first
         self.parts = {i: self.symbols(t) for t, i in vocab.items()}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
+        #: The most symbols of a token by its first four; a token of fewer symbols needs none.
+        self.reach: dict[str, int] = {}
+        for t in vocab:
+            body = t[: -len(suffix)] if suffix and t.endswith(suffix) else t
+            if len(body) >= 4:
+                self.reach[body[:4]] = max(len(body), self.reach.get(body[:4], 0))
 
     @staticmethod
     def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
@@ -92,7 +100,7 @@ class Transducer:
 
     def fits(self, before: int, token: int) -> bool:
         """Whether token can follow before; -1 starts the word."""
-        key = (before, token)
+        key = before + 1 << BITS | token
         if (found := self.follows.get(key)) is None:
             if len(self.follows) > PAIRS:
                 self.follows.clear()
@@ -103,9 +111,16 @@ class Transducer:
             self.follows[key] = found
         return found
 
+    def whole(self, word: str) -> list[int]:
+        """The tokens of a word by the merge list."""
+        return self.merged([*map(self.first.__getitem__, word[:-1]), self.last[word[-1]]])
+
     def stream(self, word: str) -> Iterator[int]:
         """The tokens of a word, each as soon as it is stable."""
         look, n = self.lookahead, len(word)
+        if n <= 4 * look:
+            yield from self._window(word)
+            return
         get, fits, suffix = self.vocab.get, self.fits, self.suffix
         base, last, size = 0, [-1], [0]  # last[i - base] is the last token of the first i symbols, of size[i - base] symbols
         for i in range(1, n + 1):
@@ -130,6 +145,36 @@ class Transducer:
                     last, size, base = last[stable - base :], [0, *size[stable - base + 1 :]], stable
         yield from self._path(last, size, n - base)
 
+    def _window(self, word: str) -> list[int]:
+        """The tokens of a word that fits in the window."""
+        get, known, suffix, n = self.vocab.get, self.follows.get, self.suffix, len(word)
+        reach = self.reach.get
+        out, taken, dead, before, at, k = [], [], set(), -1, 0, n
+        while at < n:
+            if k > 3:
+                k = min(k, reach(word[at : at + 4], 3))
+            while k:
+                end = at + k
+                if end not in dead:
+                    token = get(word[at:end]) if end < n else get(word[at:] + suffix)
+                    if token is not None:
+                        on = known(before + 1 << BITS | token)
+                        if self.fits(before, token) if on is None else on:
+                            break
+                k -= 1
+            if k:
+                taken.append((before, at, k))
+                out.append(token)
+                before, at, k = token, end, n - end
+            elif taken:  # no token leads on from here
+                dead.add(at)
+                before, at, k = taken.pop()
+                out.pop()
+                k -= 1
+            else:
+                raise ValueError("the vocabulary lacks a symbol of this word")
+        return out
+
     @staticmethod
     def _path(last: list[int], size: list[int], at: int) -> list[int]:
         out = []
@@ -150,7 +195,9 @@ def little(ids: Iterable[int]) -> bytes:
 class Encoder:
     """The encoding of a tokenizers file with NFC, white space, lower case, a split pattern and byte-level symbols."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, direct: bool = False):
+        """direct: short pieces by the merge list as it is defined, not through the transducer; the ids are the same."""
+        self.direct = direct
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -183,8 +230,11 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         if (found := self.known.get(piece)) is None and (found := self.old.get(piece)) is None:
             symbols = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8", "replace").decode("latin-1").translate(self.byte)
+            t = self.transducer
+            if self.direct and len(symbols) <= t.lookahead:
+                return self._keep(piece, little(t.whole(symbols)))
             self.streamed += 1
-            found = self._keep(piece, little(self.transducer.stream(symbols)))
+            found = self._keep(piece, little(t._window(symbols) if len(symbols) <= 4 * t.lookahead else t.stream(symbols)))
         return found
 
     def _stretch(self, s: str) -> bytes:
@@ -245,14 +295,14 @@ class Decoder:
         return self.state.decode(data, final)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, direct: bool = False) -> Encoder:
+    """One encoder for each file, kind and worker."""
+    if (path, direct) not in _encoders:
+        _encoders[path, direct] = Encoder(path, direct)
+    return _encoders[path, direct]
 
 
 def decoded(names: list[bytes], ids: bytes | Iterable[bytes]) -> Iterator[str]:
