@@ -69,12 +69,20 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, AT_ONCE)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python AT_ONCE at a time: the JVM and Python both hold a batch, and texts are wide. A session that asks for fewer keeps its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= AT_ONCE:
+        spark.conf.set(name, str(AT_ONCE))
+
+
 def per_batch(df: DataFrame, schema: str, f: Callable[[dict[str, list]], dict[str, object]]) -> DataFrame:
     """mapInArrow with f from a batch's columns, as lists, to the output's columns, in the order of schema."""
     from pyspark.sql.types import _parse_datatype_string
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     kinds = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

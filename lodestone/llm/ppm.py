@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import AT_ONCE, stored
+from lodestone.llm.common import AT_ONCE, small_batches, stored
 from lodestone.llm.simhash import words
 
 #: Bytes of the texts that share a table of grams, and of the texts that are taken apart at once.
@@ -437,6 +437,7 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     """
     if not 0 <= order <= 5:
         raise ValueError("order is from 0 to 5")
+    small_batches(docs.sparkSession)
     rows, context = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn")), min(order, CONTEXT)
     parts = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART))
     index = stored(indexed(asked(rows, order, parts), order, context))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import per_batch, slices
+from lodestone.llm.common import per_batch, slices, small_batches
 
 #: Buckets of hashed words, factors of each feature; texts that are scored at once.
 BUCKETS, FACTORS, AT_ONCE = 1 << 12, 8, 256
@@ -172,6 +172,7 @@ def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs without the rows that score below the threshold; all columns stay, and no row is looked up by its id."""
+    small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ make one shingle. Equal fingerprints are one class. An empty table gives an empt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, forget, keyed, per_batch, split_by, stored, unstored, without
+from lodestone.llm.common import cut, forget, keyed, per_batch, slices, split_by, stored, unstored, without
 from lodestone.llm.components import components
 
 SEED = 42
@@ -373,7 +374,7 @@ def similar_pairs(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle:
     forget(rows.sparkSession)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chain.from_iterable(map(slices, batches)):
             on = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)

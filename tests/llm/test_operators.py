@@ -293,7 +293,7 @@ def test_bpe(spark, odd, monkeypatch, window):
         if k % 13 == 0:
             s = rng.choice(["ab", "!", "a", "é", "he"]) * rng.randint(1, 300)
         ids = tok.encode(s, add_special_tokens=False).ids
-        assert np.frombuffer(e.encode(s), "<u4").tolist() == ids
+        assert np.frombuffer(e.encode(s), "<u4").tolist() == ids and bpe.encoder(PATH, direct=True).encode(s) == e.encode(s)
         assert "".join(bpe.decoded(e.names, e.encode(s))) == tok.decode(ids, skip_special_tokens=False)
     for r, t in zip(bpe.round_trip_digests(odd, PATH).collect(), odd.collect()):
         ids = np.array(tok.encode(t["text"] or "", add_special_tokens=False).ids, "<u4")
