@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import encoder, little
-from lodestone.llm.common import per_batch, stored
+from lodestone.llm.common import per_batch
 
 #: Pieces of a shard, on average.
 SHARD = 8192
@@ -121,14 +121,14 @@ def windows(docs: DataFrame, path: str, end: int, window: int, id_col: str = "do
 
 def pack(docs: DataFrame, path: str, end: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids, doc_tokens, sequence_id, offset: each piece with its ids and its place."""
-    return place(windows(docs, path, end, window, id_col, text_col), window)
+    # a document has at most one piece more than its bytes fill windows, so shards keep their mean size without a count of pieces
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(text_col)))).first()
+    return place(windows(docs, path, end, window, id_col, text_col), window, -(-(rows + (size or 0) // window) // SHARD))
 
 
-def place(pieces: DataFrame, window: int) -> DataFrame:
-    """pieces with sequence_id and offset; a piece that is cut here is cut with its ids."""
-    pieces = stored(pieces)
-    shards = max(1, -(-pieces.count() // SHARD))
-    fields = pieces.columns
+def place(pieces: DataFrame, window: int, shards: int) -> DataFrame:
+    """pieces with sequence_id and offset, packed in so many shards; a piece that is cut here is cut with its ids."""
+    shards, fields = max(1, shards), pieces.columns
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches).select(fields).sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
