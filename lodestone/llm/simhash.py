@@ -14,7 +14,8 @@ make one shingle. Equal fingerprints are one class. An empty table gives an empt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -23,14 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, forget, keyed, per_batch, slices, split_by, stored, unstored, without
+from lodestone.llm.common import cut, forget, keyed, per_batch, slices, small_batches, split_by, stored, unstored, without
 from lodestone.llm.components import components
 
 SEED = 42
 #: Rows of a block of a large bucket, and queries that walk a bucket's index at once.
 BLOCK = 1024
-#: Rows, about, whose shingles are counted to order them; rows of shared shingles that a task holds, one shingle's at least.
-SAMPLE, HELD = 4096, 1 << 18
+#: Bits of a shingle's hash that name the counter that orders it, and counters in a part; rows of shared shingles that a task holds, one shingle's at least.
+COUNTED, PART, HELD = 22, 1 << 14, 1 << 18
 NAMES = ["token", "node", "root", "size", "place"]
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -219,27 +220,44 @@ def _shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype=np.uint64))
 
 
-def _common(rows: DataFrame, shingle: int, most: int = 1 << 17) -> np.ndarray:
-    """Shingles that several of a sample of rows have, the rarest first. It only orders what least_shingles() looks at."""
-    sample = rows.filter(F.pmod(F.xxhash64("print"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
+def _counters(rows: DataFrame, shingle: int) -> np.ndarray:
+    """How common the shingles of each counter are in all rows, as a logarithm. It only orders what least_shingles() looks at."""
 
-    def f(r: dict) -> dict:
-        return {"token": np.concatenate([np.zeros(0, np.uint64), *(_shingles(t, shingle) for t in r["text"])]).view(np.int64)}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << COUNTED, dtype=np.uint32)
+        for batch in chain.from_iterable(map(slices, batches)):
+            for t in batch.column(0).to_pylist():
+                np.add.at(n, _counter(_shingles(t, shingle)), np.uint32(1))
+        parts = n.reshape(-1, PART)
+        on = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in on], pa.binary())], names=["part", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = 0, np.zeros(PART, dtype=np.uint64)
+        for batch in batches:
+            for part, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n += np.frombuffer(zlib.decompress(x), dtype=np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([(np.log2(n + 1.0) * 1000).astype(np.uint16).tobytes()], pa.binary())], names=["part", "n"])
+
+    small_batches(rows.sparkSession)
+    out = np.zeros((1 << COUNTED) // PART * PART, dtype=np.uint16).reshape(-1, PART)
+    for r in rows.select("text").mapInArrow(count, "part long, n binary").groupBy("part").applyInArrow(add, "part long, n binary").collect():
+        out[r["part"]] = np.frombuffer(r["n"], dtype=np.uint16)
+    return out.ravel()
 
-    n = per_batch(sample.select("text"), "token long", f).groupBy("token").agg(F.count("*").alias("n")).filter("n > 2")
-    return _as_unsigned([r["token"] for r in n.orderBy(F.desc("n"), "token").limit(most).collect()][::-1])
 
+def _counter(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(64 - COUNTED)).astype(np.int64)
 
-def least_shingles(values: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """So many first shingles of a set, the rare before the common, that two sets of the similarity share one of them.
+
+def least_shingles(values: np.ndarray, similarity: float, counters: np.ndarray) -> np.ndarray:
+    """So many first shingles of a sorted set, the rare before the common, that two sets of the similarity share one of them.
 
     Of a set of n, a set that is similar has at least ``similarity * n``; the first of the shared ones, in any order
-    that is the same for all sets, is among the first ``n - similarity * n + 1``. common is sorted, with its ranks.
+    that is the same for all sets, is among the first ``n - similarity * n + 1``. Shingles of one counter go by value.
     """
-    at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
-    rank = np.where(common[at] == values, ranks[at], -1) if len(common) else np.full(len(values), -1)
     n = len(values) - int(np.ceil(similarity * len(values) - 1e-9)) + 1
-    return values[np.lexsort((values, rank))[:n]]
+    return values[np.argsort(counters[_counter(values)], kind="stable")[:n]]
 
 
 def sharing(token: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -267,13 +285,11 @@ def sharing_pairs(rows: DataFrame, nodes: DataFrame, shingle: int, similarity: f
     Rows meet in every shingle of least_shingles(). They are sorted and read as a stream, so a task holds one shingle's
     rows at a time, and only pairs that pass the bounds on size and place are emitted.
     """
-    common = _common(rows, shingle)
-    ranks = np.argsort(common)
-    common = common[ranks]
+    counters = _counters(rows, shingle)
 
     def first(r: dict) -> dict:
         sets = [_shingles(t, shingle) for t in r["text"]]
-        return {"row": r["row"], "print": r["print"], "size": [len(x) for x in sets], "tokens": [least_shingles(x, similarity, common, ranks).view(np.int64) for x in sets]}
+        return {"row": r["row"], "print": r["print"], "size": [len(x) for x in sets], "tokens": [least_shingles(x, similarity, counters).view(np.int64) for x in sets]}
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -357,13 +373,48 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id").alias(id_col), "component_id")
 
 
+def set_map(values: np.ndarray) -> bytes:
+    """A set's size and a map of its values' last bits, four to eight bits a value."""
+    bits = np.zeros(1 << max(3, (4 * len(values) - 1).bit_length()), dtype=bool)
+    bits[(values & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return len(values).to_bytes(4, "little") + np.packbits(bits, bitorder="little").tobytes()
+
+
+def maps_allow(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether sets of these maps can have the similarity: a bit that one map has alone is a value that the other set lacks."""
+    sizes, maps, n = [int.from_bytes(m[:4], "little") for m in (x, y)], [int.from_bytes(m[4:], "little") for m in (x, y)], [8 * len(m) - 32 for m in (x, y)]
+    least = min(n)
+    for i in (0, 1):
+        while n[i] > least:  # the map of half as many bits
+            n[i] //= 2
+            maps[i] = maps[i] >> n[i] | maps[i] & (1 << n[i]) - 1
+    both = min(sizes[0] - (maps[0] & ~maps[1]).bit_count(), sizes[1] - (maps[1] & ~maps[0]).bit_count())
+    return both >= similarity * (sum(sizes) - both)
+
+
+def sets_agree(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether sets, sorted and as bytes, have the similarity."""
+    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
 def similar_pairs(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, v) of the pairs (a, b) of nodes whose texts have the similarity; rows has row, print, text."""
+    """(u, v) of the pairs (a, b) of nodes whose texts have the similarity; rows has row, print, text.
+
+    A set goes along with each of its pairs, so pairs that the sets' maps, a tenth of their size, rule out go first.
+    """
+    likely = _tested(rows, nodes, pairs, shingle, set_map, lambda x, y: maps_allow(x, y, similarity))
+    return _tested(rows, nodes, likely.toDF("a", "b"), shingle, np.ndarray.tobytes, lambda x, y: sets_agree(x, y, similarity))
+
+
+def _tested(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, form: Callable[[np.ndarray], bytes], test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """(u, v) of the pairs (a, b) of nodes that pass the test of their sets' forms."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     asked = cut(nodes.select("row", "print", "node", "copies").join(asked, "node"))
 
     def sets(r: dict) -> dict:
-        return {"row": r["row"], "print": r["print"], "set": [_shingles(t, shingle).tobytes() for t in r["text"]]}
+        return {"row": r["row"], "print": r["print"], "set": [form(_shingles(t, shingle)) for t in r["text"]]}
 
     # texts stay where they are here as well; a set is moved once more only for a row that is repeated
     of = per_batch(split_by(rows, asked, ["row", "print"])[0], "row long, print long, set binary", sets)
@@ -375,11 +426,7 @@ def similar_pairs(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chain.from_iterable(map(slices, batches)):
-            on = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                on.append(both >= similarity * (len(x) + len(y) - both))
+            on = [test(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select([0, 1]).filter(pa.array(on, pa.bool_()))
 
     joined = pairs.join(of.toDF("a", "x").hint("merge"), "a").join(of.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm import bpe, components, exact_dedup, html_extract, packing, pii, ppm, quality, queries, simhash, suffix_dedup, topk
+from lodestone.llm.common import keyed
 from tests.conftest import cells
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -170,6 +171,33 @@ def jaccard_groups(texts):
     return label
 
 
+def test_similar_pairs_maps():
+    """Maps rule out unlike sets before whole sets are moved, and never a pair that has the similarity."""
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 9, 100, 511, 512, 513, 1500):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        for part in (1.0, 0.95, 0.9, 0.89, 0.85, 0.7, 0.5, 0.0):
+            for m in (n, max(1, n * 9 // 10), n + n // 6):
+                kept = x[: int(part * n)]
+                y = np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, max(0, m - len(kept)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)]))
+                both = len(np.intersect1d(x, y))
+                may = simhash.maps_allow(simhash.set_map(x), simhash.set_map(y), 0.8)
+                assert simhash.sets_agree(x.tobytes(), y.tobytes(), 0.8) == (both >= 0.8 * (len(x) + len(y) - both))
+                assert may or not simhash.sets_agree(x.tobytes(), y.tobytes(), 0.8)
+                assert not (may and n >= 100 and part <= 0.7)
+
+
+def test_sharing_pairs_by_rare_shingles(spark):
+    """Texts that share a passage of a few rows, too rare for a sample to tell, meet in their own rare shingles only."""
+    passage, own = (lambda k: " ".join(f"s{k}w{i}" for i in range(40))), (lambda k: " ".join(f"r{k}x{i}" for i in range(40)))
+    rows = [(k, f"{passage(k // 6)} {own(k)}") for k in range(18_000)]
+    rows += [(20_000 + k, rows[k][1] + " tail") for k in range(9)]
+    docs = keyed(spark.createDataFrame(rows, DOCS), "doc_id", "text")
+    nodes = docs.select("row", "print", F.col("id").alias("node"), F.col("id").alias("root"))
+    pairs = {(r["a"], r["b"]) for r in simhash.sharing_pairs(docs.drop("id"), nodes, 5, 0.8).collect()}
+    assert {(20_000 + k, k) for k in range(9)} <= pairs and len(pairs) < 4500  # of 45,000 that share a passage
+
+
 def test_similar_in_families(spark):
     """Unlike copies of one text, each with a near copy of its own: none is hidden by the others."""
     rng, texts = random.Random(5), []
