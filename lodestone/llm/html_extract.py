@@ -10,12 +10,13 @@ element or names are those of menus, headers, footers, sidebars, notices, advert
 comments, and by BESIDE of the share on which it stands beside an article (or, without one, the main element).
 
 Each page loses its branches of importance under LOW; the other blocks are its text. A node is judged if at least PAGES
-pages of its host and one in RARE have it, so the list of a host's low nodes is bounded by its pages' size, whatever their
-number; for rarer nodes HTML's word stands alone. A branch that holds all the text that is left stays, and so does all
+pages have it, whatever the size of its host; of fewer pages no entropy tells, so HTML's word stands alone. Low nodes that
+one in RARE of a host's pages have go to all its pages as a list, which is bounded by the pages' size, whatever their
+number; rarer ones are joined, node by node, with the pages that have them. A branch that holds all the text that is left stays, and so does all
 of an article that would lose half of its characters. Equal pages of a host are counted once in its tree.
 
 Counts are summed by host, node and block before anything is gathered, so a host with a third of all pages is no special
-case; what joins back to the pages is a host's list of low nodes. Null html or html without text gives the empty text;
+case. Null html or html without text gives the empty text;
 pages with a null url or one without a host form a host together; repeated rows have equal texts; an empty table gives an
 empty result. White space is what str.split() takes for it. A line break inside a block is white space. Other columns
 aren't read.
@@ -40,7 +41,7 @@ from lodestone.llm.common import cut, per_batch, slices, small_batches, split_by
 
 #: Weight of content against presentation; importance below which a branch goes; what a place beside an article takes off.
 GAMMA, LOW, BESIDE = 0.9, 0.3, 0.75
-#: Pages that a node must be on to be judged: so many, and one in so many of its host.
+#: Pages that a node must be on to be judged; a node on fewer than one in so many of its host's pages isn't sent to all of them.
 PAGES, RARE = 4, 100
 
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul optgroup option".split())
@@ -254,22 +255,45 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return of.withColumn("importance", (F.lit(1 - GAMMA) * F.col("presentation") + F.lit(GAMMA) * F.col("content")) * F.col("hints"))
 
 
-def low_nodes(tree: DataFrame) -> DataFrame:
-    """host, low: the judged nodes of low importance, at most RARE times as many as a page has nodes."""
-    tree = stored(tree)
+def _low(tree: DataFrame) -> DataFrame:
+    """host, node, rare: the judged nodes of low importance; rare ones are on fewer than one in RARE pages of the host."""
     most = tree.groupBy("host").agg(F.max("pages").alias("most"))
-    judged = tree.join(most, "host").filter((F.col("pages") >= PAGES) & (F.col("pages") * RARE >= F.col("most")))
-    return judged.filter(F.col("importance") < LOW).groupBy("host").agg(F.collect_list("node").alias("low"))
+    low = tree.filter((F.col("pages") >= PAGES) & (F.col("importance") < LOW)).join(most, "host")
+    return low.select("host", "node", (F.col("pages") * RARE < F.col("most")).alias("rare"))
+
+
+def low_nodes(tree: DataFrame) -> DataFrame:
+    """host, low: the low nodes that aren't rare, at most RARE times as many as a page has nodes."""
+    return _low(tree).filter(~F.col("rare")).groupBy("host").agg(F.collect_list("node").alias("low"))
+
+
+def rare_low_nodes(rows: DataFrame, rare: DataFrame) -> DataFrame:
+    """host, hash, rare: the nodes of rare (host, node) that a page has, for the pages of rows (host, hash, html) that have any."""
+
+    def nodes(r: dict) -> dict:
+        return {"host": r["host"], "hash": r["hash"], "nodes": [sorted({e for e, _ in parse(h).nodes}) for h in r["html"]]}
+
+    asked = rows.select("host", "hash", "html").join(rare.select("host").distinct(), "host", "left_semi")
+    of = per_batch(asked, "host long, hash long, nodes array<long>", nodes).select("host", "hash", F.explode("nodes").alias("node"))
+    return of.join(rare, ["host", "node"]).groupBy("host", "hash").agg(F.collect_set("node").alias("rare"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text of every page."""
-    low = stored(low_nodes(style_tree(pages, url_col, html_col)))
+    tree = stored(style_tree(pages, url_col, html_col))
+    low, rare = stored(low_nodes(tree)), stored(_low(tree).filter("rare").select("host", "node"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(url_col).alias("host"))
+    if rare.head(1):
+        rows = rows.withColumn("hash", F.xxhash64("html"))
+        found = stored(rare_low_nodes(rows, rare))
+        near, rest = split_by(rows, found, ["host", "hash"])  # pages without such a node stay where they are
+        rows = near.join(found, ["host", "hash"], "left").unionByName(rest.withColumn("rare", F.lit(None).cast("array<long>")))
+    else:
+        rows = rows.withColumn("rare", F.lit(None).cast("array<long>"))
 
     def f(columns: dict) -> dict:
-        text = [text_of(parse(h), frozenset(x or ())) for h, x in zip(columns["html"], columns["low"], strict=True)]
+        text = [text_of(parse(h), frozenset(x or ()).union(y or ())) for h, x, y in zip(columns["html"], columns["low"], columns["rare"], strict=True)]
         return {"id": columns["id"], "url": columns["url"], "text": text}
 
-    out = per_batch(rows.join(low, "host", "left").select("id", "url", "html", "low"), "id long, url string, text string", f)
+    out = per_batch(rows.join(low, "host", "left").select("id", "url", "html", "low", "rare"), "id long, url string, text string", f)
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")

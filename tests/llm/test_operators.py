@@ -400,6 +400,16 @@ def test_style_tree(spark):
     assert got.keys() == want.keys() and all(got[n][0] == want[n][0] and got[n][1] == pytest.approx(want[n][1]) for n in want)
 
 
+def test_rare_template_in_a_large_host(spark):
+    """A template on few of a host's pages goes as it would in a small host; their other text, and that of the other pages, stays."""
+    page = lambda i, extra="": f"<body><article><p>Text {i} of its own, told at some length {i * 7}</p>{extra}</article></body>"
+    box = "<section class=box><p>Read on here</p></section>"
+    rows = [(i, "http://a.org/x", page(i, box if i < 5 else "")) for i in range(900)] + [(1000 + i, "http://b.org/x", page(i, box if i < 5 else "")) for i in range(9)]
+    rows += [(2000, "http://a.org/y", rows[0][2])]  # a copy
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and all(got[i] == f"Text {n} of its own, told at some length {n * 7}" for i, n in ((r[0], r[0] % 1000) for r in rows))
+
+
 def test_tree_decides(spark, sf):
     """The tree judges inside and around the article; copies of a page aren't a template; no page loses all of its text."""
     from collections import Counter as Count
