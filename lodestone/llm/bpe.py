@@ -9,7 +9,8 @@ emitted. Memory is the window of boundaries that are still open. A word that fit
 before its end: there the same transitions are followed from the left, the longest token first, and boundaries from which
 none leads on are left for good, which gives the same tokens in fewer steps.
 
-Every piece is encoded so. Texts are taken in windows that end at white space, normalised and split as the vocabulary
+Every piece of round_trip_digests() and encode() is encoded so. Packing, whose ids are the tokenizers library's, gives new
+pieces to the library's model, and parts many texts at once by tables of characters. Texts are taken in windows that end at white space, normalised and split as the vocabulary
 file says; no piece crosses white space, so what a worker has encoded is kept by whole stretches between white space, in
 a cache of fixed size. Beside the text, encode_stream() and decoded() hold a window. Null text counts as empty and has no
 ids; text that spells a special token becomes that token, as in the tokenizers library. Repeated rows give repeated rows
@@ -30,11 +31,14 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lodestone.llm.common import per_batch
 
 #: Entries of each of the two generations of an encoder's cache: when the young one is full, it becomes the old one. Pairs of tokens whose order is known.
 CACHED, PAIRS = 350_000, 250_000
+#: Entries of a generation, and symbols of a piece, where new pieces go to the library's model.
+FEWER, SHORT = 150_000, 128
 #: Ids that are decoded at once; characters, about, that are encoded at once.
 STEP, WINDOW = 1 << 16, 1 << 16
 #: Ids have so many bits; NONE is above every rank.
@@ -192,12 +196,44 @@ def little(ids: Iterable[int]) -> bytes:
     return out.tobytes()
 
 
+#: str.split() also parts at these, which are not white space here.
+ODD = "\x1c\x1d\x1e\x1f"
+#: Kinds of characters: letters, numbers and the rest as the split pattern has them; what stands beside a character of no kind isn't parted.
+NO_KIND, BLANK, LETTER, NUMBER, REST, APOSTROPHE = range(6)
+
+
+def character_tables() -> tuple[np.ndarray, np.ndarray]:
+    """The lower case of each of the first 2^16 characters, with white space as a space, and its kind."""
+    chars = [chr(i) for i in range(0xFFFF) if not 0xD800 <= i < 0xE000]
+    lower, kind = np.arange(1 << 16, dtype=np.uint32), np.full(1 << 16, NO_KIND, dtype=np.uint8)
+    text = "".join(chars)
+    for k, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (REST, r"[^\s\p{L}\p{N}]"), (BLANK, WHITE.pattern[:-1])):
+        kind[[ord(c) for c in regex.findall(pattern, text)]] = k
+    kind[ord("'")] = APOSTROPHE
+    lower[kind == BLANK] = 0x20
+    for c in chars:
+        if (low := c.lower()) != c:
+            lower[ord(c)] = ord(low) if len(low) == 1 and ord(low) < 0xFFFF else ord(c)
+            if lower[ord(c)] == ord(c):
+                kind[ord(c)] = NO_KIND
+    return lower, kind[lower]
+
+
+def parting_kinds() -> np.ndarray:
+    """Whether the split pattern always parts two kinds that follow each other: at kind of the first * 8 + kind of the second."""
+    out = np.zeros((8, 8), dtype=bool)
+    out[NUMBER, [NO_KIND, LETTER, NUMBER, REST, APOSTROPHE]] = out[[NO_KIND, LETTER, NUMBER, REST, APOSTROPHE], NUMBER] = True
+    out[LETTER, [REST, APOSTROPHE]] = out[REST, LETTER] = True  # an apostrophe may begin a piece with the letters after it
+    return out.ravel()
+
+
 class Encoder:
     """The encoding of a tokenizers file with NFC, white space, lower case, a split pattern and byte-level symbols."""
 
     def __init__(self, path: str, direct: bool = False):
-        """direct: short pieces by the merge list as it is defined, not through the transducer; the ids are the same."""
-        self.direct = direct
+        """direct: pieces of up to SHORT symbols by the tokenizers library's model, many at once, not through the transducer; the ids are the same."""
+        self.model = Tokenizer(Tokenizer.from_file(path).model) if direct else None
+        self.tables = (*character_tables(), parting_kinds()) if direct else None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -205,9 +241,8 @@ class Encoder:
         split, level = spec["pre_tokenizer"]["pretokenizers"]
         if kinds != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or not split["invert"] or level["type"] != "ByteLevel" or level["use_regex"] or spec["decoder"]:
             raise ValueError("this file has steps that are not supported")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.transducer = Transducer(model["vocab"], merges, model["end_of_word_suffix"] or "")
+        self.path, self.pattern = path, regex.compile(split["pattern"]["Regex"])
+        self._transducer = None if direct else self._made(model)
         self.byte = dict(enumerate(byte_symbols()))
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -220,6 +255,19 @@ class Encoder:
         #: Pieces that went through the transducer; the others were in the cache.
         self.streamed = 0
 
+    @staticmethod
+    def _made(model: dict) -> Transducer:
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        return Transducer(model["vocab"], merges, model["end_of_word_suffix"] or "")
+
+    @property
+    def transducer(self) -> Transducer:
+        """Read when a piece needs it: with the library's model only longer ones do."""
+        if self._transducer is None:
+            with open(self.path, encoding="utf-8") as f:
+                self._transducer = self._made(json.load(f)["model"])
+        return self._transducer
+
     def _keep(self, s: str, ids: bytes) -> bytes:
         if len(s) <= 64:
             if len(self.known) >= CACHED:
@@ -229,35 +277,132 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         if (found := self.known.get(piece)) is None and (found := self.old.get(piece)) is None:
-            symbols = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8", "replace").decode("latin-1").translate(self.byte)
-            t = self.transducer
-            if self.direct and len(symbols) <= t.lookahead:
-                return self._keep(piece, little(t.whole(symbols)))
+            symbols, t = self._symbols(piece), self.transducer
             self.streamed += 1
             found = self._keep(piece, little(t._window(symbols) if len(symbols) <= 4 * t.lookahead else t.stream(symbols)))
         return found
 
+    def _symbols(self, piece: str) -> str:
+        return piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8", "replace").decode("latin-1").translate(self.byte)
+
     def _stretch(self, s: str) -> bytes:
         if (found := self.old.get(s)) is not None:
             return self._keep(s, found)
+        pieces = self._pieces(s)
+        return self._piece(s) if pieces == [s] else self._keep(s, b"".join(map(self._piece, pieces)))
+
+    def _pieces(self, s: str) -> list[str]:
         low = s.replace("Σ", "σ").lower()
         if low.isalpha():  # a run of letters is one piece
-            found = self._piece(low)
-            return found if low == s else self._keep(s, found)
+            return [low]
         head, last = low[:-1], low[-1]
         if last in ",.;:!?" and head.isalpha():
-            return self._keep(s, self._piece(head) + self._piece(last))
-        pieces = self.pattern.findall(low)
-        return self._piece(s) if pieces == [s] else self._keep(s, b"".join(map(self._piece, pieces)))
+            return [head, last]
+        return self.pattern.findall(low)
+
+    def _stretches(self, of: Iterable[str]) -> dict[str, bytes]:
+        """Ids of stretches that aren't in the young cache; their new pieces go to the model in one call."""
+        if len(self.known) >= FEWER:
+            self.old, self.known = self.known, {}
+        out, several, ids, new, symbols = {}, [], {}, [], []
+        known, old = self.known, self.old.get
+        for s in of:
+            if (found := old(s)) is not None:
+                out[s] = known[s] = found
+            elif s.isascii() and s.isalpha() and s.islower() and len(s) <= SHORT:
+                new.append(s)
+                symbols.append(s)
+            else:
+                several.append((s, self._pieces(s)))
+        for _, pieces in several:
+            for p in pieces:
+                if p in ids:
+                    continue
+                if (found := known.get(p) or old(p)) is None:
+                    as_symbols = self._symbols(p)
+                    if len(as_symbols) <= SHORT:
+                        new.append(p)
+                        symbols.append(as_symbols)
+                    else:
+                        found = self._piece(p)
+                ids[p] = found
+        if new:
+            e = self.model.encode(symbols, is_pretokenized=True, add_special_tokens=False)
+            made, at = little(e.ids), 0
+            for p, to in zip(new, (4 * np.searchsorted(e.word_ids, np.arange(len(new)), "right")).tolist(), strict=True):
+                ids[p] = out[p] = found = made[at:to]
+                at = to
+                if len(p) <= 64:
+                    known[p] = found
+        for s, pieces in several:
+            out[s] = found = b"".join(map(ids.__getitem__, pieces))
+            if len(s) <= 64:
+                known[s] = found
+        return out
+
+    def parted(self, texts: list[str]) -> list[str]:
+        """Texts in lower case, with spaces where the split pattern parts them in any case, so that fewer unlike stretches are left."""
+        lower, kinds, parts = self.tables
+        at = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        short = np.minimum(at, 0xFFFF).astype(np.uint16)
+        low, kind = lower[short], kinds[short]
+        far = np.flatnonzero(at >= 0xFFFF)
+        low[far] = at[far]
+        low[np.cumsum([len(t) + 1 for t in texts[:-1]], dtype=np.int64) - 1] = 0x0A  # the only ones: white space is spaces now
+        cuts = np.flatnonzero(parts[kind[:-1] << 3 | kind[1:]])
+        out = np.empty(len(low) + len(cuts), dtype="<u4")
+        to = np.ones(len(out), dtype=bool)
+        to[cuts + np.arange(1, len(cuts) + 1)] = False
+        out[to], out[~to] = low, 0x20
+        return out.tobytes().decode("utf-32-le", "surrogatepass").split("\n")
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that need no normalisation beyond parted()."""
+        parts = [t.split() for t in self.parted(texts)]
+        get, missing = self.known.get, {}
+        found = [[*map(get, p)] for p in parts]
+        gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
+        for p, g in zip(parts, gaps, strict=True):
+            missing.update((p[i], None) for i in g)
+        made = self._stretches(missing) if missing else {}
+        for f, p, g in zip(found, parts, gaps, strict=True):
+            for i in g:
+                f[i] = made[p[i]]
+        return [b"".join(f) for f in found]
+
+    def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
+        """All ids of each text, of many texts at once if the model is the library's."""
+        out, at, size = [], [], 0
+        for k, text in enumerate(texts):
+            text = text or ""
+            if not self.model or len(text) > WINDOW or any(c in text for c in ODD) or self.specials and any(m in text for m in self.marks) or not unicodedata.is_normalized("NFC", text):
+                out.append(self.encode(text))
+                continue
+            out.append(text)  # until _fill() puts its ids there
+            at.append(k)
+            size += len(text)
+            if size > 4 * WINDOW:
+                self._fill(out, at)
+                at, size = [], 0
+        self._fill(out, at)
+        return out
+
+    def _fill(self, out: list, at: list[int]) -> None:
+        for k, ids in zip(at, self._together([out[k] for k in at]) if at else [], strict=True):
+            out[k] = ids
 
     def _plain(self, text: str) -> bytes:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        # str.split() also parts at the four ASCII separators, which are not white space here
-        parts = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else [x for x in WHITE.split(text) if x]
+        odd = any(c in text for c in ODD)
+        if self.model and not odd:
+            return self._together([text])[0]
+        parts = [x for x in WHITE.split(text) if x] if odd else text.split()
         found = [*map(self.known.get, parts)]
         if None in found:
-            found = [self._stretch(s) if x is None else x for s, x in zip(parts, found, strict=True)]
+            new = {s: None for s, x in zip(parts, found, strict=True) if x is None}
+            made = self._stretches(new) if self.model else {s: self._stretch(s) for s in new}
+            found = [made[s] if x is None else x for s, x in zip(parts, found, strict=True)]
         return b"".join(found)
 
     def encode_stream(self, text: str | None) -> Iterator[bytes]:

@@ -108,8 +108,8 @@ def windows(docs: DataFrame, path: str, end: int, window: int, id_col: str = "do
 
     def f(rows: dict) -> dict:
         out: dict[str, list] = {k: [] for k in names}
-        for i, text in zip(rows["id"], rows["text"], strict=True):
-            ids = encoder(path, direct=True).encode(text) + little([end])
+        for i, ids in zip(rows["id"], encoder(path, direct=True).encode_many(rows["text"]), strict=True):
+            ids += little([end])
             n = len(ids) // 4
             for at in range(0, n, window):
                 for k, v in zip(out, (i, at, min(window, n - at), ids[4 * at : 4 * (at + window)], n), strict=True):

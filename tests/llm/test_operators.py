@@ -331,6 +331,20 @@ def test_bpe(spark, odd, monkeypatch, window):
     assert bpe.round_trip_digests(odd.limit(0), PATH).count() == bpe.encode(odd.limit(0), PATH).count() == 0
 
 
+def test_bpe_many_at_once(monkeypatch):
+    """Packing's way: pieces by the library's model, many texts in one call, which no piece of ordinary length leaves for the transducer."""
+    tok, e, rng = Tokenizer.from_file(PATH), bpe.Encoder(PATH, direct=True), random.Random(8)
+    parts = ["the", "Word", "İ", "Σ", "é", "e\u0301", "\u0301", "'s", "'Ve", "o'clock", "''s", "('t", "12", "½", "Ⅷ", "“", "—", "...", "),", "_", " ", "  ", "\n", "\x85", "\xa0", "\x1c", "\x00", "\ufffe", "\uffff", "😀", "𐐀", "中文", "नमस्ते", "<|endoftext|>", " " + "q" * 70 + " "]
+    texts = [None, "", "\n", *("".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000))]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for few in (150_000, 50):  # with generations that change at every call
+        monkeypatch.setattr(bpe, "FEWER", few)
+        monkeypatch.setattr(bpe, "WINDOW", 1 << 10)
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_many(texts)] == want
+    assert e.streamed == 0 and e._transducer is None
+    assert np.frombuffer(e.encode_many(["x" * 5000])[0], "<u4").tolist() == tok.encode("x" * 5000, add_special_tokens=False).ids and e.streamed == 1
+
+
 def test_bpe_method(sf):
     """Every piece that isn't in the cache goes through the transducer, whatever its length, and emits before its end."""
     import pyarrow.parquet as pq
