@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import encoder, little
-from lodestone.llm.common import per_batch
+from lodestone.llm.common import per_batch, trim
 
 #: Pieces of a shard, on average.
 SHARD = 8192
@@ -142,6 +142,8 @@ def place(pieces: DataFrame, window: int, shards: int) -> DataFrame:
             out = out.set_column(fields.index(name), name, pa.chunked_array([values]))
         out = out.append_column("sequence_id", pa.chunked_array([(key[0].as_py() << 32) + s])).append_column("offset", pa.chunked_array([np.array(offsets, dtype=np.int64)]))
         yield from out.combine_chunks().to_batches(max_chunksize=4096)
+        del t, out, own
+        trim()
 
     shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).alias("shard")
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import per_batch, slices, small_batches
+from lodestone.llm.common import per_batch, slices, small_batches, trim
 
 #: Buckets of hashed words, factors of each feature; texts that are scored at once.
 BUCKETS, FACTORS, AT_ONCE = 1 << 12, 8, 256
@@ -48,7 +48,7 @@ _buckets: dict[bytes, int] = {}
 
 def bucket(word: bytes) -> int:
     if (b := _buckets.get(word)) is None:
-        if len(_buckets) > 200_000:
+        if len(_buckets) > 50_000:
             _buckets.clear()
         b = _buckets[word] = zlib.crc32(word) % BUCKETS
     return b
@@ -178,5 +178,6 @@ def keep_good(docs: DataFrame, machine: Machine, text_col: str = "text", thresho
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chain.from_iterable(map(slices, batches)):
             yield b.filter(pa.array(machine.scores(b.column(names.index(text_col)).to_pylist()) >= threshold, pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, forget, keyed, per_batch, slices, small_batches, split_by, stored, unstored, without
+from lodestone.llm.common import cut, forget, keyed, per_batch, slices, small_batches, split_by, stored, trim, unstored, without
 from lodestone.llm.components import components
 
 SEED = 42
@@ -309,6 +309,8 @@ def sharing_pairs(rows: DataFrame, nodes: DataFrame, shingle: int, similarity: f
                     held = [x[:, end:]]
         if held:
             yield from emit(np.concatenate(held, axis=1))
+        held.clear()
+        trim()
 
     # texts stay where they are; what is joined with the nodes are the first shingles
     of = per_batch(rows, "row long, print long, size long, tokens array<long>", first)
@@ -428,6 +430,7 @@ def _tested(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, f
         for b in chain.from_iterable(map(slices, batches)):
             on = [test(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select([0, 1]).filter(pa.array(on, pa.bool_()))
+        trim()
 
     joined = pairs.join(of.toDF("a", "x").hint("merge"), "a").join(of.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
     edges = cut(joined.mapInArrow(verify, "u long, v long"))

@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 import corpus_pipeline as cp
 from lodestone.llm import pii
 from lodestone.llm.common import stored
@@ -61,3 +63,15 @@ def test_stages_on_odd_rows(spark, sf):
     assert texts(after["near_dedup"]) == sorted(near) and after["near_dedup"].count() == len(near) + 1
     private = {r["text"] for r in after["private_data"].collect()}
     assert None in private and not any("234-5678" in t for t in private if t) and long_ in private
+
+
+def test_stages_begin_with_memory_given_back(monkeypatch):
+    """Executors' heaps and workers stay from stage to stage: each stage asks for what they don't need."""
+
+    def asked(spark):
+        raise InterruptedError
+
+    monkeypatch.setattr(cp, "forget", asked)
+    for _, stage in cp.STAGES:
+        with pytest.raises(InterruptedError):
+            stage(None, None, "")
