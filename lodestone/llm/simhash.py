@@ -33,6 +33,8 @@ BLOCK = 1024
 #: Bits of a shingle's hash that name the counter that orders it, and counters in a part; rows of shared shingles that a task holds, one shingle's at least.
 COUNTED, PART, HELD = 22, 1 << 14, 1 << 18
 NAMES = ["token", "node", "root", "size", "place"]
+#: Rows of one shingle that meet pair by pair; more are a crowd. Shingles in a block of a crowd, beside BLOCK rows.
+FEW, VALUES = 32, 1 << 19
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
@@ -135,6 +137,13 @@ def local_stars(left: np.ndarray, right: np.ndarray, distance: int) -> tuple[np.
     return values[far], values[label[far]]
 
 
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Longs, each to another, as if at random."""
+    x = values.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
 def _as_unsigned(values) -> np.ndarray:
     return np.asarray(values, dtype=np.int64).view(np.uint64)
 
@@ -280,10 +289,14 @@ def sharing(token: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.nd
 
 
 def sharing_pairs(rows: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): all pairs of nodes (row, print, node, root), not yet of one root, that can have the similarity; none is left out.
+    """(a, b, root): all pairs of nodes (row, print, node, root), not yet of one root, that can have the similarity; none is left out.
 
     Rows meet in every shingle of least_shingles(). They are sorted and read as a stream, so a task holds one shingle's
-    rows at a time, and only pairs that pass the bounds on size and place are emitted.
+    rows at a time, and only pairs that pass the bounds on size and place are emitted; their root is null.
+
+    Over FEW rows of a shingle are no pairs but members b, with their root, of a crowd a, for crowd_links(). A crowd is
+    named by the least of its members in an order as if at random. So shingles of much the same rows, as those of a family
+    of copies are, make a few crowds, and no crowd reaches beyond the rows that share a shingle with the row that names it.
     """
     counters = _counters(rows, shingle)
 
@@ -294,10 +307,22 @@ def sharing_pairs(rows: DataFrame, nodes: DataFrame, shingle: int, similarity: f
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
+        def out(a: np.ndarray, b: np.ndarray, root: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), root], names=["a", "b", "root"])
+
         def emit(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.append(True, x[0][1:] != x[0][:-1]))
+            n = np.diff(np.append(starts, x.shape[1]))
+            several = np.minimum.reduceat(x[2], starts) < np.maximum.reduceat(x[2], starts)
+            crowd = np.repeat(np.minimum.reduceat(mixed(x[1]), starts), n)
+            many, few = np.repeat(several & (n > FEW), n), np.repeat(several & (n <= FEW), n)
+            if many.any():
+                a, b, root = np.unique(np.stack([crowd[many], x[1][many], x[2][many]]), axis=1)
+                yield out(a, b, pa.array(root))
+            x = x[:, few]
             for on, to in sharing(x[0], x[2], x[3], x[4], similarity):
                 a, b = np.maximum(x[1][on], x[1][to]), np.minimum(x[1][on], x[1][to])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield out(a, b, pa.nulls(len(a), pa.int64()))
 
         for batch in batches:
             if batch.num_rows:
@@ -316,7 +341,108 @@ def sharing_pairs(rows: DataFrame, nodes: DataFrame, shingle: int, similarity: f
     of = per_batch(rows, "row long, print long, size long, tokens array<long>", first)
     of = of.join(nodes, ["row", "print"]).select("node", "root", "size", F.posexplode("tokens").alias("place", "token"))
     dealt = of.select(*(F.col(n).cast("long") for n in NAMES)).repartition("token").sortWithinPartitions("token", "size")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    return dealt.mapInArrow(meet, "a long, b long, root long").distinct()
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of the left shares with each of the right: those that many pairs share by a product, the others pair by pair."""
+
+    def columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        on = common[at] == values
+        order = np.argsort(at[on], kind="stable")
+        return at[on][order], row[on][order]
+
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    if not len(common):
+        return both
+    sides = [columns(left), columns(right)]
+    n = [np.bincount(c, minlength=len(common)) for c, _ in sides]
+    starts, pairs = [np.cumsum(x) - x for x in n], n[0] * n[1]
+    dense = np.flatnonzero(100 * pairs >= both.size)
+    for at in range(0, len(dense), 1024):
+        part, m = dense[at : at + 1024], []
+        for (_, row), first, k, size in zip(sides, starts, n, both.shape, strict=True):
+            m.append(np.zeros((size, len(part)), dtype=np.float32))
+            m[-1][row[_ranges(first[part], k[part])], np.repeat(np.arange(len(part)), k[part])] = 1
+        both += m[0] @ m[1].T
+    rare = np.flatnonzero(100 * pairs < both.size)
+    for part in np.split(rare, np.searchsorted(np.cumsum(pairs[rare]), np.arange(1 << 20, pairs[rare].sum() + 1, 1 << 20))):
+        times = np.repeat(n[1][part], n[0][part])  # each left row of a value goes with all right rows of it
+        i = np.repeat(sides[0][1][_ranges(starts[0][part], n[0][part])], times)
+        j = sides[1][1][_ranges(np.repeat(starts[1][part], n[0][part]), times)]
+        np.add.at(both.reshape(-1), i * len(right) + j, np.float32(1))
+    return both
+
+
+def set_stars(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node) for the nodes whose sets have the similarity across the sides (places in nodes), grouped as far as these links reach."""
+    size = np.array([len(x) for x in sets], dtype=np.float64)
+    both, links = shared_counts([sets[i] for i in left], [sets[i] for i in right]), []
+    for at in range(0, len(left), 64):
+        b = both[at : at + 64].astype(np.float64)
+        i, j = np.nonzero(b >= similarity * (size[left[at : at + 64], None] + size[right] - b))
+        links.append(np.stack([left[at + i], right[j]]))
+    a, b = np.concatenate(links, axis=1)
+    order = np.argsort(nodes)
+    label = np.empty(len(nodes), dtype=np.int64)
+    label[order] = np.arange(len(nodes))
+    a, b = label[a], label[b]
+    label = np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while (label[label] != label).any():
+            label = label[label]
+    far = label != np.arange(len(nodes))
+    return nodes[order[far]], nodes[order[label[far]]]
+
+
+def crowd_links(rows: DataFrame, nodes: DataFrame, crowds: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): stars that join what has the similarity within each of the crowds (crowd, node, root); never all pairs.
+
+    Every two members of unlike roots are compared, set against set, in one task each for two blocks of rows. Blocks of a
+    crowd that is too large for one are made of sizes that are near each other, and of one root where it has many rows;
+    blocks whose sizes are too far apart, or that are of one root both, don't meet.
+    """
+    sets = _forms(rows, nodes, crowds.select("node").distinct(), shingle, np.ndarray.tobytes)
+    sizes = sets.select("node", (F.length("set") / 8).cast("long").alias("size"))
+    totals = crowds.join(sizes, "node").groupBy("crowd").agg(F.count("*").alias("n"), F.sum("size").alias("values"))
+    large = totals.select("crowd", ((F.col("n") > BLOCK) | (F.col("values") > VALUES)).alias("large"))
+    apart = crowds.groupBy("crowd", "root").agg(F.count("*").alias("n")).filter(F.col("n") >= BLOCK // 2).select("crowd", "root", F.col("root").alias("apart"))
+    # a little wide, so that sizes of the similarity are of one step or of neighbours
+    step = F.floor(F.log("size") / F.lit(max(-1.001 * float(np.log(similarity)), 1e-3)))
+    of = crowds.join(sizes, "node").join(large, "crowd").join(apart, ["crowd", "root"], "left")
+    of = cut(of.select("crowd", "node", "size", F.when(F.col("large"), step).otherwise(F.lit(0)).cast("int").alias("step"), F.coalesce("apart", F.lit(-1)).alias("apart")))
+    kinds = ["crowd", "step", "apart"]
+    blocks = of.groupBy(kinds).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / VALUES)).cast("int").alias("blocks"))
+    blocks = cut(blocks)
+    each = blocks.select(*kinds, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    x, y = F.struct("x.step", "x.apart", "x.block"), F.struct("y.step", "y.apart", "y.block")
+    meeting = (x <= y) & (F.abs(F.col("x.step") - F.col("y.step")) <= 1) & ((F.col("x.apart") != F.col("y.apart")) | (F.col("x.apart") < 0))
+    tasks = each.alias("x").join(each.alias("y"), F.col("x.crowd") == F.col("y.crowd")).filter(meeting)
+    tasks = cut(tasks.select(F.col("x.crowd").alias("crowd"), x.alias("x"), y.alias("y")).withColumn("task", F.monotonically_increasing_id()))
+    sides = tasks.select("crowd", "task", F.col("x.*"), F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side"))
+    sides = sides.unionByName(tasks.filter("x != y").select("crowd", "task", F.col("y.*"), F.lit(1).alias("side")))
+    mine = of.join(blocks, kinds).select(*kinds, "node", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    dealt = mine.join(sides, [*kinds, "block"]).select("node", "task", "side").join(sets, "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        node, side = np.asarray(t["node"]), np.asarray(t["side"])
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if len(left) and len(right):
+            u, v = set_stars(node, [np.frombuffer(x, dtype=np.uint64) for x in t["set"].to_pylist()], left, right, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        trim()
+
+    edges = cut(dealt.select("task", "node", "side", "set").groupBy("task").applyInArrow(compare, "u long, v long"))
+    del dealt
+    unstored(sets)
+    return edges
 
 
 def similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, distance: int, tables: int, bits: int) -> tuple[DataFrame, DataFrame]:
@@ -324,7 +450,8 @@ def similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int, s
 
     First, large groups are found cheaply: fingerprints over the distinct pairs of neighbouring words meet in a table if
     they agree in its sampled bits, and in each bucket a fingerprint has its least neighbour within ``distance``. Then
-    sharing_pairs() gives every other pair of rows in unlike groups that can have the similarity, so nothing is missed.
+    sharing_pairs() gives every other pair of rows in unlike groups that can have the similarity, or a crowd of rows that
+    has it and that crowd_links() compares, so nothing is missed.
     A pair counts only if its texts' shingles, all of them, have the similarity asked for. Texts without a word are
     alike. Equal fingerprints are compared with their first row.
     """
@@ -344,10 +471,14 @@ def similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int, s
     groups = cut(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()))
     forget(docs.sparkSession)
     rooted = nodes.select("row", "print", "node").join(groups, "node", "left").select("row", "print", "node", F.coalesce("root", "node").alias("root"))
-    more = cut(sharing_pairs(rows, rooted, shingle, similarity).join(tried, ["a", "b"], "left_anti"))
+    more = cut(sharing_pairs(rows, rooted, shingle, similarity))
     del rooted
     forget(docs.sparkSession)
-    edges = similar_pairs(rows, nodes, more, shingle, similarity).unionByName(groups.toDF("u", "v"))
+    pairs = cut(more.filter("root is null").select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    edges = similar_pairs(rows, nodes, pairs, shingle, similarity).unionByName(groups.toDF("u", "v"))
+    crowds = more.filter("root is not null").toDF("crowd", "node", "root")
+    if crowds.head(1):
+        edges = edges.unionByName(crowd_links(rows, nodes, crowds, shingle, similarity))
     found = components(edges)
     found = cut(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()))
     del edges
@@ -412,19 +543,7 @@ def similar_pairs(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle:
 
 def _tested(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, form: Callable[[np.ndarray], bytes], test: Callable[[bytes, bytes], bool]) -> DataFrame:
     """(u, v) of the pairs (a, b) of nodes that pass the test of their sets' forms."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = cut(nodes.select("row", "print", "node", "copies").join(asked, "node"))
-
-    def sets(r: dict) -> dict:
-        return {"row": r["row"], "print": r["print"], "set": [form(_shingles(t, shingle)) for t in r["text"]]}
-
-    # texts stay where they are here as well; a set is moved once more only for a row that is repeated
-    of = per_batch(split_by(rows, asked, ["row", "print"])[0], "row long, print long, set binary", sets)
-    of = of.join(asked, ["row", "print"]).select("node", "set", "copies")
-    if asked.filter("copies > 1").head(1):
-        of = of.filter("copies = 1").unionByName(of.filter("copies > 1").dropDuplicates(["node"]))
-    of = stored(of.select("node", "set"))
-    forget(rows.sparkSession)
+    of = _forms(rows, nodes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), shingle, form)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chain.from_iterable(map(slices, batches)):
@@ -439,6 +558,23 @@ def _tested(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, f
     return edges
 
 
+def _forms(rows: DataFrame, nodes: DataFrame, asked: DataFrame, shingle: int, form: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(node, set): the forms of the sets of the nodes in asked, stored; for unstored()."""
+    asked = cut(nodes.select("row", "print", "node", "copies").join(asked, "node"))
+
+    def sets(r: dict) -> dict:
+        return {"row": r["row"], "print": r["print"], "set": [form(_shingles(t, shingle)) for t in r["text"]]}
+
+    # texts stay where they are here as well; a set is moved once more only for a row that is repeated
+    of = per_batch(split_by(rows, asked, ["row", "print"])[0], "row long, print long, set binary", sets)
+    of = of.join(asked, ["row", "print"]).select("node", "set", "copies")
+    if asked.filter("copies > 1").head(1):
+        of = of.filter("copies = 1").unionByName(of.filter("copies > 1").dropDuplicates(["node"]))
+    of = stored(of.select("node", "set"))
+    forget(rows.sparkSession)
+    return of
+
+
 def _distinct_print(text: str | None) -> int:
     w = words(text)
     if not w:

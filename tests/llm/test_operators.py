@@ -216,6 +216,39 @@ def test_similar_in_families(spark):
     assert len(set(label)) > 30 and [got.get(i, i) for i in range(len(texts))] == label
 
 
+def test_shared_counts():
+    rng = np.random.default_rng(4)
+    for most in (5, 300, 100_000):
+        left, right = ([np.unique(rng.integers(0, most, k)).astype(np.uint64) for k in rng.integers(1, 120, n)] for n in (70, 90))
+        left[0] = right[0] = np.unique(np.concatenate(left))
+        got = simhash.shared_counts(left, right)
+        assert got.tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    assert not simhash.shared_counts([np.array([1], dtype=np.uint64)], [np.array([2], dtype=np.uint64)]).any()
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_crowds_make_no_pairs(spark, monkeypatch, block):
+    """A large family of copies, most of them unlike and of several lengths: it goes as rows of crowds, whose number isn't the square of the family's, and no link is lost."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng, texts = random.Random(6), []
+    base = [f"base{i}" for i in range(150)]
+    for k in range(240):
+        copy = [w if rng.random() > 0.04 * (k % 3) else f"own{k}x{rng.randrange(99)}" for w in base[: rng.choice((150, 150, 110))]]
+        texts.append(" ".join(copy) + f" end{k}")
+    texts += [t + " tail" for t in texts[::10]]
+    df = spark.createDataFrame([*enumerate(texts)], DOCS)
+    docs = keyed(df, "doc_id", "text")
+    nodes = docs.select("row", "print", F.col("id").alias("node"), F.col("id").alias("root"))
+    made = simhash.sharing_pairs(docs.drop("id"), nodes, 5, 0.8)
+    assert made.count() < simhash.FEW * len(texts)  # of 34,716 pairs
+    crowds = made.filter("root is not null").toDF("crowd", "node", "root")
+    links = [(r["u"], r["v"]) for r in simhash.crowd_links(docs.drop("id"), nodes.selectExpr("*", "1 as copies"), crowds, 5, 0.8).collect()]
+    label = jaccard_groups(texts)
+    assert links and all(label[a] == label[b] for a, b in links)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    assert len(set(label)) > 30 and [got.get(i, i) for i in range(len(texts))] == label
+
+
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROWS", 7)
     monkeypatch.setattr(topk, "QUERIES", 3)
